@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codelantern import fixed_values as fv
 from codelantern.functions.text import (
@@ -19,9 +20,11 @@ from codelantern.functions.text import (
 )
 from codelantern.operators.symbols import file_symbols
 
-PIECE = (
-    "array<struct<symbol_name:string,symbol_type:string,start_line:int,end_line:int,content:string,twin:int>>"
-)
+PIECE = T.ArrayType(T.StructType([
+    T.StructField("symbol_name", T.StringType()), T.StructField("symbol_type", T.StringType()),
+    T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()),
+    T.StructField("content", T.StringType()), T.StructField("twin", T.IntegerType()),
+]))
 _ARROW_PIECE = pa.list_(pa.struct([
     ("symbol_name", pa.string()), ("symbol_type", pa.string()), ("start_line", pa.int32()),
     ("end_line", pa.int32()), ("content", pa.string()), ("twin", pa.int32()),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +40,19 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
+    """Store ``df`` once in the cluster's shared checkpoint folder and read it back.
+
+    The lineage ends at the stored table, so a lost executor costs a re-read, and
+    every later use sees the same rows.  Only a local session without the setting
+    gets a folder of its own.
+    """
+    session = df.sparkSession
+    shared = session.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not session.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+        shared = tempfile.mkdtemp(prefix="checkpoint-")
+        session.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)

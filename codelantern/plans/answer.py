@@ -45,25 +45,22 @@ def answer_questions(
     vectors: DataFrame | None = None,
     search: SearchOptions = SearchOptions(),
     generation: GenerationOptions = GenerationOptions(),
-    checkpoint: bool = False,
 ) -> Answers:
     """Retrieve, gate, ask, follow one missing symbol, ask again, audit.
 
-    ``checkpoint`` stores retrieval results and model outputs in the cluster's
-    checkpoint folder, so that a paid or random model is asked once per prompt.
+    Rankings and model outputs are stored in the cluster's checkpoint folder: each
+    is used several times, and a model must be asked once per prompt.
     """
     model = model or ExtractiveModel()
-    keep = durable if checkpoint else (lambda df: df)
-
-    found = hybrid_retrieve(questions, chunks, index, vectors, search)
-    hits = keep(found.hits)
-    judged = questions.select("query_id", "repo_id", "text").join(keep(found.confidence), "query_id")
+    found = hybrid_retrieve(questions, chunks, index, vectors, search, store=True)
+    hits = durable(found.hits)
+    judged = durable(questions.select("query_id", "repo_id", "text").join(found.confidence, "query_id"))
     is_listing = is_inventory_question(F.col("text"))
     refused = judged.where(F.col("low_confidence") & ~is_listing)
     asked = judged.where(~F.col("low_confidence") | is_listing)
 
-    inventory = inventory_blocks(chunks)
-    first = keep(model.answer(prompt_rows(asked, hits, inventory)))
+    inventory = durable(inventory_blocks(chunks))
+    first = durable(model.answer(prompt_rows(asked, hits, inventory)))
 
     active, final = hits, first.withColumn("multi_hop", F.lit(False))
     if generation.allow_multi_hop:
@@ -72,15 +69,15 @@ def answer_questions(
         missing = first_unretrieved(
             unretrieved_references(open_answers.select(F.col("query_id").alias("answer_id"), "text"), by_answer)
         ).withColumnRenamed("answer_id", "query_id")
-        wanted = keep(missing.join(asked.select("query_id", "repo_id"), "query_id"))
-        extra = keep(reference_lookup(index, chunks, wanted, fv.HOP_TOP_K, search))
-        placed = append_hits(hits, extra).join(questions.select("query_id", "repo_id"), "query_id")
+        wanted = durable(missing.join(asked.select("query_id", "repo_id"), "query_id"))
+        extra = durable(reference_lookup(index, chunks, wanted, fv.HOP_TOP_K, search))
+        placed = append_hits(hits, extra).join(judged.select("query_id", "repo_id"), "query_id")
         # A question has at most top_n hits and three extra ones.
-        small = is_small(questions, search, F.lit(200 * (search.top_n + fv.HOP_TOP_K)))
-        active = locate(placed, chunks, small)
+        small = is_small(judged, search, F.lit(200 * (search.top_n + fv.HOP_TOP_K)))
+        active = durable(locate(placed, chunks, small))
         hopped = extra.select("query_id").distinct()
         again = asked.join(hopped, "query_id", "left_semi")
-        second = keep(model.answer(prompt_rows(again, active, inventory)))
+        second = durable(model.answer(prompt_rows(again, active, inventory)))
         final = (
             first.join(hopped, "query_id", "left_anti").withColumn("multi_hop", F.lit(False))
             .unionByName(second.withColumn("multi_hop", F.lit(True)))
