@@ -32,7 +32,7 @@ class ExtractiveModel:
             return F.regexp_extract_all("user_prompt", F.lit(self.source), F.lit(n))
 
         tags = F.zip_with(group(1), group(2), lambda path, span: F.concat(F.lit("["), path, F.lit(":"), span, F.lit("]")))
-        text = F.when(F.size(tags) > 0, F.concat(F.lit("Relevant code: "), F.array_join(tags, " ")))
+        text = F.when(F.size(tags) > 0, F.concat(F.lit("Relevant code is in "), F.array_join(tags, " ")))
         declined = "I don't know based on the provided codebase context."
         return prompts.select(
             "query_id", F.coalesce(text, F.lit(declined)).alias("text"), F.lit(self.name).alias("model")

@@ -238,7 +238,7 @@ def _prompts(hits: str) -> tuple[str, str]:
 
 def _said(prompts: str) -> str:
     line = r"\[Source: ([^,\n]+)[^\n]*, lines (\d+-\d+)\]\n"
-    return f"""SELECT query_id, coalesce('Relevant code: ' || array_to_string(list_transform(
+    return f"""SELECT query_id, coalesce('Relevant code is in ' || array_to_string(list_transform(
           list_zip(regexp_extract_all(user_prompt, '{line}', 1), regexp_extract_all(user_prompt, '{line}', 2)),
           lambda z: '[' || z[1] || ':' || z[2] || ']'), ' '), '') || ' calls doc_' || (query_id * 37 % 500) || '()' AS text
         FROM {prompts}"""
