@@ -63,7 +63,7 @@ SPACE_CHARS = (
 )
 WORD_DELIMITERS = ",;(){}\\[\\]\"'"
 CAMEL_BOUNDARY = "([a-z0-9])([A-Z])"
-SUBTOKEN_DELIMITERS = "[^a-z0-9_$]+"
+SUBTOKEN = "[a-z0-9_$]{2,}"
 MARKDOWN_HEADER = "#{1,6}"
 CITATION = r"[\[【]([a-zA-Z0-9_./\-]+):(\d+)(?:-(\d+))?[\]】]"
 SYMBOL_NAME = "[a-zA-Z_$][a-zA-Z0-9_$]{3,}"

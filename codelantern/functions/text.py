@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from codelantern import fixed_values as fv
 
-_SPACE_CLASS = "".join(f"\\x{{{ord(c):04X}}}" for c in fv.SPACE_CHARS)
-RAW_WORD_SPLIT = f"[{_SPACE_CLASS}{fv.WORD_DELIMITERS}]+"
+# fv.SPACE_CHARS as a regex class body; ranges match faster than single characters.
+SPACE_CLASS = r"\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+RAW_WORD_SPLIT = f"[{SPACE_CLASS}{fv.WORD_DELIMITERS}]+"
 LINE_BREAK = "\r?\n"
 
 
@@ -54,12 +55,11 @@ def tokenize(text: Column) -> Column:
     units, so a lone supplementary character (four bytes in UTF-8) counts.
     """
     whole = F.filter(
-        F.split(F.lower(text), RAW_WORD_SPLIT),
-        lambda w: (F.length(w) > 1) | (F.octet_length(w) > 3),
+        F.split(F.lower(text), RAW_WORD_SPLIT), lambda w: (F.length(w) > 1) | (F.octet_length(w) > 3)
     )
-    parts = F.filter(
-        F.split(F.lower(F.regexp_replace(text, fv.CAMEL_BOUNDARY, "$1 $2")), fv.SUBTOKEN_DELIMITERS),
-        lambda w: F.length(w) > 1,
+    # Matching runs is several times faster in Java than splitting at a negated class.
+    parts = F.regexp_extract_all(
+        F.lower(F.regexp_replace(text, fv.CAMEL_BOUNDARY, "$1 $2")), F.lit(fv.SUBTOKEN), F.lit(0)
     )
     empty = F.array().cast("array<string>")
     return F.coalesce(F.array_distinct(F.concat(whole, parts)), empty)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from codelantern import fixed_values as fv
 from codelantern.functions.text import (
-    _SPACE_CLASS,
+    SPACE_CLASS,
     LINE_BREAK,
     basename,
     count_lines,
@@ -29,7 +29,7 @@ _ARROW_PIECE = pa.list_(pa.struct([
     ("symbol_name", pa.string()), ("symbol_type", pa.string()), ("start_line", pa.int32()),
     ("end_line", pa.int32()), ("content", pa.string()), ("twin", pa.int32()),
 ]))
-_HEADER = f"^{fv.MARKDOWN_HEADER}[{_SPACE_CLASS}]+([^\\n\\r\\x{{2028}}\\x{{2029}}]+)\\z"
+_HEADER = f"^{fv.MARKDOWN_HEADER}[{SPACE_CLASS}]+([^\\n\\r\\x{{2028}}\\x{{2029}}]+)\\z"
 
 
 def route_of(path: Column) -> Column:

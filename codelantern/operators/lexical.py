@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from codelantern import fixed_values as fv
 from codelantern.config import SearchOptions
 from codelantern.functions.text import tokenize
-from codelantern.operators.sizing import hinted, is_small
+from codelantern.operators.sizing import durable, hinted, is_small
 
 # A document is counted through one posting with this token, which no text can produce.
 DOCUMENT_MARK = ""
@@ -71,96 +71,101 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Postings plus term statistics, either derived on the fly or read from saved tables."""
+    """Postings with their statistics: saved tables, or the chunks to derive them from per batch."""
 
-    postings: DataFrame
+    postings: DataFrame | None
+    doc_freq: DataFrame | None
+    stats: DataFrame | None
     chunks: DataFrame | None = None
-    doc_freq: DataFrame | None = None
-    stats: DataFrame | None = None
 
     @classmethod
     def over(cls, chunks: DataFrame) -> LexicalIndex:
-        return cls(postings=postings(chunks), chunks=chunks)
+        """No saved index: each batch reads the texts once and keeps only the postings it asks for."""
+        return cls(None, None, None, chunks)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
         read = spark.read.parquet
-        return cls(read(f"{path}/postings"), None, read(f"{path}/doc_freq"), read(f"{path}/stats"))
+        return cls(read(f"{path}/postings"), read(f"{path}/doc_freq"), read(f"{path}/stats"))
 
     @staticmethod
     def save(chunks: DataFrame, path: str, snapshot: str) -> str:
-        """Write the index of one snapshot.  Sorted by token, so a query reads few row groups.
+        """Write the index of one snapshot, so that a new snapshot never meets an old index.
 
-        Range partitioning samples the keys and puts one hot token in one file
-        range at most; ``ord`` as second key lets such a token span several.
+        Sorted by token, a query reads few row groups.  The range partitioning
+        has the document as its last key: one hot token may span many files.
         """
         target = f"{path}/{snapshot}"
-        rows = postings(chunks)
-        (rows.repartitionByRange("repo_id", "token", "ord").sortWithinPartitions("repo_id", "token", "ord")
-             .write.mode("overwrite").parquet(f"{target}/postings"))
+        keys = ["repo_id", "token", "ord"]
+        rows = postings(chunks, with_marks=True).repartitionByRange(*keys).sortWithinPartitions(*keys)
+        rows.write.mode("overwrite").parquet(f"{target}/postings")
         stored = chunks.sparkSession.read.parquet(f"{target}/postings")
-        (stored.groupBy("repo_id", "token").agg(F.count(F.lit(1)).alias("df"))
-               .write.mode("overwrite").parquet(f"{target}/doc_freq"))
-        corpus_stats(chunks).write.mode("overwrite").parquet(f"{target}/stats")
+        doc_freq, stats = _statistics(stored)
+        doc_freq.write.mode("overwrite").parquet(f"{target}/doc_freq")
+        stats.write.mode("overwrite").parquet(f"{target}/stats")
         return target
 
-    def term_stats(self, vocabulary: DataFrame, small: bool) -> DataFrame:
-        """``(repo_id, token, df, n_docs, avg_dl)`` for the asked ``(repo_id, token)`` pairs."""
+    def for_terms(self, terms: DataFrame, small: bool, options: SearchOptions) -> LexicalIndex:
+        """The part of the index that a batch of query terms can touch."""
+        asked = terms.select("repo_id", "token").distinct()
         if self.chunks is None:
-            return (
-                self.doc_freq.join(hinted(vocabulary, small), ["repo_id", "token"], "left_semi")
-                .join(self.stats, "repo_id")
-            )
-        marks = vocabulary.select("repo_id").distinct().withColumn("token", F.lit(DOCUMENT_MARK))
-        asked = vocabulary.unionByName(marks)
-        counted = (
-            postings(self.chunks, with_marks=True).select("repo_id", "token", "dl")
-            .join(hinted(asked, small), ["repo_id", "token"], "left_semi")
-            .groupBy("repo_id", "token")
-            .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_dl"))
-        )
-        # At most one row per asked pair is left here, so the window is as small as the batch.
-        per_repo = Window.partitionBy("repo_id")
-        is_mark = F.col("token") == DOCUMENT_MARK
-        return counted.select(
-            "repo_id", "token", "df",
-            F.max(F.when(is_mark, F.col("df"))).over(per_repo).alias("n_docs"),
-            F.max(F.when(is_mark, F.col("total_dl") / F.col("df"))).over(per_repo).alias("avg_dl"),
-        ).where(~is_mark)
+            return self
+        marks = asked.select("repo_id").distinct().withColumn("token", F.lit(DOCUMENT_MARK))
+        rows = durable(_on_terms(
+            postings(self.chunks, with_marks=True), asked.unionByName(marks), "left_semi", small, options
+        ))
+        return LexicalIndex(rows, *_statistics(rows))
+
+
+def _statistics(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Document frequencies, and documents with mean length, from postings with document marks."""
+    counted = rows.groupBy("repo_id", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_dl"))
+    is_mark = F.col("token") == DOCUMENT_MARK
+    stats = counted.where(is_mark).select(
+        "repo_id", F.col("df").alias("n_docs"), (F.col("total_dl") / F.col("df")).alias("avg_dl")
+    )
+    return counted.where(~is_mark).select("repo_id", "token", "df"), stats
+
+
+def _on_terms(rows: DataFrame, terms: DataFrame, how: str, small: bool, options: SearchOptions) -> DataFrame:
+    """Join postings with query terms on ``(repo_id, token)``.
+
+    A measured small batch is broadcast and the postings stay where they are.
+    Otherwise both sides are shuffled; since one common token may own a third of
+    all postings, its key is split by document and the terms are copied per salt.
+    """
+    keys = ["repo_id", "token"]
+    if small:
+        return rows.join(F.broadcast(terms), keys, how)
+    salt = F.pmod(F.xxhash64("id"), F.lit(options.salts)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(options.salts - 1)))
+    return rows.withColumn("salt", salt).join(terms.withColumn("salt", copies), [*keys, "salt"], how).drop("salt")
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
     """``(query_id, repo_id, token, pos)``; a blank query has no tokens and so no rows."""
     return queries.select(
-        "query_id", "repo_id", F.posexplode(tokenize(F.col("text"))).alias("pos", "token")
-    )
+        "query_id", "repo_id", F.posexplode_outer(tokenize(F.col("text"))).alias("pos", "token")
+    ).where(F.col("token").isNotNull())
 
 
-def weighted_terms(index: LexicalIndex, queries: DataFrame, small: bool) -> DataFrame:
-    terms = query_tokens(queries)
-    stats = index.term_stats(terms.select("repo_id", "token").distinct(), small)
+def weighted_terms(index: LexicalIndex, terms: DataFrame, small: bool) -> DataFrame:
+    """Query terms with their inverse document frequency; unknown terms drop out."""
+    # Restricted to the repositories asked about, the statistics are no larger than the batch.
+    stats = index.stats.join(hinted(terms.select("repo_id").distinct(), small), "repo_id", "left_semi")
+    known = index.doc_freq.join(hinted(terms, small), ["repo_id", "token"]).join(hinted(stats, small), "repo_id")
     n, df = F.col("n_docs"), F.col("df")
-    return terms.join(stats, ["repo_id", "token"]).select(
-        "query_id", "repo_id", "token", "pos", "avg_dl",
-        F.log((n - df + 0.5) / (df + 0.5) + 1.0).alias("idf"),
+    return known.select(
+        "query_id", "repo_id", "token", "pos", "avg_dl", F.log((n - df + 0.5) / (df + 0.5) + 1.0).alias("idf")
     )
 
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
     """Score of every (query, chunk) pair that shares a token."""
     small = is_small(queries, options, F.octet_length("text"))
-    terms = weighted_terms(index, queries, small)
-    keys = ["repo_id", "token"]
-    if small:
-        hits = index.postings.join(F.broadcast(terms), keys)
-    else:
-        # Large batch: shuffle both sides.  A common token may own a third of all
-        # postings, so its key is split by document and the query side copied per salt.
-        salt = F.pmod(F.xxhash64("id"), F.lit(options.salts)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(options.salts - 1)))
-        hits = index.postings.withColumn("salt", salt).join(
-            terms.withColumn("salt", copies), [*keys, "salt"]
-        )
+    terms = query_tokens(queries)
+    index = index.for_terms(terms, small, options)
+    hits = _on_terms(index.postings, weighted_terms(index, terms, small), "inner", small, options)
     tf, dl = F.col("tf"), F.col("dl")
     mean = F.when(F.col("avg_dl") > 0, F.col("avg_dl")).otherwise(1.0)
     norm = 1.0 - fv.BM25_B + fv.BM25_B * (dl / mean)

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from codelantern import fixed_values as fv
 from codelantern.config import SearchOptions
-from codelantern.functions.text import _SPACE_CLASS, is_blank
+from codelantern.functions.text import SPACE_CLASS, is_blank
 from codelantern.operators.lexical import LexicalIndex, bm25_search
+from codelantern.operators.sizing import hinted, is_small
 
 # Java's \b knows accented letters; the boundary meant here is the ASCII one.
 _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
-_REFERENCE = rf"{_BOUNDARY}({fv.SYMBOL_NAME})[{_SPACE_CLASS}]*(?:\(\)|:)"
+_REFERENCE = rf"{_BOUNDARY}({fv.SYMBOL_NAME})[{SPACE_CLASS}]*(?:\(\)|:)"
 
 
 def symbol_references(answers: DataFrame) -> DataFrame:
@@ -67,8 +68,9 @@ def reference_lookup(
 
     limited = SearchOptions(**{**options.__dict__, "top_k": top_k})
     hits = bm25_search(index, asked.withColumn("text", F.col("symbol")), limited)
+    small = is_small(asked, options, F.lit(200 * top_k))
     exact = (
-        hits.join(asked.select("query_id", "symbol"), "query_id")
+        hinted(hits.join(asked.select("query_id", "symbol"), "query_id"), small)
         .join(located.drop("ord", "repo_id"), "id")
         .where((name == wanted) | path.contains(wanted))
         .select("query_id", "repo_id", "id", "score", "bm25_rank", F.col("bm25_rank").alias("position"))
@@ -77,13 +79,13 @@ def reference_lookup(
     store_order = Window.partitionBy("repo_id").orderBy("ord")
     # The scan depth is part of the lookup's definition; tasks trim to it before the shuffle.
     head = (
-        located.join(unmet.select("repo_id").distinct(), "repo_id", "left_semi")
+        located.join(hinted(unmet.select("repo_id").distinct(), small), "repo_id", "left_semi")
         .withColumn("place", F.row_number().over(store_order))
         .where(F.col("place") <= fv.REFERENCE_SCAN_LIMIT)
     )
     by_place = Window.partitionBy("query_id").orderBy("place")
     fallback = (
-        unmet.join(head, "repo_id").where(name.contains(wanted) | path.contains(wanted))
+        hinted(unmet, small).join(head, "repo_id").where(name.contains(wanted) | path.contains(wanted))
         .withColumn("position", F.row_number().over(by_place))
         .where(F.col("position") <= top_k)
         .select(

@@ -142,7 +142,7 @@ def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two retrieved chunks per answer: the document of the same number, then the next one."""
-    rows = chunks(spark, sf_dir)
+    rows = chunk_columns(files(spark, sf_dir))
     own = rows.select(F.col("ord").alias("answer_id"), F.lit(1).alias("rank"), "*")
     following = rows.select((F.col("ord") - 1).alias("answer_id"), F.lit(2).alias("rank"), "*")
     return own.unionByName(following).where(F.col("answer_id") >= 0)

@@ -126,7 +126,7 @@ def repo_count(spark, d):
 
 
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks without their text: only narrow columns are read."""
+    """Chunks as scanned, for uses that read narrow columns or a few rows."""
     return corpus.chunk_columns(corpus.files(spark, d))
 
 
@@ -264,7 +264,8 @@ def cosine_similarity(spark, d):
 @query
 def hash_embed(spark, d):
     rows = embedding.embed_chunks(corpus.chunks(spark, d), embedding.HashingEmbedder(HASH_DIM))
-    return rows.select(_doc_id(), F.posexplode("embedding").alias("slot", "weight")).select(
+    # The outer form: a filter inferred from a plain explode would embed every text twice.
+    return rows.select(_doc_id(), F.posexplode_outer("embedding").alias("slot", "weight")).select(
         "doc_id", "slot", F.round(F.col("weight").cast("double"), 4).alias("weight")
     )
 
@@ -296,7 +297,7 @@ def _index(spark: SparkSession, d: str) -> lexical.LexicalIndex:
 
 def _retrieval(spark: SparkSession, d: str) -> Retrieval:
     return hybrid_retrieve(
-        corpus.questions(spark, d), corpus.chunks(spark, d), _index(spark, d), corpus.vectors(spark, d)
+        corpus.questions(spark, d), _kinds(spark, d), _index(spark, d), corpus.vectors(spark, d)
     )
 
 
@@ -375,7 +376,7 @@ def unretrieved_refs(spark, d):
 
 
 def _lookup(spark: SparkSession, d: str) -> DataFrame:
-    return references.reference_lookup(_index(spark, d), corpus.chunks(spark, d), corpus.references(spark, d))
+    return references.reference_lookup(_index(spark, d), _kinds(spark, d), corpus.references(spark, d))
 
 
 @query
@@ -404,7 +405,7 @@ def prompt_assemble(spark, d):
 
 def _answers(spark: SparkSession, d: str) -> Answers:
     return answer_questions(
-        corpus.questions(spark, d), corpus.chunks(spark, d), _index(spark, d),
+        corpus.questions(spark, d), _kinds(spark, d), _index(spark, d),
         corpus.MentioningModel(), corpus.vectors(spark, d),
     )
 
