@@ -38,7 +38,7 @@ class HashingEmbedder:
             rows = np.repeat(np.arange(len(slots)), counts)
             signs = 1.0 - 2.0 * (packed % 2)
             cells = np.bincount(rows * dim + packed // 2, weights=signs, minlength=len(slots) * dim)
-            matrix = cells.reshape(len(slots), dim)
+            matrix = cells.astype("float64").reshape(len(slots), dim)
             norms = np.linalg.norm(matrix, axis=1, keepdims=True)
             unit = np.divide(matrix, norms, out=matrix, where=norms > 0).astype("float32")
             offsets = pa.array(np.arange(len(slots) + 1, dtype="int32") * dim)
