@@ -40,7 +40,8 @@ class SearchOptions:
     top_n: int = fv.TOP_N
     rrf_k: int = fv.RRF_K
     broadcast_rows: int = 50_000
-    broadcast_bytes: int = 32 * 1024 * 1024
+    broadcast_bytes: int = 16 * 1024 * 1024
+    listed_repos: int = 1_000
     salts: int = 16
     block_rows: int = 50_000
     block_queries: int = 2_000

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from codelantern import fixed_values as fv
 from codelantern.config import SearchOptions
 from codelantern.functions.text import tokenize
-from codelantern.operators.sizing import durable, hinted, is_small
+from codelantern.operators.sizing import durable, hinted, is_small, only_repos
 
 # A document is counted through one posting with this token, which no text can produce.
 DOCUMENT_MARK = ""
@@ -105,6 +105,12 @@ class LexicalIndex:
         stats.write.mode("overwrite").parquet(f"{target}/stats")
         return target
 
+    def narrowed(self, queries: DataFrame, options: SearchOptions) -> LexicalIndex:
+        """The index with the repositories of a batch pushed into its scans."""
+        if self.chunks is not None:
+            return LexicalIndex.over(only_repos(self.chunks, queries, options))
+        return LexicalIndex(*[only_repos(t, queries, options) for t in (self.postings, self.doc_freq, self.stats)])
+
     def for_terms(self, terms: DataFrame, small: bool, options: SearchOptions) -> LexicalIndex:
         """The part of the index that a batch of query terms can touch."""
         asked = terms.select("repo_id", "token").distinct()
@@ -164,7 +170,7 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame, options: SearchOptions
     """Score of every (query, chunk) pair that shares a token."""
     small = is_small(queries, options, F.octet_length("text"))
     terms = query_tokens(queries)
-    index = index.for_terms(terms, small, options)
+    index = index.narrowed(queries, options).for_terms(terms, small, options)
     hits = _on_terms(index.postings, weighted_terms(index, terms, small), "inner", small, options)
     tf, dl = F.col("tf"), F.col("dl")
     mean = F.when(F.col("avg_dl") > 0, F.col("avg_dl")).otherwise(1.0)

@@ -9,7 +9,7 @@ from codelantern import fixed_values as fv
 from codelantern.config import SearchOptions
 from codelantern.functions.text import SPACE_CLASS, is_blank
 from codelantern.operators.lexical import LexicalIndex, bm25_search
-from codelantern.operators.sizing import hinted, is_small
+from codelantern.operators.sizing import hinted, is_small, only_repos
 
 # Java's \b knows accented letters; the boundary meant here is the ASCII one.
 _WORD = "[A-Za-z0-9_]"
@@ -63,7 +63,7 @@ def reference_lookup(
     chunks of its repository whose symbol or path contains it.
     """
     asked = references.where(~is_blank(F.col("symbol")))
-    located = chunks.select("repo_id", "id", "ord", "file_path", F.coalesce("symbol_name", F.lit("")).alias("symbol_name"))
+    located = only_repos(chunks, asked, options).select("repo_id", "id", "ord", "file_path", F.coalesce("symbol_name", F.lit("")).alias("symbol_name"))
     wanted, path, name = F.lower("symbol"), F.lower("file_path"), F.lower("symbol_name")
 
     limited = SearchOptions(**{**options.__dict__, "top_k": top_k})

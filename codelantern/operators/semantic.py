@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from codelantern.config import SearchOptions
 from codelantern.functions.text import is_blank
-from codelantern.operators.sizing import hinted, is_small
+from codelantern.operators.sizing import hinted, is_small, only_repos
 
 # Identical vectors must tie whatever the summation order; they do at nine decimals.
 SCORE_SCALE = 10**9
@@ -150,7 +150,9 @@ def semantic_search(chunks: DataFrame, queries: DataFrame, options: SearchOption
     asked = queries.where(~is_blank(F.col("text")) & F.col("vector").isNotNull()).select(
         "query_id", "repo_id", "vector"
     )
-    stored = chunks.where(F.col("embedding").isNotNull()).select("repo_id", "id", "ord", "embedding")
+    stored = only_repos(chunks, asked, options).where(F.col("embedding").isNotNull()).select(
+        "repo_id", "id", "ord", "embedding"
+    )
     if is_small(asked, options, 8 * F.size("vector")):
         found = _scan_with_broadcast(asked, stored, options.top_k)
     else:

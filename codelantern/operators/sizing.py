@@ -22,6 +22,18 @@ def is_small(df: DataFrame, options: SearchOptions, nbytes: Column) -> bool:
     return rows <= options.broadcast_rows and (total or 0) <= options.broadcast_bytes
 
 
+def only_repos(rows: DataFrame, batch: DataFrame, options: SearchOptions) -> DataFrame:
+    """Push the repositories of a batch into the scan of ``rows``, when they are few enough to list.
+
+    As a literal filter they prune partitions and row groups; with more
+    repositories than ``listed_repos`` the joins alone select.
+    """
+    found = batch.select("repo_id").distinct().limit(options.listed_repos + 1).collect()
+    if len(found) > options.listed_repos:
+        return rows
+    return rows.where(F.col("repo_id").isin([row.repo_id for row in found]))
+
+
 def hinted(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 

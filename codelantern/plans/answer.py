@@ -20,7 +20,7 @@ from codelantern.operators.references import (
     reference_lookup,
     unretrieved_references,
 )
-from codelantern.operators.sizing import durable, is_small
+from codelantern.operators.sizing import durable, is_small, only_repos
 from codelantern.plans.retrieve import hybrid_retrieve, locate
 
 
@@ -52,6 +52,7 @@ def answer_questions(
     is used several times, and a model must be asked once per prompt.
     """
     model = model or ExtractiveModel()
+    chunks = only_repos(chunks, questions, search)
     found = hybrid_retrieve(questions, chunks, index, vectors, search, store=True)
     hits = durable(found.hits)
     judged = durable(questions.select("query_id", "repo_id", "text").join(found.confidence, "query_id"))

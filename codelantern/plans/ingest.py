@@ -10,6 +10,7 @@ from codelantern.config import FilterConfig
 from codelantern.operators.chunking import chunk_files
 from codelantern.operators.embedding import Embedder, HashingEmbedder, embed_chunks
 from codelantern.operators.filtering import select_files
+from codelantern.operators.sizing import durable
 from codelantern.operators.summaries import ingest_summary, repo_size_guard
 from codelantern.sources.listing import list_files, read_files
 from codelantern.sources.repos import RepoTooLarge
@@ -27,18 +28,19 @@ def ingest_repositories(
 
     The old rows of a repository stay until its new ones are complete.
     """
-    too_big = repo_size_guard(list_files(repos), max_repo_bytes).where("over_cap").limit(20).collect()
+    # One walk over the trees: the size guard counts every file, the rest prunes the stored listing.
+    listing = durable(list_files(repos))
+    too_big = repo_size_guard(listing, max_repo_bytes).where("over_cap").limit(20).collect()
     if too_big:
         raise RepoTooLarge(f"over {max_repo_bytes} bytes: {[row.repo_id for row in too_big]}")
-    selected = select_files(list_files(repos, config.ignored_directories), config)
+    selected = select_files(listing, config)
     empty = repos.join(selected.select("repo_id").distinct(), "repo_id", "left_anti").select("repo_id").limit(20)
     without_files = [row.repo_id for row in empty.collect()]
     if without_files:
         raise ValueError(f"no eligible file in {without_files}")
     chunks = chunk_files(read_files(selected))
     store.replace(embed_chunks(chunks, embedder or HashingEmbedder()))
-    written = store.scan().join(repos.select("repo_id"), "repo_id", "left_semi")
-    summary = ingest_summary(selected, written)
+    summary = ingest_summary(selected, store.scan_of(repos))
     if summary.count() < repos.select("repo_id").distinct().count():
         raise ValueError("a repository gave no chunk")
     return summary.select("*", F.current_timestamp().alias("finished_at"))

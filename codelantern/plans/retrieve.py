@@ -11,7 +11,7 @@ from codelantern.config import SearchOptions
 from codelantern.operators.fusion import confidence, fuse, retrieval_stats, top_hits
 from codelantern.operators.lexical import LexicalIndex, bm25_search
 from codelantern.operators.semantic import semantic_search
-from codelantern.operators.sizing import durable, hinted, is_small
+from codelantern.operators.sizing import durable, hinted, is_small, only_repos
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,7 @@ def hybrid_retrieve(
     default the embeddings of ``chunks`` are used.  ``store`` keeps the fused
     ranking as a table, for callers that use more than one part of the result.
     """
+    chunks = only_repos(chunks, questions, options)
     semantic = semantic_search(chunks if vectors is None else vectors, questions, options)
     lexical = bm25_search(index, questions, options)
     fused = fuse(semantic, lexical, options)
