@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from codelantern import fixed_values as fv
 from codelantern.functions.text import embedding_text
 from codelantern.functions.vectors import token_slots
+from codelantern.operators.models import ServiceError
 
 
 class Embedder(Protocol):
@@ -106,6 +110,46 @@ def onnx_sentence_model(directory: str, max_tokens: int = 256) -> Callable[[], C
     return load
 
 
+class ServiceEmbedder(ModelEmbedder):
+    """An embedding service called from the tasks in small batches.
+
+    ``send(model, texts)`` returns one vector per text or raises ``ServiceError``,
+    whose message may suggest a delay.  On a rate limit the second model takes
+    over at once; other failures wait, doubling up to 30 seconds.
+    """
+
+    def __init__(
+        self, send: Callable[[str, list[str]], list[list[float]]], model: str, fallback: str,
+        dimension: int = fv.CLOUD_EMBEDDING_DIM, batch_size: int = fv.CLOUD_BATCH, first_delay: float = 2.0,
+    ):
+        def call(texts: list[str]) -> np.ndarray:
+            current, delay = model, first_delay
+            for attempt in range(1, fv.MAX_ATTEMPTS + 1):
+                try:
+                    return np.asarray(send(current, texts), dtype="float32")
+                except ServiceError as error:
+                    if attempt == fv.MAX_ATTEMPTS:
+                        raise
+                    if error.limited and current != fallback:
+                        current = fallback
+                        continue
+                    time.sleep(suggested_delay(str(error), delay))
+                    delay = min(delay * 2, 30.0)
+            raise AssertionError("unreachable")
+
+        super().__init__(lambda: call, dimension, batch_size)
+
+
+def suggested_delay(message: str, default: float) -> float:
+    """Seconds a service asks to wait (plus half a second, at most a minute), or ``default``."""
+    match = re.search(r'(?:"retryDelay":\s*"|retry in )([\d.]+)s', message, re.IGNORECASE)
+    try:
+        seconds = float(match.group(1)) if match else 0.0
+    except ValueError:
+        seconds = 0.0
+    return min(math.ceil(seconds * 1000) / 1000 + 0.5, 60.0) if seconds > 0 else default
+
+
 def embed_chunks(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     """Add ``embedding`` over the text enriched with path and symbol."""
     text = embedding_text(F.col("file_path"), F.col("symbol_name"), F.col("symbol_type"), F.col("content"))

@@ -265,6 +265,10 @@ CTES["answered"] = """SELECT query_id, f.text, false AS low_confidence, s.reason
     query_id IN (SELECT query_id FROM hop_found) AS multi_hop, 'extractive' AS model
     FROM final_told f JOIN signal s USING (query_id)"""
 
+CTES["final_cited"] = CTES["cited"].replace("FROM told", "FROM (SELECT query_id AS answer_id, text FROM answered)")
+CTES["final_given"] = "SELECT a.query_id AS answer_id, a.rank, c.* FROM active a JOIN chunks c USING (id)"
+CTES["final_audited"] = CTES["audited"].replace("FROM cited c LEFT JOIN given g", "FROM final_cited c LEFT JOIN final_given g")
+
 
 def _sql(statement: str) -> str:
     needed: list[str] = []
@@ -416,7 +420,7 @@ STATEMENTS: dict[str, str] = {
       FROM ({_ROUTED}) JOIN (SELECT repo_id, path AS file_path, count(*) OVER (PARTITION BY repo_id) AS file_count FROM (
         SELECT *, {_reason().format(cap=fv.MAX_FILE_SIZE_BYTES)} AS reason FROM files) WHERE reason IS NULL AND NOT {_PRUNED})
         USING (repo_id, file_path) GROUP BY repo_id, file_count""",
-    "cosine_similarity": """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], model::DOUBLE[]), 6) AS cosine
+    "cosine": """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], model::DOUBLE[]), 6) AS cosine
         FROM embeddings JOIN (SELECT label, min_by(embedding, vec_id) AS model FROM embeddings GROUP BY label) USING (label)""",
     "hash_embed": f"""SELECT doc_id, slot, round((coalesce(weight, 0) / norm)::FLOAT::DOUBLE, 4) AS weight FROM (
         SELECT doc_id, slot, weight, sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS norm
@@ -450,6 +454,15 @@ STATEMENTS: dict[str, str] = {
     "context_budget": "SELECT query_id, rank, cum_chars, block FROM hits_blocks",
     "prompt_assemble": "SELECT query_id, user_prompt FROM hits_prompts",
     "grounded_answers": "SELECT query_id, text, low_confidence, reason, multi_hop, model FROM answered",
+    "answer_citations": "SELECT answer_id, ord, tag, file_path, start_line, end_line, valid, "
+        "CASE WHEN valid THEN snippet END AS snippet FROM final_audited",
+    "answer_json": """SELECT query_id, json_object('success', true, 'answer', json_object('text', text,
+        'citations', coalesce(cited, []), 'invalidCitations', coalesce(wrong, []), 'lowConfidence', low_confidence,
+        'confidenceReason', reason, 'multiHopTriggered', multi_hop, 'model', model))::VARCHAR AS body
+      FROM answered LEFT JOIN (
+        SELECT answer_id AS query_id, list({filePath: file_path, startLine: start_line, endLine: end_line, snippet: snippet}
+            ORDER BY ord) FILTER (valid) AS cited, list(tag ORDER BY ord) FILTER (NOT valid) AS wrong
+        FROM final_audited GROUP BY answer_id) USING (query_id)""",
     "upsert": f"""WITH incoming AS (
         SELECT d.doc_id::VARCHAR AS id, d.source AS repo_id, d.text || ' q=' || l.quality AS content
         FROM documents d JOIN labels l USING (doc_id)

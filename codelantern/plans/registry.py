@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from codelantern.config import FilterConfig
 from codelantern.functions import text as tx
-from codelantern.functions.vectors import cosine
+from codelantern.functions import vectors
 from codelantern.operators import (
     chunking,
     citations,
@@ -254,11 +254,11 @@ def ingest_summary(spark, d):
 
 # -- vectors -----------------------------------------------------------------
 @query
-def cosine_similarity(spark, d):
-    vectors = corpus.table(spark, d, "embeddings")
-    first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("model"))
-    score = cosine(F.col("embedding"), F.col("model"))
-    return vectors.join(first, "label").select("vec_id", F.round(score, 6).alias("cosine"))
+def cosine(spark, d):
+    stored = corpus.table(spark, d, "embeddings")
+    first = stored.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("model"))
+    score = vectors.cosine(F.col("embedding"), F.col("model"))
+    return stored.join(first, "label").select("vec_id", F.round(score, 6).alias("cosine"))
 
 
 @query
@@ -415,6 +415,11 @@ def grounded_answers(spark, d):
     return _answers(spark, d).answers
 
 
+@query
+def answer_citations(spark, d):
+    return _answers(spark, d).citations
+
+
 @query
 def answer_json(spark, d):
     return answers_as_json(_answers(spark, d))

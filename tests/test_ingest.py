@@ -6,8 +6,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelantern.config import FilterConfig
-from codelantern.operators.embedding import HashingEmbedder, ModelEmbedder, embed_chunks, embed_questions
+from codelantern.engine import Engine
+from codelantern.operators.embedding import (
+    HashingEmbedder,
+    ModelEmbedder,
+    ServiceEmbedder,
+    embed_chunks,
+    embed_questions,
+    suggested_delay,
+)
 from codelantern.operators.lexical import LexicalIndex
+from codelantern.operators.models import ServiceError
 from codelantern.plans.ingest import ingest_repositories
 from codelantern.plans.retrieve import hybrid_retrieve
 from codelantern.schema import CHUNKS
@@ -116,6 +125,33 @@ def test_embedders(spark):
     assert found.embedding == [len("File: 1.py \n\nhello"), 1.0]
 
 
+def test_service_embedder(spark):
+    def send(model, texts):
+        if model == "first":
+            raise ServiceError("quota", limited=True)
+        return [[float(len(t)), 2.0] for t in texts]
+
+    texts = spark.createDataFrame([(1, "abc")], "query_id int, text string")
+    embedder = ServiceEmbedder(send, "first", "second", dimension=2, first_delay=0.0)
+    assert embed_questions(texts, embedder).first().vector == [3.0, 2.0]
+    assert suggested_delay('{"retryDelay": "7s"}', 2.0) == 7.5
+    assert suggested_delay("please retry in 120.2s", 2.0) == 60.0
+    assert suggested_delay("broken", 2.0) == 2.0
+
+
+def test_engine(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"), HashingEmbedder(32))
+    assert engine.health()["status"] == "healthy"
+    engine.ingest(repo_rows(spark, ("o/r", tree)))
+    assert engine.files("o/r").count() == 5
+    answer = engine.ask("o/r", "where is load_config?")
+    assert answer["success"] and any(c["filePath"] == "src/app.py" for c in answer["answer"]["citations"])
+    assert engine.ask("o/none", "what?")["answer"]["lowConfidence"]
+    assert engine.ask("o/r", "  ") == {"success": False, "error": "question must be a non-empty string"}
+    hits = engine.search(engine.questions([(5, "o/r", "load_config")])).hits
+    assert hits.orderBy("rank").first().symbol_name == "load_config"
+
+
 def test_stream(spark, tmp_path):
     source, schema = tmp_path / "in", "repo_id string, path string, size_bytes bigint, content string"
     rows = [("o/r", "a.py", 5, "def f(): pass"), ("o/r", "x/test/b.py", 5, "x"), ("o/r", "b.md", 5, "# T\nb")]
