@@ -14,6 +14,7 @@ from codelantern.config import FilterConfig, GenerationOptions, SearchOptions, r
 from codelantern.operators.embedding import Embedder, HashingEmbedder, embed_questions
 from codelantern.operators.lexical import LexicalIndex
 from codelantern.operators.models import AnswerModel, ExtractiveModel
+from codelantern.operators.sizing import durable
 from codelantern.operators.summaries import file_inventory
 from codelantern.operators.symbols import file_symbols
 from codelantern.plans.answer import Answers, answer_questions, answers_as_json
@@ -54,7 +55,8 @@ class Engine:
             remove_tree(root.parent)
 
     def questions(self, rows: list[tuple[int, str, str]]) -> DataFrame:
-        return embed_questions(self.spark.createDataFrame(rows, QUESTION), self.embedder)
+        """Embedded once and stored: every search measures and reads its questions several times."""
+        return durable(embed_questions(self.spark.createDataFrame(rows, QUESTION), self.embedder))
 
     def search(self, questions: DataFrame, options: SearchOptions = SearchOptions()) -> Retrieval:
         chunks = self.store.scan_of(questions)

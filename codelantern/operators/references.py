@@ -11,10 +11,13 @@ from codelantern.functions.text import SPACE_CLASS, is_blank
 from codelantern.operators.lexical import LexicalIndex, bm25_search
 from codelantern.operators.sizing import hinted, is_small, only_repos
 
-# Java's \b knows accented letters; the boundary meant here is the ASCII one.
+# An ASCII word boundary, then the name: a letter or underscore starts a word, a
+# dollar sign is no word character and so needs one before it.  (Java's own \b
+# knows accented letters.)  Possessive, as a shorter name can never match either.
 _WORD = "[A-Za-z0-9_]"
-_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
-_REFERENCE = rf"{_BOUNDARY}({fv.SYMBOL_NAME})[{SPACE_CLASS}]*(?:\(\)|:)"
+_REFERENCE = (
+    rf"((?:(?<!{_WORD})[a-zA-Z_]|(?<={_WORD})\$)[a-zA-Z0-9_$]{{3,}}+)[{SPACE_CLASS}]*+(?:\(\)|:)"
+)
 
 
 def symbol_references(answers: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,11 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(cores, *columns)
 
 
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"{application}-")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Store ``df`` once in the cluster's shared checkpoint folder and read it back.
 
@@ -63,8 +69,7 @@ def durable(df: DataFrame) -> DataFrame:
     if not shared:
         if not session.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="checkpoint-")
-        session.conf.set("spark.checkpoint.dir", shared)
+        shared = _local_folder(session.sparkContext.applicationId)
     path = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return session.read.schema(df.schema).parquet(path)

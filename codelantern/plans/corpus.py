@@ -137,7 +137,7 @@ def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(":1-3] [missing.go:"), s(d), F.lit("]. See doc_"), s(d), F.lit("() before doc_"), s(d * 13 % 1000),
         F.lit("() Note: helper_fn () return: doc_"), s(d), F.lit("()"),
     )
-    return files(spark, sf_dir).select(d.alias("answer_id"), F.concat("content", tail).alias("text"))
+    return spread(files(spark, sf_dir), "doc_id").select(d.alias("answer_id"), F.concat("content", tail).alias("text"))
 
 
 def answer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

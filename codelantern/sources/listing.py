@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 LISTING = "repo_id string, root string, path string, size_bytes bigint"
 READ_ROWS = 64
+READ_BYTES = 256 * 1024 * 1024
 
 
 def list_files(repos: DataFrame, skip_directories: tuple[str, ...] = ()) -> DataFrame:
@@ -46,14 +47,16 @@ def list_files(repos: DataFrame, skip_directories: tuple[str, ...] = ()) -> Data
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    tasks = max(repos.sparkSession.sparkContext.defaultParallelism, repos.rdd.getNumPartitions())
+    # A fixed number of tasks: by their few bytes the rows would be merged into one.
+    tasks = 2 * repos.sparkSession.sparkContext.defaultParallelism
     return repos.select("repo_id", "root").repartition(tasks, "repo_id").mapInArrow(walk, LISTING)
 
 
 def read_files(listing: DataFrame) -> DataFrame:
     """Add ``content`` as UTF-8; malformed bytes become U+FFFD and a vanished file gives no row.
 
-    Files are dealt out by name, so one large repository is read by many tasks.
+    Files are dealt out by name, so one large repository is read by many tasks;
+    the listing's sizes, not its own few bytes, decide how many.
     """
     schema = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("size_bytes", pa.int64()),
                         ("content", pa.string())])
@@ -73,7 +76,9 @@ def read_files(listing: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    dealt = listing.repartition("repo_id", "path")
+    total = listing.agg(F.sum("size_bytes")).first()[0] or 0
+    tasks = max(listing.sparkSession.sparkContext.defaultParallelism, total // READ_BYTES + 1)
+    dealt = listing.repartition(tasks, "repo_id", "path")
     return dealt.mapInArrow(read, "repo_id string, path string, size_bytes bigint, content string")
 
 
