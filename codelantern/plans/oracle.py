@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 
 from codelantern import fixed_values as fv
-from codelantern.operators.prompting import SYSTEM_PROMPT
 from codelantern.plans import corpus
 from codelantern.plans.registry import CLEARED, FILE_CAP, HASH_DIM, INVENTORY_CAP, REPO_CAP
 
@@ -473,8 +472,5 @@ STATEMENTS: dict[str, str] = {
     "clear_repo": f"SELECT source = '{CLEARED}' AS removed, count(*) AS n FROM documents GROUP BY 1",
 }
 
-assert SYSTEM_PROMPT  # the prompt's wording is our own; only its presence matters here
-
-
 def oracle_sql() -> dict[str, str]:
     return {name: _sql(statement) for name, statement in STATEMENTS.items()}
