@@ -77,7 +77,7 @@ class LanguageModel:
             if len(cache) + len(part) > len(self.scores):
                 cache.clear()
                 cache.update(self.words)
-            for word in set(part) - cache.keys():
+            for word in [w for w in set(part) if w not in cache]:
                 at = len(cache)
                 self.scores[at] = self.backed_off(word)
                 cache[word] = at
