@@ -1,7 +1,73 @@
-"""SQL counterparts of the operators that SQL can express."""
+"""SQL counterparts of the operators that SQL can express: chat windows and Poisson replication.
+
+The others rest on hashes, models or searches that SQL has no words for; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
+CHAT_WINDOWS = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), escaped AS (
+  SELECT *, replace(replace(replace(replace(replace(role, '\', '\b'), '</turn>', '\e'), '###', '\h'), chr(10), '\n'), ':', '\c') AS erole,
+         replace(replace(replace(text, '\', '\b'), '</turn>', '\e'), '###', '\h') AS etext FROM said
+), counted AS (
+  SELECT *, CAST(ceil((strlen(erole) + strlen(etext) + 14) / 4.0) AS BIGINT) AS tokens, length(erole) + length(etext) + 14 AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, erole, etext) AS nth FROM escaped
+), led AS (
+  SELECT *, max(CASE WHEN nth = 1 AND role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS lead_tokens,
+         max(CASE WHEN nth = 1 AND role = 'system' THEN chars ELSE 0 END) OVER (PARTITION BY conv_id) AS lead_chars,
+         sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth) AS running FROM counted
+), spans AS (
+  SELECT *, running - lead_tokens AS until, nth = 1 AND lead_tokens > 0 AS is_lead,
+         CASE WHEN nth = 1 AND lead_tokens > 0 THEN 0 ELSE running - lead_tokens - tokens END AS since,
+         greatest(64, 512 - 96 - lead_tokens) AS room FROM led
+), bucketed AS (
+  SELECT *, greatest(0, floor((until - 1) / room)) AS bucket, NOT is_lead AND floor(since / room) < greatest(0, floor((until - 1) / room)) AS crosses
+  FROM spans
+), filled AS (
+  SELECT *, sum(CASE WHEN is_lead THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id, bucket) AS filled,
+         max(until) OVER (PARTITION BY conv_id, bucket) AS bucket_until FROM bucketed
+), windowed AS (
+  SELECT *, bucket * 2 + CASE WHEN crosses AND filled > room THEN 0 ELSE 1 END AS win,
+         NOT is_lead AND CASE WHEN crosses AND filled > room THEN until ELSE bucket_until END - since <= 96 AS tail FROM filled
+), wins AS (
+  SELECT conv_id, win, min(nth) AS first, lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS next FROM windowed GROUP BY conv_id, win
+), chars AS (
+  SELECT w.conv_id, sum(w.chars) + sum(CASE WHEN w.tail AND n.next IS NOT NULL THEN w.chars ELSE 0 END)
+         + sum(CASE WHEN w.nth = n.first AND n.first > 1 THEN w.lead_chars ELSE 0 END) AS formatted_chars
+  FROM windowed w JOIN wins n ON w.conv_id IS NOT DISTINCT FROM n.conv_id AND w.win = n.win GROUP BY w.conv_id
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth) AS told,
+         coalesce(string_agg(text, '' ORDER BY nth) FILTER (WHERE role = 'assistant'), '') AS learned FROM counted GROUP BY conv_id
+)
+SELECT w.conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(told) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars,
+       sha256(learned) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM whole w JOIN chars c ON w.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+POISSON_MIX = """
+WITH RECURSIVE sizes AS (
+  SELECT source, CAST(sum(strlen(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY source
+), weighed AS (
+  SELECT source, size, sqrt(size) AS weight FROM sizes
+), rates AS (
+  SELECT source, CASE WHEN size > 0 THEN least(64.0, weight * ((SELECT sum(size) FROM weighed WHERE size > 0)
+         / (SELECT sum(weight) FROM weighed WHERE size > 0)) / size) ELSE 1.0 END AS rate FROM weighed
+), bounds(source, rate, k, p, below) AS (
+  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rates
+  UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), below + p * rate / (k + 1) FROM bounds WHERE k < 180
+), keyed AS (
+  SELECT *, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS doc_key FROM documents
+), drawn AS (
+  SELECT *, CAST('0x' || substr(md5('7:' || doc_key), 1, 13) AS BIGINT) / 4503599627370496.0 AS uniform FROM keyed
+)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(b.k AS INTEGER) AS "copy",
+       CAST('0x' || substr(md5('7 order:' || doc_key || ':' || CAST(b.k AS VARCHAR)), 1, 13) AS BIGINT) AS shuffle_key
+FROM drawn d JOIN bounds b ON d.source IS NOT DISTINCT FROM b.source AND b.below <= d.uniform
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat_windows": CHAT_WINDOWS, "op9_poisson_mix": POISSON_MIX}
