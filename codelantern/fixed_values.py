@@ -89,7 +89,6 @@ DOMINANT_GAP = 0.003
 HYBRID_CONFIDENCE_FACTOR = 30
 SINGLE_CONFIDENCE_FACTOR = 25
 REFERENCE_TOP_K = 5
-REFERENCE_SCAN_LIMIT = 1000
 HOP_TOP_K = 3
 
 # --- fixed values: prompt and answer formats --------------------------------
@@ -103,12 +102,11 @@ REFUSAL_TEXT = (
     "I couldn't find enough relevant information in this codebase to answer that confidently."
 )
 DECLINED_REASON = "LLM indicated context was insufficient"
-PROMPT_REMINDER = (
-    "Remember: Cite exact [filePath:startLine-endLine] tags for all statements. Use the file "
-    "inventory for file count & directory questions. If context is insufficient, reply "
-    '"I don\'t know based on the provided codebase context."'
-)
 REASON_NO_CHUNKS = "No relevant code chunks found in the repository for this query."
+REASON_WEAK = "Top retrieval score (%.4f) is below threshold (0.01). Context may be weak."
+REASON_HYBRID = 'High confidence: Top candidate "%s:%d" matched by both semantic vectors and BM25 keywords.'
+REASON_DOMINANT = "Good confidence: Clear top match in %s search."
+REASON_SINGLE = "Moderate confidence: Candidate found via %s search."
 
 # --- fixed values: models ---------------------------------------------------
 LOCAL_EMBEDDING_DIM = 384

@@ -47,10 +47,10 @@ def confidence(queries: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFr
     ``hits`` are the ranked results; ``chunks`` supplies the location of the best one.
     """
     first = hits.where(F.col("rank") <= 2).groupBy("query_id").agg(
-        *[F.max(F.when(F.col("rank") == 1, F.col(c))).alias(c) for c in ("id", "rrf_score", "source")],
+        *[F.max(F.when(F.col("rank") == 1, F.col(c))).alias(c) for c in ("repo_id", "id", "rrf_score", "source")],
         F.max(F.when(F.col("rank") == 2, F.col("rrf_score"))).alias("runner_up"),
     )
-    located = first.join(chunks.select("id", "file_path", "start_line"), "id", "left")
+    located = first.join(chunks.select("repo_id", "id", "file_path", "start_line"), ["repo_id", "id"], "left")
     top, gap = F.col("rrf_score"), F.col("rrf_score") - F.coalesce("runner_up", F.lit(0.0))
     weak, hybrid = top < fv.MIN_RRF_SCORE, F.col("source") == "hybrid"
 
@@ -63,18 +63,12 @@ def confidence(queries: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFr
         .when(hybrid, scaled(fv.HYBRID_CONFIDENCE_FACTOR))
         .otherwise(scaled(fv.SINGLE_CONFIDENCE_FACTOR))
     )
-    # fixed values: wording of the reasons
     reason = (
         F.when(top.isNull(), fv.REASON_NO_CHUNKS)
-        .when(weak, F.format_string(
-            "Top retrieval score (%.4f) is below threshold (0.01). Context may be weak.", top))
-        .when(hybrid, F.format_string(
-            'High confidence: Top candidate "%s:%d" matched by both semantic vectors and BM25 keywords.',
-            F.col("file_path"), F.col("start_line")))
-        .when(gap > fv.DOMINANT_GAP, F.format_string(
-            "Good confidence: Clear top match in %s search.", F.col("source")))
-        .otherwise(F.format_string(
-            "Moderate confidence: Candidate found via %s search.", F.col("source")))
+        .when(weak, F.format_string(fv.REASON_WEAK, top))
+        .when(hybrid, F.format_string(fv.REASON_HYBRID, F.col("file_path"), F.col("start_line")))
+        .when(gap > fv.DOMINANT_GAP, F.format_string(fv.REASON_DOMINANT, F.col("source")))
+        .otherwise(F.format_string(fv.REASON_SINGLE, F.col("source")))
     )
     return queries.select("query_id").join(located, "query_id", "left").select(
         "query_id", score.alias("score"), (top.isNull() | weak).alias("low_confidence"), reason.alias("reason")

@@ -17,6 +17,12 @@ SYSTEM_PROMPT = """You explain software repositories. Work under these rules:
 - When the context does not hold the answer, reply: "I don't know based on the provided codebase context."
 """
 
+#: Ends every user prompt.
+PROMPT_REMINDER = (
+    "Before you answer: tag each statement with its [filePath:startLine-endLine], take counts and folders from the "
+    "inventory above, and decline in the given words where the context falls short."
+)
+
 
 def context_blocks(hits: DataFrame, max_chars: int = fv.MAX_CONTEXT_CHARS) -> DataFrame:
     """``(query_id, rank, cum_chars, block)`` for the leading hits that fit the budget.
@@ -73,7 +79,7 @@ def user_prompts(questions: DataFrame, hits: DataFrame, inventory: DataFrame) ->
                 F.coalesce("inventory", F.lit("")),
                 F.lit("CONTEXT CHUNKS ("), F.coalesce("n", F.lit(0)).cast("string"),
                 F.lit(" relevant snippet(s) from repository):\n"), joined,
-                F.lit("\n\n" + fv.PROMPT_REMINDER),
+                F.lit("\n\n" + PROMPT_REMINDER),
             ).alias("user_prompt"),
         )
     )

@@ -63,7 +63,7 @@ def reference_lookup(
 
     BM25 hits whose symbol equals, or whose path contains, the reference are
     taken; a reference without any such hit falls back to the first stored
-    chunks of its repository whose symbol or path contains it.
+    chunks of its whole repository whose symbol or path contains it.
     """
     asked = references.where(~is_blank(F.col("symbol")))
     located = only_repos(chunks, asked, options).select("repo_id", "id", "ord", "file_path", F.coalesce("symbol_name", F.lit("")).alias("symbol_name"))
@@ -73,23 +73,17 @@ def reference_lookup(
     hits = bm25_search(index, asked.withColumn("text", F.col("symbol")), limited)
     small = is_small(asked, options, F.lit(200 * top_k))
     exact = (
-        hinted(hits.join(asked.select("query_id", "symbol"), "query_id"), small)
-        .join(located.drop("ord", "repo_id"), "id")
+        hinted(hits.drop("ord").join(asked.select("query_id", "symbol"), "query_id"), small)
+        .join(located, ["repo_id", "id"])
         .where((name == wanted) | path.contains(wanted))
         .select("query_id", "repo_id", "id", "score", "bm25_rank", F.col("bm25_rank").alias("position"))
     )
     unmet = asked.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    store_order = Window.partitionBy("repo_id").orderBy("ord")
-    # The scan depth is part of the lookup's definition; tasks trim to it before the shuffle.
-    head = (
-        located.join(hinted(unmet.select("repo_id").distinct(), small), "repo_id", "left_semi")
-        .withColumn("place", F.row_number().over(store_order))
-        .where(F.col("place") <= fv.REFERENCE_SCAN_LIMIT)
-    )
-    by_place = Window.partitionBy("query_id").orderBy("place")
+    # Every chunk of the repository is looked at where it is; tasks trim to top_k before the shuffle.
+    store_order = Window.partitionBy("query_id").orderBy("ord")
     fallback = (
-        hinted(unmet, small).join(head, "repo_id").where(name.contains(wanted) | path.contains(wanted))
-        .withColumn("position", F.row_number().over(by_place))
+        hinted(unmet, small).join(located, "repo_id").where(name.contains(wanted) | path.contains(wanted))
+        .withColumn("position", F.row_number().over(store_order))
         .where(F.col("position") <= top_k)
         .select(
             "query_id", "repo_id", "id", (1.0 / F.col("position")).alias("score"),

@@ -32,8 +32,10 @@ _ARROW = {
 def _unit_rows(vectors: pa.Array, dim: int) -> np.ndarray:
     """Normalised double rows; a vector of another length or without a norm becomes all zero."""
     lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    fits = lengths == dim
     rows = np.zeros((len(vectors), dim))
+    if dim == 0:  # an empty vector is alike to nothing
+        return rows
+    fits = lengths == dim
     flat = vectors.filter(pa.array(fits)).flatten()
     rows[fits] = flat.to_numpy(zero_copy_only=False).astype("float64").reshape(-1, dim)
     norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
@@ -83,6 +85,19 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([(field.name, _ARROW[type(field.dataType)]) for field in schema])
 
 
+def _slices(rows: pa.Table) -> dict[str, pa.Table]:
+    """The rows of each repository, cut out of one sorted copy."""
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("repo_id", "ascending")]))
+    found, start = {}, 0
+    for run in pc.run_end_encode(rows["repo_id"]).chunks if rows.num_rows else []:
+        base = start
+        for repo, end in zip(run.values.to_pylist(), run.run_ends.to_pylist(), strict=True):
+            piece = rows.slice(start, base + end - start)
+            found[repo] = pa.concat_tables([found[repo], piece]) if repo in found else piece
+            start = base + end
+    return found
+
+
 def _scan_with_broadcast(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Measured small batch: every task holds the queries and the chunks are read once, unshuffled."""
     schema = _candidate_schema(queries, chunks)
@@ -90,14 +105,11 @@ def _scan_with_broadcast(queries: DataFrame, chunks: DataFrame, k: int) -> DataF
     shared = chunks.sparkSession.sparkContext.broadcast(queries.toArrow())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        by_repo = {repo: wanted.filter(pc.equal(wanted["repo_id"], repo)) for repo in wanted["repo_id"].unique()}
+        wanted = _slices(shared.value)
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for repo in table["repo_id"].unique():
-                if repo in by_repo:
-                    mine = table.filter(pc.equal(table["repo_id"], repo))
-                    yield from _best_rows(by_repo[repo], mine, k, arrow)
+            for repo, mine in _slices(pa.Table.from_batches([batch])).items():
+                if repo in wanted:
+                    yield from _best_rows(wanted[repo], mine, k, arrow)
 
     return chunks.mapInArrow(search, schema)
 

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelantern.config import SearchOptions
 
+# Splits that any scan is given at least, while it has fewer than the cores.
+SPREAD_SPLITS = 64
+
 
 def is_small(df: DataFrame, options: SearchOptions, nbytes: Column) -> bool:
     """True when ``df`` is measured to stay under the broadcast limits.
@@ -42,14 +48,13 @@ def hinted(df: DataFrame, small: bool) -> DataFrame:
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Give a scan with fewer splits than cores enough partitions for text work.
 
-    Only a table below ``cores x maxPartitionBytes`` can have so few splits, so
-    the extra shuffle has a known bound; larger scans pass through untouched.
+    Only a scan of fewer than ``SPREAD_SPLITS`` splits is shuffled, whatever the
+    cluster's size, so what moves stays under that many ``maxPartitionBytes``.
     """
-    session = df.sparkSession
-    cores = session.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
+    wanted = min(2 * df.sparkSession.sparkContext.defaultParallelism, SPREAD_SPLITS)
+    if df.rdd.getNumPartitions() >= wanted:
         return df
-    return df.repartition(cores, *columns)
+    return df.repartition(wanted, *columns)
 
 
 @cache
@@ -57,19 +62,56 @@ def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"{application}-")
 
 
+def _path_and_system(session: SparkSession, path: str):
+    target = session._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(session._jsc.hadoopConfiguration())
+
+
+@cache
+def _tables_folder(shared: str, application: str, session: SparkSession) -> str:
+    """The application's own folder in the shared one; the file system deletes it when the application ends."""
+    folder = f"{shared.rstrip('/')}/tables-{application}-{uuid.uuid4().hex[:8]}"
+    target, system = _path_and_system(session, folder)
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    return folder
+
+
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(session: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, the tables that ``durable`` stored inside it."""
+    stored: list[str] = []
+    token = _scratch.set(stored)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in stored:
+            target, system = _path_and_system(session, path)
+            system.delete(target, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Store ``df`` once in the cluster's shared checkpoint folder and read it back.
 
     The lineage ends at the stored table, so a lost executor costs a re-read, and
-    every later use sees the same rows.  Only a local session without the setting
+    every later use sees the same rows.  Tables live until the application ends, or the
+    surrounding ``scratch`` block.  Only a local session without the setting
     gets a folder of its own.
     """
     session = df.sparkSession
+    context = session.sparkContext
     shared = session.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not session.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = _local_folder(session.sparkContext.applicationId)
-    path = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+        shared = _local_folder(context.applicationId)
+    path = f"{_tables_folder(shared, context.applicationId, session)}/{uuid.uuid4().hex}"
+    stored = _scratch.get()
+    if stored is not None:
+        stored.append(path)
     df.write.parquet(path)
     return session.read.schema(df.schema).parquet(path)

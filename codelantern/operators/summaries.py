@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelantern import fixed_values as fv
@@ -21,12 +21,18 @@ def repo_count(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _kind_counts() -> list[Column]:
+    plural = {"function": "functions", "class": "classes", "method": "methods", "module": "modules", "doc": "docs"}
+    return [F.count_if(F.col("symbol_type") == kind).alias(plural[kind]) for kind in fv.SYMBOL_TYPES]
+
+
+def _language_set() -> Column:
+    return F.array_sort(F.collect_set(F.when(F.col("language") != "", F.col("language")))).alias("languages")
+
+
 def chunk_summary(chunks: DataFrame) -> DataFrame:
     """Per repository: the number of chunks of each of the five kinds."""
-    plural = {"function": "functions", "class": "classes", "method": "methods", "module": "modules", "doc": "docs"}
-    return chunks.groupBy("repo_id").agg(
-        *[F.count_if(F.col("symbol_type") == kind).alias(plural[kind]) for kind in fv.SYMBOL_TYPES]
-    )
+    return chunks.groupBy("repo_id").agg(*_kind_counts())
 
 
 def chunk_percentages(chunks: DataFrame) -> DataFrame:
@@ -41,14 +47,15 @@ def chunk_percentages(chunks: DataFrame) -> DataFrame:
 
 def languages(chunks: DataFrame) -> DataFrame:
     """Distinct languages per repository, sorted; unknown ones are left out."""
-    return chunks.groupBy("repo_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("language") != "", F.col("language")))).alias("languages")
-    )
+    return chunks.groupBy("repo_id").agg(_language_set())
 
 
 def file_inventory(chunks: DataFrame) -> DataFrame:
-    """Distinct file paths per repository in path order (a distributed range sort)."""
-    return chunks.select("repo_id", "file_path").distinct().orderBy("repo_id", "file_path")
+    """Distinct file paths per repository, in path order inside every repository.
+
+    Rows are dealt by both columns, so a large repository is many tasks; each task's rows are sorted.
+    """
+    return chunks.select("repo_id", "file_path").distinct().sortWithinPartitions("repo_id", "file_path")
 
 
 def capped_inventory(chunks: DataFrame, limit: int = fv.MAX_INVENTORY_FILES) -> DataFrame:
@@ -67,8 +74,9 @@ def capped_inventory(chunks: DataFrame, limit: int = fv.MAX_INVENTORY_FILES) ->
 def ingest_summary(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row per repository: file and chunk counts, languages and chunks by kind."""
     n_files = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("file_count"))
-    n_chunks = chunks.groupBy("repo_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    return n_files.join(n_chunks, "repo_id").join(languages(chunks), "repo_id").join(chunk_summary(chunks), "repo_id")
+    # One aggregation: the chunks are made once.
+    counted = chunks.groupBy("repo_id").agg(F.count(F.lit(1)).alias("chunk_count"), _language_set(), *_kind_counts())
+    return n_files.join(counted, "repo_id")
 
 
 def health_rollup(checks: DataFrame) -> DataFrame:

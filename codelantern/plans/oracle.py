@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from codelantern import fixed_values as fv
+from codelantern.operators.prompting import PROMPT_REMINDER
 from codelantern.plans import corpus
 from codelantern.plans.registry import CLEARED, FILE_CAP, HASH_DIM, INVENTORY_CAP, REPO_CAP
 
@@ -208,8 +209,7 @@ def _lookup(source: str, k: int) -> tuple[str, str]:
     both = f"""SELECT * FROM {source}_exact UNION ALL
         SELECT query_id, repo_id, id, round(1.0::DOUBLE / position, 4), NULL, position FROM (
           SELECT r.query_id, r.repo_id, c.id, row_number() OVER (PARTITION BY r.query_id ORDER BY c.ord) AS position
-          FROM {source} r JOIN (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ord) <= 1000) c
-            ON c.repo_id = r.repo_id
+          FROM {source} r JOIN chunks c ON c.repo_id = r.repo_id
             AND (contains(lower(c.symbol_name), lower(r.symbol)) OR contains(lower(c.file_path), lower(r.symbol)))
           WHERE r.query_id NOT IN (SELECT query_id FROM {source}_exact)) WHERE position <= {k}"""
     return exact, both
@@ -228,7 +228,7 @@ def _prompts(hits: str) -> tuple[str, str]:
         FROM (SELECT query_id, rank, {_block('rank')} AS block FROM {hits} JOIN chunks USING (id)) QUALIFY cum_chars <= 12000"""
     prompt = f"""SELECT q.query_id, 'USER QUESTION:' || chr(10) || q.text || chr(10) || chr(10) || coalesce(inventory, '')
           || 'CONTEXT CHUNKS (' || coalesce(n, 0) || ' relevant snippet(s) from repository):' || chr(10) || coalesce(blocks, '')
-          || chr(10) || chr(10) || {_text(fv.PROMPT_REMINDER)} AS user_prompt
+          || chr(10) || chr(10) || {_text(PROMPT_REMINDER)} AS user_prompt
         FROM questions q LEFT JOIN listed USING (repo_id) LEFT JOIN (
           SELECT query_id, count(*) AS n, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS blocks
           FROM {hits}_blocks GROUP BY query_id) b USING (query_id)"""

@@ -51,8 +51,8 @@ def hybrid_retrieve(
     hits = top_hits(fused, options)
     # At most 2 * top_k candidates per question exist, so the questions' size bounds the hits'.
     small = is_small(questions, options, F.lit(options.top_n * 200))
-    places = hinted(hits.where(F.col("rank") == 1).select("id").distinct(), small).join(
-        chunks.select("id", "file_path", "start_line"), "id"
+    places = hinted(hits.where(F.col("rank") == 1).select("repo_id", "id").distinct(), small).join(
+        chunks.select("repo_id", "id", "file_path", "start_line"), ["repo_id", "id"]
     )
     return Retrieval(
         fused=fused,

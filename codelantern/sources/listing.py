@@ -20,16 +20,22 @@ READ_BYTES = 256 * 1024 * 1024
 
 
 def list_files(repos: DataFrame, skip_directories: tuple[str, ...] = ()) -> DataFrame:
-    """``repos(repo_id, root)`` to one row per regular file.  Named directories are not entered."""
+    """``repos(repo_id, root)`` to one row per regular file.  Named directories are not entered.
+
+    A folder that cannot be read fails the job: an incomplete listing would look like deleted files.
+    """
     schema = pa.schema([("repo_id", pa.string()), ("root", pa.string()), ("path", pa.string()),
                         ("size_bytes", pa.int64())])
     skipped = frozenset(skip_directories)
 
+    def unreadable(error: OSError) -> None:
+        raise error
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for repo in batch.to_pylist():
                 rows = []
-                for folder, names, files in os.walk(repo["root"]):
+                for folder, names, files in os.walk(repo["root"], onerror=unreadable):
                     names[:] = [n for n in names if n not in skipped and not os.path.islink(os.path.join(folder, n))]
                     for name in files:
                         full = os.path.join(folder, name)
@@ -37,8 +43,8 @@ def list_files(repos: DataFrame, skip_directories: tuple[str, ...] = ()) -> Data
                             continue
                         try:
                             size = os.stat(full).st_size
-                        except OSError:
-                            size = None
+                        except FileNotFoundError:
+                            continue
                         path = os.path.relpath(full, repo["root"]).replace(os.sep, "/")
                         rows.append({**repo, "path": path, "size_bytes": size})
                     if len(rows) >= 10_000:
@@ -53,7 +59,7 @@ def list_files(repos: DataFrame, skip_directories: tuple[str, ...] = ()) -> Data
 
 
 def read_files(listing: DataFrame) -> DataFrame:
-    """Add ``content`` as UTF-8; malformed bytes become U+FFFD and a vanished file gives no row.
+    """Add ``content`` as UTF-8; malformed bytes become U+FFFD, a vanished file gives no row, other errors fail the job.
 
     Files are dealt out by name, so one large repository is read by many tasks;
     the listing's sizes, not its own few bytes, decide how many.
@@ -68,7 +74,7 @@ def read_files(listing: DataFrame) -> DataFrame:
                 try:
                     with open(os.path.join(file.pop("root"), file["path"]), "rb") as handle:
                         rows.append({**file, "content": handle.read().decode("utf-8", "replace")})
-                except OSError:
+                except FileNotFoundError:
                     continue
                 if len(rows) >= READ_ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import shutil
 import stat
@@ -109,11 +110,13 @@ def shallow_clone(address: str, parent: Path | None = None, max_bytes: int = fv.
 
 
 def remove_tree(root: Path) -> None:
-    """Delete a fetched tree; read-only entries are made writable and tried once more."""
-
-    def unlock(function, path, _):
-        Path(path).chmod(stat.S_IRWXU)
-        function(path)
-
-    if root.exists():
-        shutil.rmtree(root, onexc=unlock)
+    """Delete a fetched tree.  Every folder is opened first, as deleting a file needs write access to its folder."""
+    if not root.exists():
+        return
+    root.chmod(stat.S_IRWXU)
+    for folder, names, _ in os.walk(root):
+        for name in names:
+            path = Path(folder, name)
+            if not path.is_symlink():
+                path.chmod(stat.S_IRWXU)
+    shutil.rmtree(root)

@@ -34,7 +34,7 @@ def differences(spark_df, con, sql: str) -> list[str]:
     got, got_cols = _rows(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     if got_cols != want_cols:
         return [f"columns {got_cols} != {want_cols}"]
-    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
     out = [
         f"type of {n}: {t} vs {want_types[n]}" for n, t in spark_df.dtypes if kinds.get(t, t) != want_types[n]
     ]
