@@ -23,6 +23,14 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores added the first such name that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(id_column: str, folds: int, fold: int) -> Column:
     """True for the rows whose crc32 of the id, as text, falls in ``fold``; a null id is in no fold."""
     remainder = F.crc32(F.col(id_column).cast("string").cast("binary")) % folds

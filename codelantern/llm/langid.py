@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelantern.llm.frames import hash_share, map_slices
+from codelantern.llm.frames import hash_share, map_slices, unused
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -167,5 +167,6 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
         return pd.DataFrame([handle.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    found = docs.select(*(F.col(f"`{c}`") for c in kept), predict(F.col(text_col)).alias("_found"))
-    return found.select(*(F.col(f"`{c}`") for c in kept), "_found.lang_pred", "_found.score")
+    name = unused(docs, "found")
+    found = docs.select(*(F.col(f"`{c}`") for c in kept), predict(F.col(text_col)).alias(name))
+    return found.select(*(F.col(f"`{c}`") for c in kept), f"{name}.lang_pred", f"{name}.score")

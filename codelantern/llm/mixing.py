@@ -77,18 +77,18 @@ def mix_sources(docs: DataFrame, spec: Mix = Mix(), id_col: str = "doc_id", sour
     """
     rates = repetition_rates(docs, spec, source_col, text_col)
     few = rates.limit(SENT_SOURCES + 1).count() <= SENT_SOURCES
-    rates = rates.select(F.struct("source").alias("_source"), poisson_bounds(F.col("rate"), spec.most).alias("_bounds"))
+    # The document travels as one struct, so that no column of it can meet one of the names used here.
+    rates = rates.select(F.struct("source").alias("from"), poisson_bounds(F.col("rate"), spec.most).alias("bounds"))
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text_col, F.lit("")).cast("binary")))
     kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rows = docs.select(
-        *(F.col(f"`{c}`") for c in kept), F.struct(F.col(source_col).alias("source")).alias("_source"), key.alias("_key"))
-    joined = rows.join(F.broadcast(rates) if few else rates, "_source")
-    uniform = hashed_number(F.lit(str(spec.seed)), F.col("_key")) / F.lit(float(1 << 52))
-    copies = joined.withColumn("_uniform", uniform).withColumn("_copies", F.size(F.filter("_bounds", lambda b: b <= F.col("_uniform"))))
-    dealt = copies.where("_copies > 0").select(
-        *(F.col(f"`{c}`") for c in kept), "_key", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("copy"))
-    order = hashed_number(F.lit(f"{spec.seed} order"), F.col("_key"), F.col("copy").cast("string"))
+        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), F.struct(F.col(source_col).alias("source")).alias("from"), key.alias("key"))
+    joined = rows.join(F.broadcast(rates) if few else rates, "from")
+    uniform = hashed_number(F.lit(str(spec.seed)), F.col("key")) / F.lit(float(1 << 52))
+    drawn = joined.withColumn("uniform", uniform).withColumn("copies", F.size(F.filter("bounds", lambda b: b <= F.col("uniform"))))
+    dealt = drawn.where("copies > 0").select("doc", "key", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    order = hashed_number(F.lit(f"{spec.seed} order"), F.col("key"), F.col("copy").cast("string"))
     return (
-        dealt.select(*(F.col(f"`{c}`") for c in kept), "copy", order.alias("shuffle_key"))
+        dealt.select(*(F.col(f"doc.`{c}`") for c in kept), "copy", order.alias("shuffle_key"))
         .repartition("shuffle_key").sortWithinPartitions("shuffle_key")
     )

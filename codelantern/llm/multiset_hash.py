@@ -83,7 +83,7 @@ FINGERPRINTS = (
 )
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Each document's fingerprint beside that of its edited text, with likenesses; see ``FINGERPRINTS``.
 
     The next document is the one that follows in descending order of ids (null

@@ -224,7 +224,7 @@ def _merged(pieces: Pieces, ids: np.ndarray, starts: np.ndarray, lengths: np.nda
     """Merge every word of the flat ``ids`` in place; True where a piece begins."""
     head = np.ones(len(ids), bool)
     low = 1
-    for width in (4, 8, 12, 16, 24, SHORT):
+    for width in (*(w for w in (4, 8, 12, 16, 24) if w < SHORT), SHORT):
         chosen = np.flatnonzero((lengths > low) & (lengths <= width))
         low = width
         step = max(1, (1 << 18) // width)

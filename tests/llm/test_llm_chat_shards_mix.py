@@ -107,7 +107,7 @@ def test_shards_of_the_query(spark, sf_dir):
 
 
 def test_equal_texts_stay_together_unless_there_are_too_many(spark, docs_of):
-    rows = [(i, f"text {i % 300}" + "x" * 50) for i in range(30_000)] + [(100_000 + i, "hot") for i in range(20_000)] + [(200_000 + i, None) for i in range(9_000)]
+    rows = [(i, f"text {i % 6000}" + "x" * 50) for i in range(30_000)] + [(100_000 + i, "hot") for i in range(20_000)] + [(200_000 + i, None) for i in range(9_000)]
     found = sharding.shard_by_size(docs_of(rows, clashing=False), sharding.Shards(count=10)).join(
         docs_of(rows).select(F.col("doc_id").alias("id"), "text"), "id").collect()
     assert len(found) == len(rows)
