@@ -20,6 +20,8 @@ LEAST_QUALITY = 0.3
 LEAST_LANGUAGE = 0.5
 #: Five words and a wide fingerprint: texts that share 0.8 of their shingles differ in about 39 of 256 bits.
 NEAR_COPIES = simhash.SimHash(words=5, bits=256, radius=44)
+#: No source is repeated more than four times on average.
+MIXTURE = mixing.Mix(flatten=0.5, most=4.0)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents, so that large sources weigh less and small ones more."""
-    return mixing.mix_sources(docs).select(docs.columns)
+    return mixing.mix_sources(docs, MIXTURE).select(docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
