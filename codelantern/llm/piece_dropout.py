@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -335,7 +336,10 @@ def decode_pieces(df: DataFrame, spec: Dropout, pieces_col: str = "pieces", to:
     def decode(rows: pa.Array) -> pa.Array:
         pieces, found = pieces_of(model), []
         for at in range(0, len(rows), 64):
-            found += [decode_ids(pieces, ids or []) for ids in rows.slice(at, 64).to_pylist()]
+            part = rows.slice(at, 64)
+            ids = part.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))
+            found += [decode_ids(pieces, one.tolist()) for one in np.split(ids, ends[:-1])]
         return pa.array(found, pa.string())
 
     kept = [F.col(f"`{c}`") for c in df.columns if c != to]
