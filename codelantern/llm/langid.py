@@ -12,10 +12,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelantern.llm.frames import hash_share, map_slices, unused
+from codelantern.operators.sizing import durable
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -130,19 +131,17 @@ def fit_languages(docs: DataFrame, learn: Column, spec: LanguageFit = LanguageFi
     rate = docs.sparkSession.createDataFrame(
         [(lang, min(1.0, spec.docs_per_lang / n)) for lang, n in sizes.items()], "lang string, rate double")
     sample = rows.join(F.broadcast(rate), "lang").where("share < rate").select("lang", "text")
-    per_gram = (
+    per_gram = durable(
         map_slices(sample, _count_grams(spec.longest), "lang string, n int, gram string, times long")
         .groupBy("n", "gram", "lang").agg(F.sum("times").alias("times"))
         .groupBy("n", "gram").agg(F.sum("times").alias("total"), F.collect_list(F.struct("lang", "times")).alias("by_lang"))
     )
-    most = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("total"), "gram"))
-    kept = per_gram.withColumn("rank", most).where(
-        F.col("rank") <= F.when(F.col("n") == 0, spec.words).otherwise(spec.grams)).select("n", "gram", "by_lang", "rank").collect()
     langs = sorted(sizes)
     place = {lang: i for i, lang in enumerate(langs)}
 
     def table(n: int) -> tuple[dict[str, int], np.ndarray]:
-        rows = sorted((r for r in kept if r.n == n), key=lambda r: r["rank"])
+        most = per_gram.where(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(spec.grams if n else spec.words)
+        rows = most.select("gram", "by_lang").collect()
         counts = np.full((len(rows), len(langs)), spec.smoothing)
         for i, row in enumerate(rows):
             for one in row.by_lang:
