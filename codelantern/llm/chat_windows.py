@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelantern.operators.sizing import durable
+
 OPEN, NAMED, CLOSE = "### ", ":\n", "</turn>\n"
 #: What a text may not hold and what stands for it; the escape character comes first.
 TEXT_ESCAPES = (("\\", "\\b"), ("</turn>", "\\e"), ("###", "\\h"))
@@ -95,7 +97,8 @@ def chat_windows(turns: DataFrame, spec: ChatBudget = ChatBudget()) -> DataFrame
     )
     # A turn that crosses into a bucket stands alone if the bucket would be too long with it.
     bucket = Window.partitionBy("conv", "bucket")
-    spans = (
+    # Stored once: what follows reads its narrow columns several times, and its texts in the end.
+    spans = durable(
         summed.withColumn("filled", F.sum(F.when(F.col("lead"), 0).otherwise(F.col("tokens"))).over(bucket))
         .withColumn("alone", F.col("crosses") & (F.col("filled") > F.col("room")))
         .withColumn("until", F.when(F.col("alone"), F.col("end")).otherwise(F.max("end").over(bucket)))
