@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
-SLICE_ROWS = 1024
+SLICE_ROWS = 256
 
 
 def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
@@ -23,6 +25,40 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def stretches(text: str, cut: re.Pattern, size: int) -> Iterator[str]:
+    """``text`` in stretches of at least ``size`` characters, each but the first beginning with a match of ``cut``."""
+    at = 0
+    while len(text) - at > size:
+        found = cut.search(text, at + size)
+        if found is None:
+            break
+        yield text[at:found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
+def add_columns(df: DataFrame, inputs: list[str | Column], work: Callable[..., list[pa.Array]], added: str) -> DataFrame:
+    """All columns of ``df`` and those that ``work`` makes of the inputs' slices; columns of the ``added`` names are replaced.
+
+    Results leave a task slice by slice, so its memory is one batch of rows and one slice of results.
+    """
+    new = T.StructType.fromDDL(added)
+    kept = [c for c in df.columns if c not in new.names]
+    extra = {i: unused(df, f"input{i}") for i, c in enumerate(inputs) if not (isinstance(c, str) and c in kept)}
+    source = df.select(*(F.col(f"`{c}`") for c in kept), *(
+        (F.col(inputs[i]) if isinstance(inputs[i], str) else inputs[i]).alias(name) for i, name in extra.items()))
+    at = [source.columns.index(extra.get(i, c)) for i, c in enumerate(inputs)]
+    names = [*kept, *new.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                columns = batch.slice(start, SLICE_ROWS).columns
+                yield pa.RecordBatch.from_arrays([*columns[:len(kept)], *work(*(columns[i] for i in at))], names)
+
+    return source.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *new.fields]))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or with underscores added the first such name that is no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelantern.llm.frames import hash_share, map_slices, unused
+from codelantern.llm.frames import add_columns, hash_share, map_slices, stretches
 from codelantern.operators.sizing import durable
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
+_GAP = re.compile(r"\s")
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ class LanguageModel:
     words: dict[str, int]
     word_scores: np.ndarray
     grams: list[tuple[dict[str, int], np.ndarray]]   #: longest first
-    room: int = 1 << 21                              #: numbers that the cache of word scores may hold
+    room: int = 1 << 20                              #: numbers that the cache of word scores may hold
     cache: dict[str, int] = field(default_factory=dict, repr=False)
     scores: np.ndarray | None = field(default=None, repr=False)
 
@@ -87,10 +88,13 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The best language and its share of the likelihood (ties: the first by name); ``und`` without letters."""
-        words = words_of(text)
-        if not words or not self.langs:
+        total = None
+        for part in stretches(text or "", _GAP, 1 << 20):
+            words = words_of(part)
+            if words:
+                total = self.totals(words) + (0.0 if total is None else total)
+        if total is None or not self.langs:
             return UNDETERMINED, 0.0
-        total = self.totals(words)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -159,13 +163,8 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     """
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts):
-        import pandas as pd
+    def predict(texts: pa.Array) -> list[pa.Array]:
+        found = [handle.value.predict(text) for text in texts.to_pylist()]
+        return [pa.array([lang for lang, _ in found], pa.string()), pa.array([score for _, score in found], pa.float64())]
 
-        return pd.DataFrame([handle.value.predict(t) for t in texts], columns=["lang_pred", "score"])
-
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    name = unused(docs, "found")
-    found = docs.select(*(F.col(f"`{c}`") for c in kept), predict(F.col(text_col)).alias(name))
-    return found.select(*(F.col(f"`{c}`") for c in kept), f"{name}.lang_pred", f"{name}.score")
+    return add_columns(docs, [text_col], predict, "lang_pred string, score double")

@@ -24,11 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelantern.llm.frames import add_columns, stretches
+
 #: How the vocabulary writes a space.
 MARK = "▁"
 #: Characters of a word up to which it is merged together with others.
 SHORT = 48
 _WORDS = re.compile(" *[^ ]+| +")
+_WORD_START = re.compile("(?<! ) ")
 
 
 @dataclass(frozen=True)
@@ -245,28 +248,53 @@ def _merged(pieces: Pieces, ids: np.ndarray, starts: np.ndarray, lengths: np.nda
     return head
 
 
-def encode_batch(pieces: Pieces, texts: list[str], doc_keys: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_batch(pieces: Pieces, texts: list[str], doc_keys: np.ndarray, rate: float, seed: int,
+                 room: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """``(ids, offsets)``: text i has the pieces ``ids[offsets[i]:offsets[i + 1]]``, an empty text none.
 
     As the library does, a space is put before the text and stays out of the
     decoded one.  Characters outside the vocabulary become byte pieces, and so
-    does a literal space mark, which would otherwise come back as a space.
+    does a literal space mark, which would otherwise come back as a space.  About
+    ``room`` characters are worked on at a time; long texts are cut between words.
     """
+    counts, found = np.zeros(len(texts), np.int64), []
+    held, owners, chars = [], [], 0
+
+    def flush() -> None:
+        nonlocal chars
+        ids, ends = _encode_stretches(pieces, held, doc_keys[owners], rate, seed)
+        np.add.at(counts, owners, np.diff(ends))
+        found.append(ids)
+        held.clear()
+        owners.clear()
+        chars = 0
+
+    for i, text in enumerate(texts):
+        for part in stretches(" " + text, _WORD_START, room) if text and pieces.by_word else [" " + text] * bool(text):
+            held.append(part)
+            owners.append(i)
+            chars += len(part)
+            if chars > room:
+                flush()
+    if held:
+        flush()
+    return np.concatenate(found) if found else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(counts)))
+
+
+def _encode_stretches(pieces: Pieces, texts: list[str], doc_keys: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``encode_batch`` for stretches of texts, none of them empty."""
     # The distinct words of each document, one after another, and where each document has which.
     words: list[str] = []
     places: list[np.ndarray] = []
     counts = np.zeros(len(texts), np.int64)
     owned = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
-        if text:
-            found = _WORDS.findall(" " + text) if pieces.by_word else [" " + text]
-            distinct = {word: n for n, word in enumerate(dict.fromkeys(found), len(words))}
-            places.append(np.fromiter(map(distinct.__getitem__, found), np.int64, len(found)))
-            words += distinct
-            counts[i], owned[i] = len(found), len(distinct)
+        found = _WORDS.findall(text) if pieces.by_word else [text]
+        distinct = {word: n for n, word in enumerate(dict.fromkeys(found), len(words))}
+        places.append(np.fromiter(map(distinct.__getitem__, found), np.int64, len(found)))
+        words += distinct
+        counts[i], owned[i] = len(found), len(distinct)
     offsets = np.zeros(len(texts) + 1, np.int64)
-    if not words:
-        return np.zeros(0, np.int32), offsets
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
@@ -306,41 +334,36 @@ def decode_ids(pieces: Pieces, ids: list[int]) -> str:
     return data.removeprefix(b" ").decode("utf-8", "replace")
 
 
-def encode_pieces(docs: DataFrame, spec: Dropout, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``pieces``, an array of ids; a column of that name is replaced.
+def _decoded(pieces: Pieces, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.array([decode_ids(pieces, one.tolist()) for one in np.split(ids, ends[:-1])] if len(ends) else [], pa.string())
+
+
+def encode_pieces(docs: DataFrame, spec: Dropout, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """All columns of ``docs`` and ``pieces``, an array of ids; with ``decoded`` also the text that they decode to.
 
     Null and empty texts have no pieces.  Rows of one id are cut with one key,
-    rows without an id with a key of their text.
+    rows without an id with a key of their text.  Columns of the added names are replaced.
     """
     rate, seed, model = spec.rate, spec.seed, spec.model
 
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array, doc_keys: pa.Array) -> pa.Array:
-        pieces, found = pieces_of(model), []
-        for at in range(0, len(texts), 64):
-            part = [t or "" for t in texts.slice(at, 64).to_pylist()]
-            ids, offsets = encode_batch(pieces, part, doc_keys.slice(at, 64).to_numpy(zero_copy_only=False), rate, seed)
-            found.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
-        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.int32()))
+    def encode(texts: pa.Array, doc_keys: pa.Array) -> list[pa.Array]:
+        pieces = pieces_of(model)
+        ids, offsets = encode_batch(
+            pieces, [t or "" for t in texts.to_pylist()], doc_keys.to_numpy(zero_copy_only=False), rate, seed)
+        rows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+        return [rows, _decoded(pieces, ids, offsets[1:])] if decoded else [rows]
 
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.coalesce(text_col, F.lit("")))))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "pieces"]
-    return docs.select(*kept, encode(F.col(text_col), key).alias("pieces"))
+    return add_columns(docs, [text_col, key], encode, "pieces array<int>" + ", decoded string" * decoded)
 
 
-def decode_pieces(df: DataFrame, spec: Dropout, pieces_col: str = "pieces", to: str = "decoded") -> DataFrame:
-    """All columns of ``df`` and the text that its pieces stand for; no pieces and null give an empty text."""
+def decode_pieces(df: DataFrame, spec: Dropout, pieces_col: str = "pieces") -> DataFrame:
+    """All columns of ``df`` and ``decoded``, the text that its pieces stand for; no pieces and null give an empty text."""
     model = spec.model
 
-    @F.arrow_udf("string")
-    def decode(rows: pa.Array) -> pa.Array:
-        pieces, found = pieces_of(model), []
-        for at in range(0, len(rows), 64):
-            part = rows.slice(at, 64)
-            ids = part.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))
-            found += [decode_ids(pieces, one.tolist()) for one in np.split(ids, ends[:-1])]
-        return pa.array(found, pa.string())
-
-    kept = [F.col(f"`{c}`") for c in df.columns if c != to]
-    return df.select(*kept, decode(F.col(pieces_col)).alias(to))
+    def decode(rows: pa.Array) -> list[pa.Array]:
+        ids = rows.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))
+        return [_decoded(pieces_of(model), ids, ends)]
+
+    return add_columns(df, [pieces_col], decode, "decoded string")

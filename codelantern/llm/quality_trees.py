@@ -11,11 +11,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelantern.llm.frames import hash_share
+from codelantern.llm.frames import add_columns, hash_share
 
 STATISTICS = (
     "chars", "words", "word_chars", "distinct_words", "top_word", "repeats", "lines", "distinct_lines", "line_words",
@@ -34,7 +34,8 @@ def statistics(text: str | None) -> list[float]:
     """Numbers that describe a text, in the order of ``STATISTICS``; all zero for null and empty texts."""
     if not text:
         return [0.0] * len(STATISTICS)
-    seen = np.bincount(_CLASS[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], minlength=12)
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    seen = sum(np.bincount(_CLASS[data[i:i + (1 << 18)]], minlength=12) for i in range(0, len(data), 1 << 18))
     n = len(text)
     words = text.split()
     counts, lines = Counter(words), [x for x in text.split("\n") if x]
@@ -122,8 +123,8 @@ def grow(x: np.ndarray, y: np.ndarray, spec: TreeFit) -> Forest:
     return Forest(np.array(features), np.array(cuts), np.array(values), start)
 
 
-def _with_statistics(texts: pd.Series) -> np.ndarray:
-    return np.array([statistics(t) for t in texts], dtype=float).reshape(-1, len(STATISTICS))
+def _table(texts: pa.Array) -> np.ndarray:
+    return np.array([statistics(t) for t in texts.to_pylist()], dtype=float).reshape(-1, len(STATISTICS))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, spec: TreeFit = TreeFit(), id_col: str = "doc_id",
@@ -140,14 +141,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, spec: TreeFit
     n = marked.count()
     sample = marked.where(hash_share("_id") < F.lit(min(1.0, spec.sample / max(1, n))))
 
-    @F.pandas_udf("array<double>")
-    def measured(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(_with_statistics(texts)))
+    def measured(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array(_table(texts).tolist(), pa.list_(pa.float64()))]
 
     # The sample is bounded by its parameter, so it can be sent to the texts.
     texts = docs.where(learn).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    measured_texts = texts.join(F.broadcast(sample), "_id").select("_id", "_label", measured("_text").alias("x"))
-    rows = measured_texts.groupBy("_id").agg(F.min("x").alias("x"), F.max("_label").alias("_label")).toPandas()
+    found = add_columns(texts.join(F.broadcast(sample), "_id"), ["_text"], measured, "x array<double>")
+    rows = found.groupBy("_id").agg(F.min("x").alias("x"), F.max("_label").alias("_label")).toPandas()
     x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, len(STATISTICS))
     order = np.lexsort([*x.T, rows["_label"]])  # rows arrive in any order; sums must not depend on it
     return grow(x[order], rows["_label"].to_numpy(float)[order], spec)
@@ -160,10 +160,8 @@ def score_quality(docs: DataFrame, forest: Forest, text_col: str = "text", thres
     """
     handle = docs.sparkSession.sparkContext.broadcast(forest)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(handle.value.scores(_with_statistics(texts)))
+    def score(texts: pa.Array) -> list[pa.Array]:
+        scores = handle.value.scores(_table(texts))
+        return [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
-    found = docs.select(*kept, score(F.col(text_col)).alias("score"))
-    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return add_columns(docs, [text_col], score, "score double, predicted int")

@@ -109,9 +109,8 @@ def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = piece_dropout.Dropout(PIECES)
     docs = _table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
-    encoded = piece_dropout.encode_pieces(docs, spec).select("doc_id", "text_sha256", "pieces")
-    decoded = piece_dropout.decode_pieces(encoded, spec)
-    return decoded.select(
+    coded = piece_dropout.encode_pieces(docs, spec, decoded=True)
+    return coded.select(
         "doc_id", "pieces", F.size("pieces").alias("n_pieces"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         "text_sha256").withColumn("lossless", F.col("decoded_sha256") == F.col("text_sha256"))
 

@@ -55,6 +55,13 @@ def test_agenda_and_rounds_agree(pieces, monkeypatch):
     assert encoded(pieces, rows, 0.3) == want
 
 
+def test_long_texts_are_cut_between_words(pieces):
+    rows = [t for t in texts() if t] + ["some  words   of a longer text " * 40]
+    want = encoded(pieces, rows, 0.3)
+    ids, offsets = pd_.encode_batch(pieces, rows, np.arange(len(rows)), 0.3, 1, room=20)
+    assert [ids[a:b].tolist() for a, b in pairwise(offsets)] == want
+
+
 def test_seed_and_document_vary_the_cut(pieces):
     text = "international considerations notwithstanding " * 5
     one, two = encoded(pieces, [text, text], 0.2)
