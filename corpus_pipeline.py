@@ -59,9 +59,8 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spec = piece_dropout.Dropout(PIECES)
     text = F.coalesce("text", F.lit(""))
     slim = docs.select("doc_id", "source", "text", F.xxhash64(text).alias("text_hash"))
-    encoded = piece_dropout.encode_pieces(slim, spec).select("doc_id", "source", "text_hash", "pieces")
-    decoded = piece_dropout.decode_pieces(encoded, spec)
-    return decoded.select(
+    coded = piece_dropout.encode_pieces(slim, spec, decoded=True)
+    return coded.select(
         "doc_id", "source", "pieces", F.size("pieces").alias("n_pieces"), (F.xxhash64("decoded") == F.col("text_hash")).alias("lossless"))
 
 
