@@ -1,11 +1,9 @@
-"""From files to chunks in one narrow stage: a file is one row, so nothing is shuffled."""
+"""From files to chunks.  A file is one row; only the texts of code files are shuffled, once, to find their symbols."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codelantern import fixed_values as fv
 from codelantern.functions.text import (
@@ -18,17 +16,8 @@ from codelantern.functions.text import (
     language_of,
     trim_space,
 )
-from codelantern.operators.symbols import file_symbols
-
-PIECE = T.ArrayType(T.StructType([
-    T.StructField("symbol_name", T.StringType()), T.StructField("symbol_type", T.StringType()),
-    T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()),
-    T.StructField("content", T.StringType()), T.StructField("twin", T.IntegerType()),
-]))
-_ARROW_PIECE = pa.list_(pa.struct([
-    ("symbol_name", pa.string()), ("symbol_type", pa.string()), ("start_line", pa.int32()),
-    ("end_line", pa.int32()), ("content", pa.string()), ("twin", pa.int32()),
-]))
+from codelantern.operators.symbols import python_symbols, script_symbols
+
 _HEADER = f"^{fv.MARKDOWN_HEADER}[{SPACE_CLASS}]+([^\\n\\r\\x{{2028}}\\x{{2029}}]+)\\z"
 
 
@@ -40,21 +29,6 @@ def route_of(path: Column) -> Column:
     )
 
 
-@F.arrow_udf(PIECE)
-def _symbols(language: pa.Array, content: pa.Array) -> pa.Array:
-    """Symbols per file; ``twin`` counts earlier symbols that start on the same line."""
-    out = []
-    for lang, text in zip(language.to_pylist(), content.to_pylist(), strict=True):
-        seen: dict[int, int] = {}
-        pieces = []
-        for name, kind, start, end, body in file_symbols(lang, text) if text is not None else ():
-            seen[start] = seen.get(start, -1) + 1
-            pieces.append({"symbol_name": name, "symbol_type": kind, "start_line": start,
-                           "end_line": end, "content": body, "twin": seen[start]})
-        out.append(pieces)
-    return pa.array(out, _ARROW_PIECE)
-
-
 def _with_sections(files: DataFrame, is_doc: Column) -> DataFrame:
     """Add ``sections``: the header-delimited parts of each Markdown text, blank ones left out.
 
@@ -116,11 +90,17 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     return _exploded(_with_sections(kept, F.lit(True)), F.col("sections"), F.lit("markdown"))
 
 
+def file_symbols(files: DataFrame) -> DataFrame:
+    """``(repo_id, path, content, symbols)`` for the code files of ``files(repo_id, path, content)``."""
+    language = language_of(F.col("path"))
+    kept = files.where(F.col("content").isNotNull()).select("repo_id", "path", "content")
+    scripts = [name for name in fv.PARSED_LANGUAGES if name != "python"]
+    return python_symbols(kept.where(language == "python")).unionByName(script_symbols(kept.where(language.isin(*scripts))))
+
+
 def symbol_chunks(files: DataFrame) -> DataFrame:
     """Chunks of the functions, classes and methods in code files; files without any give none."""
-    language = language_of(F.col("path"))
-    kept = files.where(language.isin(*fv.PARSED_LANGUAGES)).withColumn("symbols", _symbols(language, F.col("content")))
-    return _exploded(kept, F.col("symbols"), language)
+    return _exploded(file_symbols(files), F.col("symbols"), language_of(F.col("path")))
 
 
 def module_chunks(files: DataFrame) -> DataFrame:
@@ -130,22 +110,13 @@ def module_chunks(files: DataFrame) -> DataFrame:
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
-    """Every chunk of every file: Markdown by section, code by symbol, anything else whole.
-
-    Only the text of code files crosses to Python.
-    """
+    """Every chunk of every file: Markdown by section, code by symbol, anything else whole."""
     path, content = F.col("path"), F.col("content")
-    routed = files.where(~is_blank(content)).select(
-        "repo_id", "path", "content", route_of(path).alias("route"), language_of(path).alias("known_language")
-    )
+    routed = files.where(~is_blank(content)).select("repo_id", "path", "content", route_of(path).alias("route"))
     is_doc = F.col("route") == "doc"
-    parsed = _with_sections(routed, is_doc).withColumn(
-        "symbols", _symbols(F.col("known_language"), F.when(F.col("route") == "code", content))
-    )
-    pieces = (
-        F.when(is_doc, F.col("sections"))
-        .when(F.size("symbols") > 0, F.col("symbols"))
-        .otherwise(F.array(module_piece(path, content)))
-    )
-    language = F.when(is_doc, "markdown").otherwise(F.coalesce("known_language", F.lit("text")))
-    return _exploded(parsed, pieces, language)
+    language = F.coalesce(language_of(path), F.lit("text"))
+    module = F.array(module_piece(path, content))
+    plain = _with_sections(routed.where("route <> 'code'"), is_doc)
+    coded = file_symbols(routed.where("route = 'code'"))
+    return _exploded(plain, F.when(is_doc, F.col("sections")).otherwise(module), F.when(is_doc, "markdown").otherwise(language)).unionByName(
+        _exploded(coded, F.when(F.size("symbols") > 0, F.col("symbols")).otherwise(module), language))

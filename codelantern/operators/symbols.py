@@ -1,335 +1,224 @@
-"""Per-file symbol extraction for Python, JavaScript and TypeScript.
-
-Small helpers that see one file at a time inside an Arrow batch.  Each returns
-``(symbol_name, symbol_type, start_line, end_line, content)`` tuples, methods
-before their class.  A file that does not parse raises ``ValueError``.
+"""Functions, classes and methods of code files, found with column expressions and windows.
+
+Texts are cut into pieces (lines of Python, stretches between brackets of
+JavaScript and TypeScript) after strings and comments are blanked out at equal
+length.  Windows over a file's pieces give positions, depths and the matching
+end of each block, all in linear time, so a damaged part of a file
+costs only its own symbols.  A file is bounded by the size cap of ingestion; its
+pieces meet in one task after the single shuffle of code texts.
 """
 
 from __future__ import annotations
 
-import ast
-import re
-from bisect import bisect_left
-from collections.abc import Iterator
-from typing import NamedTuple
-
-Symbol = tuple[str, str, int, int, str]
-
-
-def python_symbols(source: str) -> list[Symbol]:
-    source = source.removeprefix("\ufeff")
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
-        raise ValueError("not parseable as Python") from error
-    # The parser splits lines at \n, \r and \r\n only and counts columns in UTF-8 bytes.
-    lines = re.split(r"(?<=\n)|(?<=\r)(?!\n)", source)
-
-    def text(node: ast.AST) -> str:
-        body = lines[node.lineno - 1:node.end_lineno]
-        last = body[-1].encode()[:node.end_col_offset].decode(errors="ignore")
-        body = [*body[:-1], last]
-        body[0] = body[0].encode()[node.col_offset:].decode(errors="ignore")
-        return "".join(body).strip()
-
-    def walk(node: ast.AST, in_class: bool) -> Iterator[Symbol]:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                kind = "method" if in_class else "function"
-                yield child.name, kind, child.lineno, child.end_lineno, text(child)
-            elif isinstance(child, ast.ClassDef):
-                yield from walk(child, True)
-                yield child.name, "class", child.lineno, child.end_lineno, text(child)
-            else:
-                yield from walk(child, in_class)
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import functions as F
 
-    return list(walk(tree, False))
+from codelantern.functions.text import trim_space
 
+FILE = ["repo_id", "path"]
 
-class Token(NamedTuple):
-    kind: str  # name, text, punct
-    text: str
-    start: int
-    end: int
-
-
-_LEX = re.compile(
-    r"""(?P<skip>\s+|//[^\n]*|/\*.*?\*/)
-      |(?P<text>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')
-      |(?P<name>[A-Za-z_$\u0080-\U0010ffff][\w$]*|\#[A-Za-z_$][\w$]*|\d[\w.]*)
-      |(?P<punct>=>|\.\.\.|[<>=!]==?|[-+*&|?]{2}|.)""",
-    re.S | re.X,
+# Loops are possessive throughout: they neither backtrack nor recurse, however long the text.
+_DOUBLE = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
+_SINGLE = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
+_PYTHON_LITERAL = (
+    r'#[^\n]*+|"""[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"""'
+    r"|'''[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'''|" + f"{_DOUBLE}|{_SINGLE}"
 )
-_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
-_QUOTED = re.compile(r"""(["'])(?:\\.|(?!\1)[^\\\n])*\1""")
-_BEFORE_VALUE = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "await", "yield"}
-_CONTROL = {"if", "for", "while", "switch", "catch", "with", "function", "return", "await", "super", "import"}
-_MODIFIERS = {"public", "private", "protected", "static", "async", "get", "set", "readonly", "override", "accessor"}
-_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
-
-
-def _template_end(source: str, at: int) -> int:
-    """Index behind the template literal that opens at ``at``; ``${}`` parts may nest."""
-    depth = 0
-    at += 1
-    while at < len(source):
-        c = source[at]
-        if c == "\\":
-            at += 2
-            continue
-        if depth == 0 and c == "`":
-            return at + 1
-        if c == "`":
-            at = _template_end(source, at)
-            continue
-        if source.startswith("${", at) and depth == 0:
-            depth, at = 1, at + 2
-            continue
-        quoted = depth and _QUOTED.match(source, at)
-        if quoted:
-            at = quoted.end()
-            continue
-        if depth and c in "{}":
-            depth += 1 if c == "{" else -1
-        at += 1
-    raise ValueError("unterminated template literal")
-
-
-def _tokens(source: str) -> list[Token]:
-    out: list[Token] = []
-    at = 0
-    while at < len(source):
-        if source[at] == "`":
-            end = _template_end(source, at)
-            out.append(Token("text", "`", at, end))
-            at = end
-            continue
-        last = out[-1] if out else None
-        if source[at] == "/" and (
-            last is None or (last.kind == "punct" and last.text not in _CLOSE) or last.text in _BEFORE_VALUE
-        ):
-            literal = _REGEX.match(source, at)
-            if literal:
-                out.append(Token("text", "/", at, literal.end()))
-                at = literal.end()
-                continue
-        match = _LEX.match(source, at)
-        if match.lastgroup != "skip":
-            out.append(Token(match.lastgroup, match.group(), at, match.end()))
-        at = match.end()
-    return out
-
-
-def _pairs(tokens: list[Token]) -> dict[int, int]:
-    closing, stack = {}, []
-    for i, t in enumerate(tokens):
-        if t.kind != "punct":
-            continue
-        if t.text in _OPEN:
-            stack.append(i)
-        elif t.text in _CLOSE:
-            if not stack or _OPEN[tokens[stack[-1]].text] != t.text:
-                raise ValueError("unbalanced brackets")
-            closing[stack.pop()] = i
-    if stack:
-        raise ValueError("unbalanced brackets")
-    return closing
-
-
-class _Script:
-    """Token positions of one file and the few questions asked about them."""
-
-    def __init__(self, source: str):
-        self.source = source
-        self.tokens = _tokens(source)
-        self.closing = _pairs(self.tokens)
-        self.breaks = [m.start() for m in re.finditer("\n", source)]
-
-    def text(self, i: int) -> str:
-        return self.tokens[i].text if 0 <= i < len(self.tokens) else ""
-
-    def is_punct(self, i: int, text: str) -> bool:
-        return self.text(i) == text and self.tokens[i].kind == "punct"
-
-    def new_line(self, i: int) -> bool:
-        return "\n" in self.source[self.tokens[i - 1].end:self.tokens[i].start]
-
-    def line(self, offset: int) -> int:
-        return bisect_left(self.breaks, offset) + 1
-
-    def symbol(self, name: str, kind: str, first: int, last: int) -> Symbol:
-        start, end = self.tokens[first].start, self.tokens[last].end
-        return name, kind, self.line(start), self.line(end - 1), self.source[start:end].strip()
-
-    def generics(self, i: int) -> int:
-        """Index behind ``<...>`` at ``i``, or ``i``."""
-        if not self.is_punct(i, "<"):
-            return i
-        depth = 0
-        while i < len(self.tokens):
-            depth += {"<": 1, ">": -1}.get(self.text(i), 0)
-            i = self.closing.get(i, i) + 1
-            if depth == 0:
-                return i
-        return i
-
-    def return_type(self, i: int, stops: str) -> int:
-        """Index of the first of ``stops`` behind an optional ``: type`` at ``i``; -1 if none."""
-        if not self.is_punct(i, ":"):
-            return i if self.text(i) in stops.split() else -1
-        i += 1
-        while i < len(self.tokens):
-            before = self.text(i - 1)
-            if self.text(i) in stops.split() and not (self.is_punct(i, "{") and before in (":", "|", "&", "=>", "<", ",")):
-                return i
-            if self.text(i) in (";", "}", ")", "=", ","):
-                return -1
-            i = self.closing.get(i, i) + 1
-        return -1
-
-    def body_of(self, params: int) -> int:
-        """Last token of ``(...) [: type] {...}`` whose parameters open at ``params``; -1 if no body."""
-        if not self.is_punct(params, "("):
-            return -1
-        brace = self.return_type(self.closing[params] + 1, "{")
-        return self.closing[brace] if brace >= 0 else -1
-
-    def function_value(self, i: int) -> int:
-        """Last token of a function or arrow function that starts at ``i``; -1 for other values."""
-        if self.text(i) == "async":
-            i += 1
-        if self.text(i) == "function":
-            i += 1 + self.is_punct(i + 1, "*")
-            i += self.tokens[i].kind == "name"
-            return self.body_of(self.generics(i))
-        arrow = -1
-        if self.is_punct(self.generics(i), "("):
-            arrow = self.return_type(self.closing[self.generics(i)] + 1, "=>")
-        elif self.tokens[i].kind == "name":
-            arrow = i + 1
-        if arrow < 0 or not self.is_punct(arrow, "=>"):
-            return -1
-        if self.is_punct(arrow + 1, "{"):
-            return self.closing[arrow + 1]
-        return self.expression_end(arrow + 1)
-
-    def expression_end(self, i: int) -> int:
-        """Last token of the expression at ``i``: before ``;``, ``,``, a closer or a new statement."""
-        first = i
-        while i < len(self.tokens):
-            t = self.tokens[i]
-            if t.kind == "punct" and (t.text in (";", ",") or t.text in _CLOSE):
-                break
-            if i > first and self.new_line(i) and t.kind == "name" and (
-                self.tokens[i - 1].kind != "punct" or self.text(i - 1) in _CLOSE
-            ):
-                break
-            i = self.closing.get(i, i) + 1
-        return i - 1
-
-    def function_declaration(self, i: int) -> tuple[Symbol, int] | None:
-        """The declaration whose ``function`` keyword is at ``i``."""
-        first = i - 1 if self.text(i - 1) == "async" and not self.new_line(i) else i
-        before = self.text(first - 1)
-        starts = first == 0 or before in (";", "}", "{", "export", "default", ")", ":", "else") or self.new_line(first)
-        name = i + 1 + self.is_punct(i + 1, "*")
-        if not starts or name >= len(self.tokens) or self.tokens[name].kind != "name" or before in ("=", "(", ","):
-            return None
-        last = self.body_of(self.generics(name + 1))
-        return (self.symbol(self.text(name), "function", first, last), last) if last >= 0 else None
-
-    def variable_declaration(self, i: int) -> tuple[Symbol, int] | None:
-        """``const``/``let``/``var`` at ``i`` when one of its declarators holds a function."""
-        at, named = i + 1, None
-        while at < len(self.tokens):
-            name = at
-            at = self.closing.get(at, at) + 1
-            if self.is_punct(at, ":"):
-                at = self.return_type(at, "= ;")
-                if at < 0:
-                    return None
-            if self.is_punct(at, "=") and at + 1 < len(self.tokens):
-                last = self.function_value(at + 1)
-                if last >= 0 and named is None:
-                    named = self.source[self.tokens[name].start:self.tokens[self.closing.get(name, name)].end]
-                at = (last if last >= 0 else self.expression_end(at + 1)) + 1
-            if not self.is_punct(at, ","):
-                break
-            at += 1
-        if named is None:
-            return None
-        last = at if self.is_punct(at, ";") else at - 1
-        return self.symbol(named, "function", i, last), last
-
-    def method(self, i: int) -> tuple[Symbol, int] | None:
-        """A method definition whose first modifier or name is at ``i``."""
-        at = i
-        while at + 1 < len(self.tokens) and (
-            self.is_punct(at, "*") or (self.text(at) in _MODIFIERS and self.text(at + 1) not in ("(", "=", ";", ":", "<", "?", ",", "}"))
-        ):
-            at += 1
-        if at >= len(self.tokens) or not (self.tokens[at].kind in ("name", "text") or self.is_punct(at, "[")):
-            return None
-        if self.text(at) in _CONTROL:
-            return None
-        end = self.closing.get(at, at)
-        after = self.generics(end + 1 + (self.text(end + 1) in ("?", "!")))
-        last = self.body_of(after)
-        if last < 0:
-            return None
-        name = self.source[self.tokens[at].start:self.tokens[end].end]
-        return self.symbol(name, "method", i, last), last
-
-    def class_body(self, i: int) -> int:
-        """The ``{`` that opens the body of the class at ``i``; -1 if there is none."""
-        while i < len(self.tokens) and not self.is_punct(i, "{"):
-            if self.is_punct(i, ";"):
-                return -1
-            i = self.closing.get(i, i) + 1 if not self.is_punct(i, "<") else self.generics(i)
-        return i if i < len(self.tokens) else -1
-
-    def walk(self, i: int, stop: int, in_class: bool = False) -> Iterator[Symbol]:
-        while i < stop:
-            word, plain = self.tokens[i], self.text(i - 1) not in (".", "?.") and not self.is_punct(i + 1, ":")
-            found = None
-            if word.kind == "name" and plain:
-                if word.text == "function":
-                    found = self.function_declaration(i)
-                elif word.text in ("const", "let", "var"):
-                    found = self.variable_declaration(i)
-                elif word.text == "class" and self.class_body(i) >= 0:
-                    brace = self.class_body(i)
-                    yield from self.walk(brace + 1, self.closing[brace], True)
-                    if self.text(i - 1) != "abstract":
-                        named = self.tokens[i + 1].kind == "name" and self.text(i + 1) not in ("extends", "implements")
-                        yield self.symbol(self.text(i + 1) if named else "AnonymousClass", "class", i, self.closing[brace])
-                    i = self.closing[brace] + 1
-                    continue
-            if found is None and (self.text(i - 1) in ("{", ",") or (in_class and (self.text(i - 1) in ("}", ";", ")") or self.new_line(i)))):
-                found = self.method(i)
-            if found:
-                symbol, last = found
-                kind = "method" if in_class and symbol[1] == "function" else symbol[1]
-                yield (symbol[0], kind, *symbol[2:])
-                i = last + 1
-            else:
-                i += 1
-
-
-def script_symbols(source: str) -> list[Symbol]:
-    script = _Script(source)
-    return list(script.walk(0, len(script.tokens)))
-
-
-EXTRACTORS = {"python": python_symbols, "javascript": script_symbols, "typescript": script_symbols}
-
-
-def file_symbols(language: str, source: str) -> list[Symbol]:
-    """Symbols of one file; empty when the language has no extractor or the text does not parse."""
-    extract = EXTRACTORS.get(language)
-    if extract is None:
-        return []
-    try:
-        return extract(source)
-    except (ValueError, IndexError, RecursionError):
-        return []
+_FLAT_TEMPLATE = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
+_INSIDE = r"[^`{}\"'\\]++|\\[\s\S]|" + f"{_DOUBLE}|{_SINGLE}|{_FLAT_TEMPLATE}"
+_TEMPLATE = (
+    r"`(?:[^`\\$]++|\\[\s\S]|\$(?!\{)|\$\{(?:" + _INSIDE + r"|\{(?:" + _INSIDE + r"|\{[^{}`]*+\})*+\})*+\})*+`"
+)
+# A slash starts a regular expression where a value is due.
+_REGEX = (
+    r"(?<=[=(,:;!&|?\[{]\s{0,9}|\breturn\s{1,9}|\b(?:if|while)\s{0,3}\([^()\n]{0,120}\)\s{0,9})"
+    r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+"
+)
+_SCRIPT_LITERAL = (
+    r"/\*[^*]*+(?:\*++[^/*][^*]*+)*+(?:\*++/|\*?\z)|//[^\n]*+|" + f"{_TEMPLATE}|{_FLAT_TEMPLATE}|{_DOUBLE}|{_SINGLE}|{_REGEX}"
+)
+# Closed parentheses become a pair of signs, and braces of types and plain objects blanks: what is left opens blocks.
+_IN, _OUT = "\u0001", "\u0002"
+_PARENTHESES = r"\([^(){}]*+\)"
+_PLAIN_BRACES = r"(?<=[<:|&,(=]\s{0,9})\{[^{}]*+\}"
+_NESTING = 5
+_CUTS = r"(?<=[{};])|(?=\b(?:const|let|var)\b)"
+
+_GIVEN = rf"(?:<[^{{}}]*>\s*)?{_IN}\s*{_OUT}"
+_VARIABLE = r"^(?:const|let|var)\s+([\w$]+)(?:[^=]|=>)*+=(?![=>])\s*(?:async\b\s*)?"
+_ARROW = rf"(?:{_GIVEN}(?:\s*:[^={{}};]*)?|[\w$]+)\s*=>"
+_VARIABLE_BLOCK = rf"{_VARIABLE}(?:function\b[^{{]*|{_ARROW}[^{{}}]*)\{{$"
+_VARIABLE_VALUE = rf"{_VARIABLE}{_ARROW}"
+# A value ends with its line, unless a bracket is open or the next line goes on with an operator.
+_LINE = rf"(?:{_IN}[^{_OUT}]*+{_OUT}|\[[^\]]*+\]|[^\n;{_IN}\[])*+"
+_VALUE_END = rf"^({_VARIABLE_VALUE[1:]}\s*{_LINE}(?:\n\s*[.?:&|+*/-]{_LINE})*+;?)"
+_FUNCTION = rf"(?<![\w$.])((?:async\s+)?function\b\s*\*?\s*([\w$]+)\s*{_GIVEN}[^{{}}=;]*\{{)$"
+_CLASS = r"(?<![\w$.])(?<!abstract\s)(class\b(?:\s+(?!extends\b)([\w$]+))?[^{};]*\{)$"
+_MODIFIERS = r"(?:(?:public|private|protected|static|async|get|set|readonly|override|accessor)\s+)*"
+_METHOD = rf"(?<![\w$.#])({_MODIFIERS}(?:\*\s*)?(#?[\w$]+|\[[^\]]*\])\s*{_GIVEN}\s*(?::[^{{}};=]*)?\{{)$"
+_NO_METHODS = ("if", "for", "while", "switch", "catch", "with", "function", "return", "await", "super", "import")
+_DECLARED = r"^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+([\p{L}_][\p{L}\p{N}_]*)"
+
+
+def _in_file() -> WindowSpec:
+    return Window.partitionBy(*FILE)
+
+
+def _in_order(*, until: int | None = None) -> WindowSpec:
+    """A file's pieces in order; with ``until`` those from the first to that many after the current one."""
+    order = _in_file().orderBy("k")
+    return order if until is None else order.rowsBetween(Window.unboundedPreceding, until)
+
+
+def _rewritten(text: Column, pattern: str, change) -> Column:
+    """``text`` with every match of ``pattern`` put through ``change``."""
+    matches = F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), matches, lambda kept, found: F.concat(kept, change(found))), "")
+
+
+def _spaces(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^\n]", " ")
+
+
+def _count(text: Column, signs: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, signs, ""))
+
+
+def _pieces(files: DataFrame, pieces: Column) -> DataFrame:
+    """One row per piece ``(k, piece)``; the text itself comes once, in the row before the first."""
+    none = F.lit(None).cast("string")
+    rows = F.concat(
+        F.array(F.struct(F.lit(-1).alias("k"), none.alias("piece"), F.col("content").alias("content"))),
+        F.transform(pieces, lambda p, i: F.struct(i.alias("k"), p.alias("piece"), none.alias("content"))))
+    staged = files.select(*FILE, rows.alias("rows")).select(*FILE, F.explode_outer("rows").alias("row"))
+    return staged.select(*FILE, "row.k", "row.piece", "row.content").repartition(*FILE)
+
+
+def _gathered(found: DataFrame, text: Column) -> DataFrame:
+    """One row per file with its content and ``symbols``, those inside functions left out, inner ones before their class.
+
+    ``found`` has ``name, kind, start, until`` (any ascending places), the lines and the whole texts' rows.
+    """
+    by_start = _in_file().orderBy("start", F.desc("until")).rowsBetween(Window.unboundedPreceding, -1)
+    is_symbol = F.col("name").isNotNull()
+    outer = F.max(F.when(is_symbol & (F.col("kind") != "class"), F.col("until"))).over(by_start)
+    in_class = F.max(F.when(is_symbol & (F.col("kind") == "class"), F.col("until"))).over(by_start)
+    kept = found.withColumn("outer", outer).withColumn("in_class", in_class).where(
+        ~is_symbol | F.col("outer").isNull() | (F.col("outer") < F.col("start")))
+    twin = F.row_number().over(Window.partitionBy(*FILE, "start_line").orderBy("until", F.desc("start"))) - 1
+    kind = F.when((F.col("kind") == "function") & (F.col("in_class") >= F.col("start")), "method").otherwise(F.col("kind"))
+    symbol = F.when(is_symbol, F.struct(
+        "until", (-F.col("start")).alias("order"), "start", F.col("name").alias("symbol_name"), kind.alias("symbol_type"),
+        F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "indent", "width",
+        F.col("twin").cast("int").alias("twin")))
+    whole = kept.withColumn("twin", twin).groupBy(*FILE).agg(
+        F.max("content").alias("content"), F.array_sort(F.collect_list(symbol)).alias("found"))
+    whole = whole.withColumn("lines", F.split("content", "\n"))
+    cut = F.transform("found", lambda s: F.struct(
+        s["symbol_name"].alias("symbol_name"), s["symbol_type"].alias("symbol_type"), s["start_line"].alias("start_line"),
+        s["end_line"].alias("end_line"), trim_space(text(s)).alias("content"), s["twin"].alias("twin")))
+    return whole.withColumn("symbols", cut).select(*FILE, "content", "symbols")
+
+
+def python_symbols(files: DataFrame) -> DataFrame:
+    """``files(repo_id, path, content)`` to ``(repo_id, path, content, symbols)``; blocks end by indentation."""
+    blank = _rewritten(F.col("content"), _PYTHON_LITERAL, lambda t: F.when(t.startswith("#"), _spaces(t)).when(
+        F.length(t) > 0, F.concat(F.lit("("), F.regexp_replace(F.substr(t, F.lit(2), F.length(t) - 2), r"[^\n]", "x"), F.lit(")")))
+        .otherwise(""))
+    lines = F.split(blank, "\n")
+    p = F.col("piece")
+    rows = (
+        _pieces(files, lines)
+        .withColumn("depth", F.coalesce(F.sum(_count(p, "([{") - _count(p, ")]}")).over(_in_order(until=-1)), F.lit(0)))
+        .withColumn("whole_depth", F.sum(_count(p, "([{") - _count(p, ")]}")).over(_in_file()))
+        .withColumn("bare", F.regexp_extract(p, r"^[ \t\f]*", 0))
+        .withColumn("indent", F.length("bare") + 7 * _count(F.col("bare"), "\t"))
+        .withColumn("solid", F.length(F.trim(F.translate(p, "\t\r\f", "   "))) > 0)
+        .withColumn("last", F.max(F.when(F.col("solid"), F.struct("k", F.length(F.rtrim(F.translate(p, "\t\r\f", "   "))).alias("width")))).over(_in_order(until=-1)))
+        .withColumn("end", F.max(F.when(F.col("solid"), F.struct("k", F.length(F.rtrim(F.translate(p, "\t\r\f", "   "))).alias("width")))).over(_in_file()))
+        .withColumn("joined", F.coalesce(F.lag("piece").over(_in_order()).rlike(r"\\\s*$"), F.lit(False)))
+        .withColumn("opens", (F.col("depth") <= 0) & ~F.col("joined") & F.col("solid"))
+        .withColumn("name", F.when(F.col("opens") & p.rlike(_DECLARED), F.regexp_extract(p, _DECLARED, 1)))
+        .withColumn("levels", F.array_sort(F.collect_set(F.when(F.col("name").isNotNull(), F.col("indent"))).over(_in_file())))
+    )
+    # A line takes part at every level that it can end; at one level, a block ends before the next line of the level.
+    reach = F.when(F.col("opens"), F.filter("levels", lambda level: level >= F.col("indent")))
+    at_level = rows.where(F.col("content").isNotNull() | F.col("opens")).withColumn("level", F.explode_outer(reach))
+    level = Window.partitionBy(*FILE, "level").orderBy("k")
+    found = (
+        at_level.withColumn("next", F.lead("k").over(level)).withColumn("block", F.lead("last").over(level))
+        .where(F.col("content").isNotNull() | (F.col("name").isNotNull() & (F.col("level") == F.col("indent"))
+                                                & (F.col("next").isNotNull() | (F.col("whole_depth") <= 0))))
+        .withColumn("block", F.coalesce("block", "end"))
+    )
+    kind = F.when(p.rlike(r"^[ \t]*class\b"), "class").otherwise("function")
+    return _gathered(found.select(
+        *FILE, "content", "name", kind.alias("kind"), F.col("k").alias("start"), F.col("block.k").alias("until"),
+        (F.col("k") + 1).alias("start_line"), (F.col("block.k") + 1).alias("end_line"),
+        F.length("bare").alias("indent"), F.col("block.width").alias("width"),
+    ), _lines_of)
+
+
+def _lines_of(s: Column) -> Column:
+    """The lines of a Python block, from its keyword to the last sign that is no comment."""
+    n = s["end_line"] - s["start_line"] + 1
+    whole = F.array_join(F.slice(F.col("lines"), s["start_line"], n), "\n")
+    beyond = F.length(F.element_at(F.col("lines"), s["end_line"])) - s["width"]
+    return F.substr(whole, s["indent"] + 1, F.length(whole) - beyond - s["indent"])
+
+
+def script_symbols(files: DataFrame) -> DataFrame:
+    """``files(repo_id, path, content)`` to ``(repo_id, path, content, symbols)``; blocks end by their braces."""
+    staged = files.withColumn("flat", _rewritten(F.col("content"), _SCRIPT_LITERAL, _spaces))
+    for _ in range(_NESTING):
+        staged = staged.withColumn("flat", _rewritten(F.col("flat"), _PARENTHESES, lambda t: F.when(F.length(t) > 0, F.concat(
+            F.lit(_IN), _spaces(F.substr(t, F.lit(2), F.length(t) - 2)), F.lit(_OUT))).otherwise("")))
+        staged = staged.withColumn("flat", _rewritten(F.col("flat"), _PLAIN_BRACES, _spaces))
+    p = F.col("piece")
+    opens, closes = p.endswith("{"), p.endswith("}")
+    rows = (
+        _pieces(staged, F.split("flat", _CUTS))
+        .withColumn("end", F.sum(F.coalesce(F.length(p), F.lit(0))).over(_in_order(until=0)))
+        .withColumn("lines_to", F.sum(F.coalesce(_count(p, "\n"), F.lit(0))).over(_in_order(until=0)))
+        .withColumn("depth", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(_in_order(until=0)))
+        .withColumn("level", F.when(opens, F.col("depth") - 1).when(closes, F.col("depth")))
+        .withColumn("following", F.lead("piece").over(_in_order()))
+    )
+    # At one level, an opening brace is followed by the brace that closes it.
+    level = Window.partitionBy(*FILE, "level").orderBy("k")
+    closing = F.lead(F.struct("piece", "end", "lines_to", "following")).over(level)
+    closed = F.when(opens & closing["piece"].endswith("}"), closing)
+    rows = rows.withColumn("closing", closed)
+
+    def header(pattern: str) -> Column:
+        return F.when(F.col("closing").isNotNull(), F.regexp_extract(p, pattern, 1))
+
+    rows = (
+        rows.withColumn("variable", F.when(p.rlike("^(?:const|let|var)\\s"), header(_VARIABLE_BLOCK)))
+        .withColumn("function", header(_FUNCTION)).withColumn("class", header(_CLASS)).withColumn("method", header(_METHOD))
+        .withColumn("value", F.when(p.rlike(_VARIABLE_VALUE) & ~opens, F.regexp_extract(p, _VARIABLE_VALUE, 1)))
+    )
+    ahead = lambda c: F.substr(p, F.lit(1), F.length(p) - F.length(c))
+    is_value = ahead(F.col("function")).rlike(r"(?:[=(:,?&|!\[]|\breturn)\s*$")
+    named = F.regexp_extract(p, _METHOD, 2)
+    is_method = (F.length("method") > 0) & ~named.isin(*_NO_METHODS) & ~ahead(F.col("method")).rlike(r"(?:\bfunction\s*\*?|\bnew|\.)\s*$")
+    some = lambda c: F.length(c) > 0
+    kind = (
+        F.when(some("variable") | some("value") | (some("function") & ~is_value), "function")
+        .when(some("class"), "class").when(~some("function") & is_method, "method"))
+    rows = rows.withColumn("kind", kind)
+    head = F.when(some("variable") | some("value"), p).when(some("function"), F.col("function")).when(
+        F.col("kind") == "class", F.col("class")).otherwise(F.col("method"))
+    name = F.when(some("variable"), F.col("variable")).when(some("value"), F.col("value")).when(
+        some("function"), F.regexp_extract(p, _FUNCTION, 2)).when(
+        F.col("kind") == "class", F.coalesce(F.nullif(F.regexp_extract(p, _CLASS, 2), F.lit("")), F.lit("AnonymousClass"))).otherwise(named)
+    rows = rows.withColumn("head", head).withColumn("value_text", F.when(some("value"), F.rtrim(F.regexp_extract(p, _VALUE_END, 1))))
+    tail = F.when(some("variable") & F.col("closing.following").rlike(r"^[\s)\]]*;$"), F.length("closing.following")).otherwise(0)
+    start = F.col("end") - F.length("head")
+    start_line = F.col("lines_to") - _count(F.col("head"), "\n") + 1
+    until = F.when(some("value"), start + F.length("value_text")).otherwise(F.col("closing.end") + tail)
+    end_line = F.when(some("value"), start_line + _count(F.col("value_text"), "\n")).otherwise(F.col("closing.lines_to") + 1)
+    found = rows.where(F.col("content").isNotNull() | F.col("kind").isNotNull()).select(
+        *FILE, "content", F.when(F.col("kind").isNotNull(), name).alias("name"), "kind", start.alias("start"), until.alias("until"),
+        start_line.alias("start_line"), end_line.alias("end_line"), F.lit(0).alias("indent"), F.lit(0).alias("width"))
+    return _gathered(found, lambda s: F.substr(F.col("content"), s["start"].cast("int") + 1, (s["until"] - s["start"]).cast("int")))

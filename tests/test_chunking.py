@@ -1,7 +1,7 @@
+import time
 from pathlib import Path
 
-from codelantern.operators.chunking import chunk_files, markdown_sections
-from codelantern.operators.symbols import file_symbols, python_symbols, script_symbols
+from codelantern.operators.chunking import chunk_files, markdown_sections, symbol_chunks
 
 TS = """
 export class SessionKeeper {
@@ -32,29 +32,82 @@ const table = { first() { return 1 }, second: function () { function inner() {}
 """
 
 
-def names(symbols):
-    return [s[:4] for s in symbols]
+def symbols(spark, path, text):
+    rows = symbol_chunks(files(spark, [(path, text)])).orderBy("ord").collect()
+    return [(r.symbol_name, r.symbol_type, r.start_line, r.end_line) for r in rows], [r.content for r in rows]
 
 
-def test_script_symbols():
-    assert names(script_symbols(TS)) == [
+def test_script_symbols(spark):
+    assert symbols(spark, "a.ts", TS)[0] == [
         ("constructor", "method", 5, 7), ("open", "method", 9, 12), ("SessionKeeper", "class", 2, 15),
         ("onReady", "function", 17, 19), ("renew", "function", 21, 23), ("run", "method", 25, 25),
         ("first", "method", 26, 26), ("inner", "function", 26, 26),
     ]
 
 
-def test_python_symbols():
+def test_scripts_with_odd_parts(spark):
+    def of(text, path="a.ts"):
+        return symbols(spark, path, text)
+
+    comma = (
+        "function f(): Record<string, number> {\n  return {};\n}\nconst g = (): Map<string, { a: number }> => {\n  return x;\n};\n"
+        "class A {\n  m(): Record<string, number> { return {} }\n}\n"
+    )
+    assert of(comma)[0] == [("f", "function", 1, 3), ("g", "function", 4, 6), ("m", "method", 8, 8), ("A", "class", 7, 9)]
+    assert of("if (a) /[}{]/.test(a);\nfunction f() {}\n")[0] == [("f", "function", 2, 2)]
+    jsx = "function V() {\n  return (<p><b>x</b> don't (<i>y</i></p>);\n}\nfunction W() {}\n"
+    assert ("W", "function", 4, 4) in of(jsx, "a.tsx")[0]
+    assert of("}}} ) ( x;\nfunction late() { return 1 }\nfunction open( {\n")[0] == [("late", "function", 2, 2)]
+    values = (
+        "const add = (a, b) => a + b;\nlet f = async x =>\n  x\n    .then(y => y)\nvar h = function () { return '}' };\n"
+        "const n = 5;\nexport default class extends B {}\n"
+    )
+    found, content = of(values)
+    assert found == [("add", "function", 1, 1), ("f", "function", 2, 4), ("h", "function", 5, 5), ("AnonymousClass", "class", 7, 7)]
+    assert content == ["const add = (a, b) => a + b;", "let f = async x =>\n  x\n    .then(y => y)",
+                       "var h = function () { return '}' };", "class extends B {}"]
+    members = (
+        "/* function no() {} */\nconst o = { get a() { return `${b({c: `}`})}` }, async *b() {} };\n"
+        "foo(function named() {}); if (x) { y() } else { z() }\nswitch (a) { case 1: {} }\n"
+    )
+    found, content = of(members)
+    assert [s[:2] for s in found] == [("a", "method"), ("b", "method")]
+    assert content == ["get a() { return `${b({c: `}`})}` }", "async *b() {}"]
+    assert of("é😀 = 1; function ok(ü) { return '😀' }")[1] == ["function ok(ü) { return '😀' }"]
+
+
+def test_symbols_take_linear_time(spark):
+    start = time.time()
+    assert symbols(spark, "a.ts", "class A<" * 8000)[0] == []
+    assert symbols(spark, "b.ts", "/* a\n" * 8000)[0] == []
+    many = "".join(f"function f{i}(a, b) {{ return `x${{a}}` + \"{{\"; }}\n" for i in range(8000))
+    assert len(symbols(spark, "c.ts", many)[0]) == 8000
+    defs = "".join(f"def f{i}():\n    '''a'''\n    return 1\n" for i in range(8000))
+    assert len(symbols(spark, "d.py", defs)[0]) == 8000
+    assert symbols(spark, "e.ts", "const t = `" + "${a}\\n" * 40000)[0] == []
+    assert time.time() - start < 60
+
+
+def test_python_symbols(spark):
     source = "\nclass A:\n    x = 1\n    @deco\n    def m(self):\n        def inner(): pass\n\nif x:\n    async def f(): return 'é'\nclass B: pass\n"
-    assert names(python_symbols(source)) == [
-        ("m", "method", 5, 6), ("A", "class", 2, 6), ("f", "function", 9, 9), ("B", "class", 10, 10)]
-    assert python_symbols(source)[2][4] == "async def f(): return 'é'"
-
-
-def test_broken_sources_have_no_symbols():
-    assert file_symbols("python", "def f(:\n") == []
-    assert file_symbols("javascript", "function f( {") == []
-    assert file_symbols("go", "func main() {}") == []
+    found, content = symbols(spark, "a.py", source)
+    assert found == [("m", "method", 5, 6), ("A", "class", 2, 6), ("f", "function", 9, 9), ("B", "class", 10, 10)]
+    assert content[2] == "async def f(): return 'é'"
+    tricky = (
+        'def a(x=")",\n      y=[1,\n]):\n    """def no():\n\ndef nor(): pass\n"""\n    return 1  # end\n# def out(): pass\n\n'
+        "class C(Base):\n\tdef m(self): return '#'\n\n\tif x:\n\t\tasync def n(self):\n\t\t\treturn 1 + \\\ndef_like\n\n"
+        "\tclass D:\n\t\tdef o(self):\n\t\t\tdef p(): pass\n\n\nx = 1\n"
+    )
+    found, content = symbols(spark, "b.py", tricky)
+    assert found == [("a", "function", 1, 8), ("m", "method", 12, 12), ("n", "method", 15, 17), ("o", "method", 20, 21),
+                     ("D", "class", 19, 21), ("C", "class", 11, 21)]
+    assert content[0].endswith("return 1") and content[1] == "def m(self): return '#'"
+
+
+def test_broken_sources_have_no_symbols(spark):
+    assert symbols(spark, "a.py", "def f(:\n")[0] == []
+    assert symbols(spark, "a.js", "function f( {")[0] == []
+    assert symbols(spark, "a.go", "func main() {}")[0] == []
 
 
 def files(spark, rows):
