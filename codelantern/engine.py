@@ -11,14 +11,13 @@ from pyspark.sql import types as T
 
 from codelantern import fixed_values as fv
 from codelantern.config import FilterConfig, GenerationOptions, SearchOptions, require_text
+from codelantern.operators.chunking import symbol_chunks
 from codelantern.operators.embedding import Embedder, HashingEmbedder, embed_questions
-from codelantern.operators.lexical import LexicalIndex
 from codelantern.operators.models import AnswerModel, ExtractiveModel
-from codelantern.operators.sizing import durable
+from codelantern.operators.sizing import durable, scratch
 from codelantern.operators.summaries import file_inventory
-from codelantern.operators.symbols import file_symbols
 from codelantern.plans.answer import Answers, answer_questions, answers_as_json
-from codelantern.plans.ingest import ingest_repositories
+from codelantern.plans.ingest import ingest_as_json, ingest_repositories
 from codelantern.plans.retrieve import Retrieval, hybrid_retrieve
 from codelantern.sources.repos import parse_repo_url, remove_tree, shallow_clone
 from codelantern.sources.store import ChunkStore
@@ -45,14 +44,19 @@ class Engine:
         return ingest_repositories(repos, self.store, self.embedder, config)
 
     def ingest_address(self, address: str, shared_folder: str, config: FilterConfig = FilterConfig()) -> dict:
-        """Clone one public repository into ``shared_folder`` and ingest it."""
-        parse_repo_url(require_text("url", address))
-        repo_id, root = shallow_clone(address, Path(shared_folder))
+        """Clone one public repository into ``shared_folder`` and ingest it: the response envelope."""
+        root = None
         try:
+            parse_repo_url(require_text("url", address))
+            repo_id, root = shallow_clone(address, Path(shared_folder))
             repos = self.spark.createDataFrame([(repo_id, str(root))], "repo_id string, root string")
-            return self.ingest(repos, config).first().asDict()
+            with scratch(self.spark):
+                return json.loads(ingest_as_json(self.ingest(repos, config)).first().body)
+        except Exception as error:
+            return {"success": False, "error": str(error) or "the repository could not be ingested"}
         finally:
-            remove_tree(root.parent)
+            if root is not None:
+                remove_tree(root.parent)
 
     def questions(self, rows: list[tuple[int, str, str]]) -> DataFrame:
         """Embedded once and stored: every search measures and reads its questions several times."""
@@ -60,17 +64,18 @@ class Engine:
 
     def search(self, questions: DataFrame, options: SearchOptions = SearchOptions()) -> Retrieval:
         chunks = self.store.scan_of(questions)
-        return hybrid_retrieve(questions, chunks, LexicalIndex.over(chunks), options=options)
+        return hybrid_retrieve(questions, chunks, self.store.index(chunks), options=options)
 
     def answer(self, questions: DataFrame, options: GenerationOptions = GenerationOptions()) -> Answers:
         chunks = self.store.scan_of(questions)
-        return answer_questions(questions, chunks, LexicalIndex.over(chunks), self.model, generation=options)
+        return answer_questions(questions, chunks, self.store.index(chunks), self.model, generation=options)
 
     def ask(self, repo_id: str, question: str) -> dict:
         """The response envelope for one question; errors come back in it."""
         try:
             rows = [(0, require_text("repo_id", repo_id), require_text("question", question))]
-            return json.loads(answers_as_json(self.answer(self.questions(rows))).first().body)
+            with scratch(self.spark):
+                return json.loads(answers_as_json(self.answer(self.questions(rows))).first().body)
         except Exception as error:
             return {"success": False, "error": str(error) or "the question could not be answered"}
 
@@ -85,8 +90,9 @@ class Engine:
             checks["embedding"] = {"ok": True, "dimension": len(vector)}
         except Exception as error:
             checks["embedding"] = {"ok": False, "error": str(error)}
-        found = file_symbols("javascript", "function greet(name) {\n  return 'hi ' + name;\n}")
-        checks["parser"] = {"ok": bool(found), "languages": list(fv.PARSED_LANGUAGES), "symbols": len(found)}
+        sample = [("-", "a.js", "function greet(name) {\n  return 'hi ' + name;\n}")]
+        found = symbol_chunks(self.spark.createDataFrame(sample, "repo_id string, path string, content string")).count()
+        checks["parser"] = {"ok": found == 1, "languages": list(fv.PARSED_LANGUAGES), "symbols": found}
         spark_ok = self.spark.range(1).agg(F.count(F.lit(1))).first()[0] == 1
         checks["spark"] = {"ok": spark_ok}
         states = [c["ok"] for c in checks.values()]

@@ -1,24 +1,28 @@
-"""Inverted index and BM25 ranking for a batch of queries.
+"""Token index and BM25 ranking for a batch of queries.
 
 A document's whole token set lives in one row, so term weights and lengths are
-computed where the row is: building postings needs no shuffle.  Searching
-shuffles one partial sum per (query, document) pair that shares a token.
+computed where the row is, and a search scores a document where its row is read:
+each task keeps ``top_k`` candidates per query and passes only those on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codelantern import fixed_values as fv
 from codelantern.config import SearchOptions
 from codelantern.functions.text import tokenize
 from codelantern.operators.sizing import durable, hinted, is_small, only_repos
 
-# A document is counted through one posting with this token, which no text can produce.
-DOCUMENT_MARK = ""
+_ARROW = {T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64()}
 
 
 def token_sets(chunks: DataFrame) -> DataFrame:
@@ -36,26 +40,51 @@ def token_sets(chunks: DataFrame) -> DataFrame:
     ).withColumn("dl", F.size("tokens").cast("long"))
 
 
+def _weight(token: Column, place: Column) -> Column:
+    """The summed weights of the fields that hold a token; ``place`` is its index in ``tokens``."""
+    return (
+        F.when(place < F.col("n_content"), fv.CONTENT_WEIGHT).otherwise(0)
+        + F.when(F.array_contains("path_tokens", token), fv.PATH_WEIGHT).otherwise(0)
+        + F.when(F.array_contains("symbol_tokens", token), fv.SYMBOL_WEIGHT).otherwise(0)
+    )
+
+
+def token_rows(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``(repo_id, id, ord, tokens, tf, dl)`` by chunk: its tokens beside their weights.
+
+    With ``asked(repo_id, wanted)`` only chunks of those repositories and only wanted
+    tokens are kept; a chunk without any stays, as it counts in the statistics.
+    """
+    sets = token_sets(chunks)
+    if asked is None:
+        pairs = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), _weight(t, i).alias("tf")))
+        rows = sets
+    else:
+        rows = sets.join(asked, "repo_id")
+        pairs = F.transform(
+            F.array_intersect("tokens", "wanted"),
+            lambda t: F.struct(t.alias("token"), _weight(t, F.array_position("tokens", t) - 1).alias("tf")))
+    return rows.select("repo_id", "id", "ord", pairs.alias("pairs"), "dl").select(
+        "repo_id", "id", "ord", F.col("pairs.token").alias("tokens"), F.col("pairs.tf").cast("array<int>").alias("tf"), "dl")
+
+
 def doc_lengths(chunks: DataFrame) -> DataFrame:
     return token_sets(chunks).select("repo_id", "id", "ord", "dl")
 
 
-def postings(chunks: DataFrame, with_marks: bool = False) -> DataFrame:
-    """``(repo_id, id, ord, token, tf, dl)``; tf is the sum of the weights of the fields hit."""
+def flat_postings(rows: DataFrame) -> DataFrame:
+    """Token rows as ``(repo_id, id, ord, token, tf, dl)``."""
     # The outer form keeps the optimizer from adding a size(tokens) > 0 filter
     # below, which would tokenize every text a second time.
-    tokens = F.col("tokens")
-    if with_marks:
-        tokens = F.concat(tokens, F.array(F.lit(DOCUMENT_MARK)))
-    flat = token_sets(chunks).select("*", F.posexplode_outer(tokens).alias("pos", "token")).where(
-        F.col("token").isNotNull()
-    )
-    tf = (
-        F.when(F.col("pos") < F.col("n_content"), fv.CONTENT_WEIGHT).otherwise(0)
-        + F.when(F.array_contains("path_tokens", F.col("token")), fv.PATH_WEIGHT).otherwise(0)
-        + F.when(F.array_contains("symbol_tokens", F.col("token")), fv.SYMBOL_WEIGHT).otherwise(0)
-    )
-    return flat.select("repo_id", "id", "ord", "token", tf.cast("long").alias("tf"), "dl")
+    flat = rows.select("repo_id", "id", "ord", "dl", F.explode_outer(F.arrays_zip("tokens", "tf")).alias("p"))
+    return flat.where("p is not null").select(
+        "repo_id", "id", "ord", F.col("p.tokens").alias("token"), F.col("p.tf").cast("long").alias("tf"), "dl")
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """``(repo_id, id, ord, token, tf, dl)``; tf is the sum of the weights of the fields hit."""
+    flat = token_sets(chunks).select("*", F.posexplode_outer("tokens").alias("pos", "token")).where(F.col("token").isNotNull())
+    return flat.select("repo_id", "id", "ord", "token", _weight(F.col("token"), F.col("pos")).cast("long").alias("tf"), "dl")
 
 
 def doc_frequencies(chunks: DataFrame) -> DataFrame:
@@ -64,88 +93,82 @@ def doc_frequencies(chunks: DataFrame) -> DataFrame:
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """Documents and mean length per repository; token-less documents count."""
-    return doc_lengths(chunks).groupBy("repo_id").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl")
-    )
+    return _stats(doc_lengths(chunks))
+
+
+def _stats(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+
+
+def _doc_freq(rows: DataFrame) -> DataFrame:
+    tokens = rows.select("repo_id", F.explode_outer("tokens").alias("token")).where("token is not null")
+    return tokens.groupBy("repo_id", "token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """A table partitioned by repository; ids that look like numbers or dates stay strings."""
+    fields = [T.StructField("repo_id", T.StringType()) if f.name == "repo_id" else f for f in spark.read.parquet(path).schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Postings with their statistics: saved tables, or the chunks to derive them from per batch."""
+    """Token rows with their statistics: stored tables, or the chunks to derive them from per batch."""
 
-    postings: DataFrame | None
+    rows: DataFrame | None
     doc_freq: DataFrame | None
     stats: DataFrame | None
     chunks: DataFrame | None = None
 
     @classmethod
     def over(cls, chunks: DataFrame) -> LexicalIndex:
-        """No saved index: each batch reads the texts once and keeps only the postings it asks for."""
+        """No stored index: each batch reads the texts once and keeps only the tokens it asks for."""
         return cls(None, None, None, chunks)
 
+    @classmethod
+    def of(cls, chunks: DataFrame) -> LexicalIndex:
+        """Tokenize ``chunks`` once for several searches; the tables live as long as the application."""
+        rows = durable(token_rows(chunks))
+        return cls(rows, _doc_freq(rows), _stats(rows))
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
-        read = spark.read.parquet
-        return cls(read(f"{path}/postings"), read(f"{path}/doc_freq"), read(f"{path}/stats"))
+        return cls(*(_read(spark, f"{path}/{name}") for name in ("rows", "doc_freq", "stats")))
 
-    @staticmethod
-    def save(chunks: DataFrame, path: str, snapshot: str) -> str:
-        """Write the index of one snapshot, so that a new snapshot never meets an old index.
+    @classmethod
+    def save(cls, chunks: DataFrame, path: str) -> None:
+        """Write the index of the repositories in ``chunks``, each to its own partition of three tables.
 
-        Sorted by token, a query reads few row groups.  The range partitioning
-        has the document as its last key: one hot token may span many files.
+        Only the given repositories are replaced.  A partition holds its chunks in
+        store order; rebalancing splits a repository that dwarfs the others.
         """
-        target = f"{path}/{snapshot}"
-        keys = ["repo_id", "token", "ord"]
-        rows = postings(chunks, with_marks=True).repartitionByRange(*keys).sortWithinPartitions(*keys)
-        rows.write.mode("overwrite").parquet(f"{target}/postings")
-        stored = chunks.sparkSession.read.parquet(f"{target}/postings")
-        doc_freq, stats = _statistics(stored)
-        doc_freq.write.mode("overwrite").parquet(f"{target}/doc_freq")
-        stats.write.mode("overwrite").parquet(f"{target}/stats")
-        return target
+        spark = chunks.sparkSession
+
+        def write(rows: DataFrame, name: str, *order: str) -> None:
+            (
+                rows.hint("rebalance", F.col("repo_id")).sortWithinPartitions("repo_id", *order).write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{path}/{name}")
+            )
+
+        repos = chunks.select("repo_id").distinct()
+        write(token_rows(chunks), "rows", "ord")
+        stored = _read(spark, f"{path}/rows").join(repos, "repo_id", "left_semi")
+        write(_doc_freq(stored), "doc_freq", "token")
+        write(_stats(stored), "stats")
 
     def narrowed(self, queries: DataFrame, options: SearchOptions) -> LexicalIndex:
         """The index with the repositories of a batch pushed into its scans."""
         if self.chunks is not None:
             return LexicalIndex.over(only_repos(self.chunks, queries, options))
-        return LexicalIndex(*[only_repos(t, queries, options) for t in (self.postings, self.doc_freq, self.stats)])
+        return LexicalIndex(*[only_repos(t, queries, options) for t in (self.rows, self.doc_freq, self.stats)])
 
-    def for_terms(self, terms: DataFrame, small: bool, options: SearchOptions) -> LexicalIndex:
+    def for_terms(self, terms: DataFrame, small: bool) -> LexicalIndex:
         """The part of the index that a batch of query terms can touch."""
-        asked = terms.select("repo_id", "token").distinct()
         if self.chunks is None:
             return self
-        marks = asked.select("repo_id").distinct().withColumn("token", F.lit(DOCUMENT_MARK))
-        rows = durable(_on_terms(
-            postings(self.chunks, with_marks=True), asked.unionByName(marks), "left_semi", small, options
-        ))
-        return LexicalIndex(rows, *_statistics(rows))
-
-
-def _statistics(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Document frequencies, and documents with mean length, from postings with document marks."""
-    counted = rows.groupBy("repo_id", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_dl"))
-    is_mark = F.col("token") == DOCUMENT_MARK
-    stats = counted.where(is_mark).select(
-        "repo_id", F.col("df").alias("n_docs"), (F.col("total_dl") / F.col("df")).alias("avg_dl")
-    )
-    return counted.where(~is_mark).select("repo_id", "token", "df"), stats
-
-
-def _on_terms(rows: DataFrame, terms: DataFrame, how: str, small: bool, options: SearchOptions) -> DataFrame:
-    """Join postings with query terms on ``(repo_id, token)``.
-
-    A measured small batch is broadcast and the postings stay where they are.
-    Otherwise both sides are shuffled; since one common token may own a third of
-    all postings, its key is split by document and the terms are copied per salt.
-    """
-    keys = ["repo_id", "token"]
-    if small:
-        return rows.join(F.broadcast(terms), keys, how)
-    salt = F.pmod(F.xxhash64("id"), F.lit(options.salts)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(options.salts - 1)))
-    return rows.withColumn("salt", salt).join(terms.withColumn("salt", copies), [*keys, "salt"], how).drop("salt")
+        asked = terms.groupBy("repo_id").agg(F.collect_set("token").alias("wanted"))
+        rows = durable(token_rows(self.chunks, hinted(asked, small)))
+        return LexicalIndex(rows, _doc_freq(rows), _stats(rows))
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -166,18 +189,102 @@ def weighted_terms(index: LexicalIndex, terms: DataFrame, small: bool) -> DataFr
     )
 
 
-def bm25_scores(index: LexicalIndex, queries: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
-    """Score of every (query, chunk) pair that shares a token."""
-    small = is_small(queries, options, F.octet_length("text"))
-    terms = query_tokens(queries)
-    index = index.narrowed(queries, options).for_terms(terms, small, options)
-    hits = _on_terms(index.postings, weighted_terms(index, terms, small), "inner", small, options)
-    tf, dl = F.col("tf"), F.col("dl")
-    mean = F.when(F.col("avg_dl") > 0, F.col("avg_dl")).otherwise(1.0)
+def _term_scores(idf, tf, dl, mean):
+    """BM25 of one term, for columns and arrays alike."""
     norm = 1.0 - fv.BM25_B + fv.BM25_B * (dl / mean)
-    term = F.col("idf") * ((tf * (fv.BM25_K1 + 1.0)) / (tf + fv.BM25_K1 * norm))
+    return idf * ((tf * (fv.BM25_K1 + 1.0)) / (tf + fv.BM25_K1 * norm))
+
+
+class _BatchScorer:
+    """The terms of all queries by repository and token, laid out for array look-ups."""
+
+    def __init__(self, terms: pa.Table):
+        terms = terms.sort_by([("repo_id", "ascending"), ("token", "ascending")]).combine_chunks()
+        keys = pc.binary_join_element_wise(terms["repo_id"], terms["token"], "\0").combine_chunks()
+        distinct = pc.unique(keys)
+        self.keys = distinct
+        code = pc.index_in(keys, distinct).to_numpy(zero_copy_only=False)
+        self.first = np.searchsorted(code, np.arange(len(distinct)))
+        self.count = np.bincount(code, minlength=len(distinct)) if len(code) else np.zeros(0, int)
+        self.repos = set(terms["repo_id"].unique().to_pylist())
+        self.query_ids = pc.unique(terms["query_id"].combine_chunks())
+        self.query = pc.index_in(terms["query_id"], self.query_ids).to_numpy(zero_copy_only=False).astype(np.int64) if len(code) else np.zeros(0, np.int64)
+        self.idf = terms["idf"].to_numpy()
+        self.pos = terms["pos"].to_numpy().astype(np.int64)
+        mean = terms["avg_dl"].to_numpy()
+        self.mean = np.where(mean > 0, mean, 1.0)
+
+    def best(self, rows: pa.RecordBatch, k: int, schema: pa.Schema) -> pa.RecordBatch | None:
+        """The ``k`` best rows of the batch for each query, equal scores by first matching token, then store order."""
+        tokens, tf = rows.column("tokens"), rows.column("tf")
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(rows.num_rows), sizes)
+        keys = pc.binary_join_element_wise(rows.column("repo_id").take(pa.array(row)), tokens.flatten(), "\0")
+        code = pc.fill_null(pc.index_in(keys, self.keys), -1).to_numpy(zero_copy_only=False)
+        hit = np.flatnonzero(code >= 0)
+        if not len(hit):
+            return None
+        code, row = code[hit], row[hit]
+        weight = tf.flatten().to_numpy(zero_copy_only=False)[hit].astype(float)
+        dl = rows.column("dl").to_numpy(zero_copy_only=False).astype(float)
+        many = self.count[code]
+        ends = np.cumsum(many)
+        term = np.repeat(self.first[code] - (ends - many), many) + np.arange(ends[-1])
+        row, weight = np.repeat(row, many), np.repeat(weight, many)
+        score = _term_scores(self.idf[term], weight, dl[row], self.mean[term])
+        pair, at = np.unique(self.query[term] * rows.num_rows + row, return_inverse=True)
+        total = np.bincount(at, score)
+        first = np.full(len(pair), np.iinfo(np.int64).max)
+        np.minimum.at(first, at, self.pos[term])
+        query, row = pair // rows.num_rows, pair % rows.num_rows
+        place = np.empty(rows.num_rows, np.int64)
+        place[pc.sort_indices(rows.column("ord")).to_numpy()] = np.arange(rows.num_rows)
+        order = np.lexsort((place[row], first, -np.round(total, 9), query))
+        query = query[order]
+        start = np.searchsorted(query, query)
+        order = order[np.arange(len(order)) - start < k]
+        picked = pa.array(row[order])
+        return pa.RecordBatch.from_arrays([
+            self.query_ids.take(pa.array(pair[order] // rows.num_rows)), rows.column("repo_id").take(picked),
+            rows.column("id").take(picked), rows.column("ord").take(picked), pa.array(total[order]),
+            pa.array(first[order].astype(np.int32)),
+        ], schema=schema)
+
+
+def _scored_in_place(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
+    """Measured small batch: every task holds the terms, and a chunk is scored where its row is read."""
+    rows = index.rows.select("repo_id", "id", "ord", "tokens", "tf", "dl")
+    schema = T.StructType([
+        T.StructField("query_id", terms.schema["query_id"].dataType), T.StructField("repo_id", T.StringType()),
+        T.StructField("id", T.StringType()), T.StructField("ord", rows.schema["ord"].dataType),
+        T.StructField("raw_score", T.DoubleType()), T.StructField("first_pos", T.IntegerType()),
+    ])
+    arrow = pa.schema([(f.name, _ARROW[type(f.dataType)]) for f in schema])
+    shared = rows.sparkSession.sparkContext.broadcast(terms.toArrow())
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _BatchScorer(shared.value)
+        for batch in batches:
+            found = scorer.best(batch, k, arrow) if len(scorer.keys) else None
+            if found is not None:
+                yield found
+
+    return rows.mapInArrow(score, schema)
+
+
+def _scored_by_shuffle(index: LexicalIndex, terms: DataFrame, options: SearchOptions) -> DataFrame:
+    """Large batch: postings meet terms in a join, and partial sums per (query, chunk) travel.
+
+    One common token may own a third of all postings, so its key is split by
+    document and the terms are copied per salt.
+    """
+    salt = F.pmod(F.xxhash64("id"), F.lit(options.salts)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(options.salts - 1)))
+    hits = flat_postings(index.rows).withColumn("salt", salt).join(
+        terms.withColumn("salt", copies), ["repo_id", "token", "salt"])
+    mean = F.when(F.col("avg_dl") > 0, F.col("avg_dl")).otherwise(1.0)
     return hits.groupBy("query_id", "repo_id", "id", "ord").agg(
-        F.sum(term).alias("raw_score"), F.min("pos").alias("first_pos")
+        F.sum(_term_scores(F.col("idf"), F.col("tf"), F.col("dl"), mean)).alias("raw_score"), F.min("pos").alias("first_pos")
     )
 
 
@@ -187,12 +294,16 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, options: SearchOptions
     Nine decimals absorb the order of floating-point summation; equal scores go
     to the earliest matching query token, then to store order.
     """
+    small = is_small(queries, options, F.octet_length("text"))
+    terms = query_tokens(queries)
+    index = index.narrowed(queries, options).for_terms(terms, small)
+    weighted = weighted_terms(index, terms, small)
+    scored = _scored_in_place(index, weighted, options.top_k) if small else _scored_by_shuffle(index, weighted, options)
     order = Window.partitionBy("query_id").orderBy(
         F.round("raw_score", 9).desc(), "first_pos", "ord"
     )
     return (
-        bm25_scores(index, queries, options)
-        .withColumn("bm25_rank", F.row_number().over(order))
+        scored.withColumn("bm25_rank", F.row_number().over(order))
         .where(F.col("bm25_rank") <= options.top_k)
         .select("query_id", "repo_id", "id", "ord", F.round("raw_score", 4).alias("score"), "bm25_rank")
     )

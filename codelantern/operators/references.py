@@ -9,7 +9,7 @@ from codelantern import fixed_values as fv
 from codelantern.config import SearchOptions
 from codelantern.functions.text import SPACE_CLASS, is_blank
 from codelantern.operators.lexical import LexicalIndex, bm25_search
-from codelantern.operators.sizing import hinted, is_small, only_repos
+from codelantern.operators.sizing import durable, hinted, is_small, only_repos, row_bytes
 
 # An ASCII word boundary, then the name: a letter or underscore starts a word, a
 # dollar sign is no word character and so needs one before it.  (Java's own \b
@@ -71,7 +71,8 @@ def reference_lookup(
 
     limited = SearchOptions(**{**options.__dict__, "top_k": top_k})
     hits = bm25_search(index, asked.withColumn("text", F.col("symbol")), limited)
-    small = is_small(asked, options, F.lit(200 * top_k))
+    hits = durable(hits)
+    small = is_small(asked, options, row_bytes(asked)) and is_small(hits, options, row_bytes(hits))
     exact = (
         hinted(hits.drop("ord").join(asked.select("query_id", "symbol"), "query_id"), small)
         .join(located, ["repo_id", "id"])
@@ -93,12 +94,21 @@ def reference_lookup(
     return exact.unionByName(fallback)
 
 
+#: What an added hit brings for the columns of a ranked one.
+_CARRIED = {"rrf_score": "score", "source": "'bm25'", "semantic_rank": "cast(null as int)", "bm25_rank": "bm25_rank"}
+
+
 def append_hits(hits: DataFrame, extra: DataFrame) -> DataFrame:
-    """``hits(query_id, id, rank)`` followed by the rows of ``extra(query_id, id, position)`` not yet in it."""
+    """``hits(query_id, id, rank)`` followed by the rows of ``extra(query_id, id, position)`` not yet in it.
+
+    Where the hits have a score, a source and ranks, the added rows bring theirs.
+    """
     sizes = hits.groupBy("query_id").agg(F.max("rank").alias("n"))
+    carried = [c for c in _CARRIED if c in hits.columns]
     fresh = extra.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
     order = Window.partitionBy("query_id").orderBy("position")
     placed = fresh.join(sizes, "query_id", "left").select(
-        "query_id", "id", (F.coalesce("n", F.lit(0)) + F.row_number().over(order)).alias("rank")
+        "query_id", "id", (F.coalesce("n", F.lit(0)) + F.row_number().over(order)).alias("rank"),
+        *(F.expr(_CARRIED[c]).alias(c) for c in carried),
     )
-    return hits.select("query_id", "id", "rank").unionByName(placed)
+    return hits.select("query_id", "id", "rank", *carried).unionByName(placed)

@@ -18,6 +18,14 @@ from codelantern.config import SearchOptions
 SPREAD_SPLITS = 64
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """The bytes that a row of flat columns takes when it is sent."""
+    total = F.lit(0)
+    for name, kind in df.dtypes:
+        total = total + (F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(8))
+    return total
+
+
 def is_small(df: DataFrame, options: SearchOptions, nbytes: Column) -> bool:
     """True when ``df`` is measured to stay under the broadcast limits.
 

@@ -11,7 +11,7 @@ from codelantern.config import SearchOptions
 from codelantern.operators.fusion import confidence, fuse, retrieval_stats, top_hits
 from codelantern.operators.lexical import LexicalIndex, bm25_search
 from codelantern.operators.semantic import semantic_search
-from codelantern.operators.sizing import durable, hinted, is_small, only_repos
+from codelantern.operators.sizing import durable, hinted, is_small, only_repos, row_bytes
 
 
 @dataclass(frozen=True)
@@ -34,23 +34,19 @@ def hybrid_retrieve(
     index: LexicalIndex,
     vectors: DataFrame | None = None,
     options: SearchOptions = SearchOptions(),
-    store: bool = False,
 ) -> Retrieval:
     """``questions(query_id, repo_id, text, vector)`` against ``chunks``.
 
     ``vectors`` may name a narrower ``(repo_id, id, ord, embedding)`` table; by
-    default the embeddings of ``chunks`` are used.  ``store`` keeps the fused
-    ranking as a table, for callers that use more than one part of the result.
+    default the embeddings of ``chunks`` are used.  The fused ranking, at most
+    ``2 * top_k`` ids per question, is stored once: all parts of the result read it.
     """
     chunks = only_repos(chunks, questions, options)
     semantic = semantic_search(chunks if vectors is None else vectors, questions, options)
     lexical = bm25_search(index, questions, options)
-    fused = fuse(semantic, lexical, options)
-    if store:
-        fused = durable(fused)
+    fused = durable(fuse(semantic, lexical, options))
     hits = top_hits(fused, options)
-    # At most 2 * top_k candidates per question exist, so the questions' size bounds the hits'.
-    small = is_small(questions, options, F.lit(options.top_n * 200))
+    small = is_small(hits, options, row_bytes(hits))
     places = hinted(hits.where(F.col("rank") == 1).select("repo_id", "id").distinct(), small).join(
         chunks.select("repo_id", "id", "file_path", "start_line"), ["repo_id", "id"]
     )

@@ -1,11 +1,12 @@
+import json
 import os
 import subprocess
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codelantern.config import FilterConfig
 from codelantern.engine import Engine
 from codelantern.operators.embedding import (
     HashingEmbedder,
@@ -15,9 +16,9 @@ from codelantern.operators.embedding import (
     embed_questions,
     suggested_delay,
 )
-from codelantern.operators.lexical import LexicalIndex
+from codelantern.operators.lexical import LexicalIndex, bm25_search
 from codelantern.operators.models import ServiceError
-from codelantern.plans.ingest import ingest_repositories
+from codelantern.plans.ingest import ingest_as_json, ingest_repositories
 from codelantern.plans.retrieve import hybrid_retrieve
 from codelantern.schema import CHUNKS
 from codelantern.sources import repos as repo_source
@@ -26,6 +27,12 @@ from codelantern.sources.store import ChunkStore
 from codelantern.streaming import ingest_stream
 
 
+SUMMARY = (
+    "repo_id string, status string, error string, file_count long, chunk_count long, languages array<string>, functions long, "
+    "classes long, methods long, modules long, docs long, finished_at timestamp"
+)
+
+
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "tree"
@@ -81,13 +88,77 @@ def test_ingest_and_retrieve(spark, tree, tmp_path):
     assert store.count("o/r") == 0 and store.count("o/two") == 1
 
 
-def test_ingest_rejects(spark, tree, tmp_path):
+def test_one_bad_repository_does_not_stop_the_others(spark, tree, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "store"))
-    with pytest.raises(repo_source.RepoTooLarge):
-        ingest_repositories(repo_rows(spark, ("o/r", tree)), store, max_repo_bytes=10)
-    with pytest.raises(ValueError, match="no eligible"):
-        ingest_repositories(repo_rows(spark, ("o/r", tree)), store, config=FilterConfig.merged(max_file_size_bytes=0))
-    assert store.count("o/r") == 0
+    blank, none = tmp_path / "blank", tmp_path / "none"
+    for folder in (blank, none):
+        folder.mkdir()
+    (blank / "a.py").write_text(" \n")
+    (none / "a.bin").write_text("x")
+    (tmp_path / "huge").mkdir()
+    (tmp_path / "huge" / "a.py").write_text("def f(): pass\n" * 100)
+    repos = repo_rows(spark, ("o/r", tree), ("o/blank", blank), ("o/none", none), ("o/huge", tmp_path / "huge"))
+    rows = {r.repo_id: r for r in ingest_repositories(repos, store, HashingEmbedder(8), max_repo_bytes=1000).collect()}
+    assert {i: (r.status, bool(r.error)) for i, r in rows.items()} == {
+        "o/r": ("ingested", False), "o/blank": ("no_chunks", True), "o/none": ("no_files", True), "o/huge": ("too_large", True)}
+    assert store.count("o/r") == rows["o/r"].chunk_count > 0 == store.count("o/blank")
+    bodies = {r.repo_id: json.loads(r.body) for r in ingest_as_json(spark.createDataFrame(list(rows.values()), SUMMARY)).collect()}
+    assert bodies["o/r"]["success"] and bodies["o/r"]["result"]["chunkSummary"]["functions"] == 2
+    assert not bodies["o/none"]["success"] and "no eligible file" in bodies["o/none"]["error"]
+
+
+def test_blank_files_leave_no_old_rows(spark, tree, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    root = tmp_path / "one"
+    root.mkdir()
+    (root / "a.py").write_text("def f(): pass\n")
+    repos = repo_rows(spark, ("o/one", root))
+    assert ingest_repositories(repos, store, HashingEmbedder(8)).first().functions == 1
+    (root / "a.py").write_text("  \n")
+    again = ingest_repositories(repos, store, HashingEmbedder(8)).first()
+    assert (again.status, again.chunk_count, store.count("o/one")) == ("no_chunks", 0, 0)
+
+
+@pytest.mark.skipif(os.geteuid() == 0, reason="everything is readable for root")
+def test_unreadable_paths_fail(spark, tree):
+    (tree / "src").chmod(0)
+    with pytest.raises(Exception, match="Permission"):
+        list_files(repo_rows(spark, ("o/r", tree))).collect()
+    (tree / "src").chmod(0o700)
+    (tree / "src/app.py").chmod(0)
+    with pytest.raises(Exception, match="Permission"):
+        read_files(list_files(repo_rows(spark, ("o/r", tree)))).collect()
+
+
+def test_a_folder_that_is_no_folder_fails(spark, tmp_path):
+    with pytest.raises(Exception, match="No such file"):
+        list_files(repo_rows(spark, ("o/r", tmp_path / "missing"))).collect()
+
+
+def test_stored_index(spark, tree, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    engine = Engine(spark, str(tmp_path / "store"), HashingEmbedder(16))
+    engine.ingest(repo_rows(spark, ("o/r", tree)))
+    index = store.index(store.scan())
+    assert index.chunks is None and index.rows.count() == store.count("o/r")
+    asked = engine.questions([(1, "o/r", "load config")])
+    stored, derived = (bm25_search(i, asked).orderBy("bm25_rank").collect() for i in (index, LexicalIndex.over(store.scan())))
+    assert stored == derived and stored
+    # Ranking reads neither texts nor vectors of the chunks: only the stored tokens.
+    plan = bm25_search(index, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan and "embedding" not in plan
+
+    (tree / "src/app.py").write_text("def renamed(): pass\n")
+    engine.ingest(repo_rows(spark, ("o/r", tree)))
+    assert not bm25_search(store.index(store.scan()), engine.questions([(1, "o/r", "load_config")])).where("id like '%app.py%'").count()
+    assert bm25_search(store.index(store.scan()), engine.questions([(1, "o/r", "renamed")])).count() == 1
+
+    os.makedirs(tmp_path / "store/_lexical/_pending/left-by-a-failure")
+    assert store.index(store.scan()).chunks is not None
+    store.rebuild_index()
+    assert store.index(store.scan()).chunks is None
+    store.clear("o/r")
+    assert bm25_search(store.index(store.scan()), engine.questions([(1, "o/r", "renamed")])).count() == 0
 
 
 def chunk(spark, *rows):
@@ -105,6 +176,8 @@ def test_upsert(spark, tmp_path):
         assert sorted((r.id, r.content) for r in store.scan().collect()) == [
             ("a/x:1", "new"), ("a/x:2", "keep"), ("a/x:3", "added"), ("b/y:1", "b")]
     assert store.upsert(update.limit(0)) == 0
+    with pytest.raises(ValueError, match="repeat an id"):
+        store.upsert(update.unionByName(update))
     with pytest.raises(Exception, match="no embedding vector"):
         store.upsert(chunk(spark, ("a/x", "9", "bad", None)))
     assert store.scan().count() == 4
@@ -142,11 +215,14 @@ def test_service_embedder(spark):
 def test_engine(spark, tree, tmp_path):
     engine = Engine(spark, str(tmp_path / "store"), HashingEmbedder(32))
     assert engine.health()["status"] == "healthy"
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
     engine.ingest(repo_rows(spark, ("o/r", tree)))
     assert engine.files("o/r").count() == 5
     answer = engine.ask("o/r", "where is load_config?")
     assert answer["success"] and any(c["filePath"] == "src/app.py" for c in answer["answer"]["citations"])
+    before = sorted(shared.glob("tables-*/*"))
     assert engine.ask("o/none", "what?")["answer"]["lowConfidence"]
+    assert sorted(shared.glob("tables-*/*")) == before
     assert engine.ask("o/r", "  ") == {"success": False, "error": "question must be a non-empty string"}
     hits = engine.search(engine.questions([(5, "o/r", "load_config")])).hits
     assert hits.orderBy("rank").first().symbol_name == "load_config"
@@ -160,6 +236,11 @@ def test_stream(spark, tmp_path):
     stream = ingest_stream(spark.readStream.schema(schema).parquet(str(source)), store, HashingEmbedder(8))
     stream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     assert {r.symbol_name for r in store.scan().collect()} == {"f", "T"}
+    again = [("o/r", "a.py", 9, "\n\ndef g(): pass"), ("o/r", "b.md", 5, "  ")]
+    spark.createDataFrame(again, schema).write.mode("append").parquet(str(source))
+    stream = ingest_stream(spark.readStream.schema(schema).parquet(str(source)), store, HashingEmbedder(8))
+    stream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert {r.symbol_name for r in store.scan().collect()} == {"g"}
 
 
 def test_clone_and_cleanup(tmp_path, monkeypatch, tree):

@@ -61,13 +61,22 @@ def test_bm25_against_model(data, options):
 
 def test_saved_index_gives_the_same(spark, data, tmp_path):
     chunks, asked, *_ = data
-    path = LexicalIndex.save(chunks, str(tmp_path / "index"), "s1")
+    path = str(tmp_path / "index")
+    LexicalIndex.save(chunks, path)
     order = ["query_id", "bm25_rank"]
     fresh = bm25_search(LexicalIndex.over(chunks), asked).orderBy(*order).collect()
     for options in (SearchOptions(), LARGE):
         assert bm25_search(LexicalIndex.load(spark, path), asked, options).orderBy(*order).collect() == fresh
 
 
+def test_empty_vectors_score_zero(spark, data):
+    chunks, *_ = data
+    asked = spark.createDataFrame([(1, "hot/repo", "x", [])], "query_id bigint, repo_id string, text string, vector array<float>")
+    for options in (SearchOptions(), LARGE):
+        rows = semantic_search(chunks, asked, options).collect()
+        assert len(rows) == options.top_k and {r.cosine for r in rows} == {0.0}
+
+
 @pytest.mark.parametrize("options", [SearchOptions(), LARGE], ids=["broadcast", "blocks"])
 def test_semantic_against_model(data, options):
     chunks, asked, dicts, questions = data
@@ -112,7 +121,7 @@ def test_fusion_properties(spark):
 
 def signal(spark, semantic, lexical, rrf_k=60):
     queries = spark.createDataFrame([(1,)], "query_id bigint")
-    places = spark.createDataFrame([(i, f"{i}.ts", 4) for i in "abcd"], "id string, file_path string, start_line int")
+    places = spark.createDataFrame([("r", i, f"{i}.ts", 4) for i in "abcd"], "repo_id string, id string, file_path string, start_line int")
     options = SearchOptions(rrf_k=rrf_k)
     fused = fusion.fuse(ranked(spark, semantic, "semantic_rank"), ranked(spark, lexical, "bm25_rank"), options)
     row = fusion.confidence(queries, fusion.top_hits(fused, options), places).first()
@@ -153,6 +162,11 @@ def test_reference_lookup_and_append(spark, data):
     assert [r.id for r in rows if r.query_id == 1] == exact
     assert [(r.id, r.score, r.bm25_rank) for r in rows if r.query_id == 2] == [(i, 1 / n, None) for n, i in enumerate(fallback, 1)]
     assert {r.query_id for r in rows} == {1, 2}
+    late = [(f"n{i}", "far/away", f"src/{i}.ts", "typescript", "x", 1, 1, "needleHere" if i == 1500 else "other", "function", None, i)
+            for i in range(1501)]
+    far = spark.createDataFrame(late, CHUNKS)
+    asked = spark.createDataFrame([(1, "far/away", "edleher")], "query_id bigint, repo_id string, symbol string")
+    assert [r.id for r in reference_lookup(LexicalIndex.over(far), far, asked, 3).collect()] == ["n1500"]
     hits = spark.createDataFrame([(2, fallback[0], 1), (2, "other", 2)], "query_id bigint, id string, rank int")
     merged = append_hits(hits, spark.createDataFrame(rows)).where("query_id = 2").orderBy("rank").collect()
     assert [r.id for r in merged] == [fallback[0], "other", *fallback[1:]]
