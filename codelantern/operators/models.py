@@ -9,15 +9,14 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codelantern import fixed_values as fv
 from codelantern.config import GenerationOptions
 
-ANSWER_COLUMNS = "query_id bigint, text string, model string"
-
 
 class AnswerModel(Protocol):
-    def answer(self, prompts: DataFrame) -> DataFrame:
+    def answer(self, prompts: DataFrame, options: GenerationOptions | None = None) -> DataFrame:
         """``(query_id, system_prompt, user_prompt)`` to ``(query_id, text, model)``."""
 
 
@@ -27,7 +26,7 @@ class ExtractiveModel:
     name = "extractive"
     source = r"(?m)^\[Source: ([^,\n]+).*, lines (\d+-\d+)\]$"
 
-    def answer(self, prompts: DataFrame) -> DataFrame:
+    def answer(self, prompts: DataFrame, options: GenerationOptions | None = None) -> DataFrame:
         def group(n: int):
             return F.regexp_extract_all("user_prompt", F.lit(self.source), F.lit(n))
 
@@ -62,13 +61,14 @@ class ChatModel:
         model: str = fv.ANSWER_MODEL, fallback: str = fv.ANSWER_FALLBACK_MODEL, first_delay: float = 1.0,
     ):
         self.send, self.options, self.fallback, self.first_delay = send, options, fallback, first_delay
-        self.model = options.model or model
+        self.model = model
 
-    def call(self, system_prompt: str, user_prompt: str) -> tuple[str, str]:
-        model, delay = self.model, self.first_delay
+    def call(self, system_prompt: str, user_prompt: str, options: GenerationOptions | None = None) -> tuple[str, str]:
+        options = options or self.options
+        model, delay = options.model or self.options.model or self.model, self.first_delay
         for attempt in range(1, fv.MAX_ATTEMPTS + 1):
             try:
-                text = self.send(model, system_prompt, user_prompt, self.options.temperature, self.options.max_tokens)
+                text = self.send(model, system_prompt, user_prompt, options.temperature, options.max_tokens)
                 return text, model
             except ServiceError as error:
                 if attempt == fv.MAX_ATTEMPTS:
@@ -79,17 +79,20 @@ class ChatModel:
                 delay *= 1.5
         raise AssertionError("unreachable")
 
-    def answer(self, prompts: DataFrame) -> DataFrame:
+    def answer(self, prompts: DataFrame, options: GenerationOptions | None = None) -> DataFrame:
+        """Answers under ``options``; without them under those of the constructor."""
         call = self.call
+        key = prompts.schema["query_id"].dataType
+        schema = T.StructType([T.StructField("query_id", key), T.StructField("text", T.StringType()), T.StructField("model", T.StringType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
                 for row in batch.to_pylist():
-                    text, model = call(row["system_prompt"], row["user_prompt"])
+                    text, model = call(row["system_prompt"], row["user_prompt"], options)
                     rows.append({"query_id": row["query_id"], "text": text, "model": model})
                 yield pa.RecordBatch.from_pylist(
-                    rows, pa.schema([("query_id", pa.int64()), ("text", pa.string()), ("model", pa.string())])
+                    rows, pa.schema([batch.schema.field("query_id"), ("text", pa.string()), ("model", pa.string())])
                 )
 
-        return prompts.select("query_id", "system_prompt", "user_prompt").mapInArrow(run, ANSWER_COLUMNS)
+        return prompts.select("query_id", "system_prompt", "user_prompt").mapInArrow(run, schema)

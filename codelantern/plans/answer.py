@@ -20,7 +20,7 @@ from codelantern.operators.references import (
     reference_lookup,
     unretrieved_references,
 )
-from codelantern.operators.sizing import durable, is_small, only_repos
+from codelantern.operators.sizing import durable, is_small, only_repos, row_bytes
 from codelantern.plans.retrieve import hybrid_retrieve, locate
 
 
@@ -53,7 +53,7 @@ def answer_questions(
     """
     model = model or ExtractiveModel()
     chunks = only_repos(chunks, questions, search)
-    found = hybrid_retrieve(questions, chunks, index, vectors, search, store=True)
+    found = hybrid_retrieve(questions, chunks, index, vectors, search)
     hits = durable(found.hits)
     judged = durable(questions.select("query_id", "repo_id", "text").join(found.confidence, "query_id"))
     is_listing = is_inventory_question(F.col("text"))
@@ -61,7 +61,7 @@ def answer_questions(
     asked = judged.where(~F.col("low_confidence") | is_listing)
 
     inventory = durable(inventory_blocks(chunks))
-    first = durable(model.answer(prompt_rows(asked, hits, inventory)))
+    first = durable(model.answer(prompt_rows(asked, hits, inventory), generation))
 
     active, final = hits, first.withColumn("multi_hop", F.lit(False))
     if generation.allow_multi_hop:
@@ -73,12 +73,10 @@ def answer_questions(
         wanted = durable(missing.join(asked.select("query_id", "repo_id"), "query_id"))
         extra = durable(reference_lookup(index, chunks, wanted, fv.HOP_TOP_K, search))
         placed = append_hits(hits, extra).join(judged.select("query_id", "repo_id"), "query_id")
-        # A question has at most top_n hits and three extra ones.
-        small = is_small(judged, search, F.lit(200 * (search.top_n + fv.HOP_TOP_K)))
-        active = durable(locate(placed, chunks, small))
+        active = durable(locate(placed, chunks, is_small(placed, search, row_bytes(placed))))
         hopped = extra.select("query_id").distinct()
         again = asked.join(hopped, "query_id", "left_semi")
-        second = durable(model.answer(prompt_rows(again, active, inventory)))
+        second = durable(model.answer(prompt_rows(again, active, inventory), generation))
         final = (
             first.join(hopped, "query_id", "left_anti").withColumn("multi_hop", F.lit(False))
             .unionByName(second.withColumn("multi_hop", F.lit(True)))
@@ -101,13 +99,23 @@ def answer_questions(
 
 
 def answers_as_json(result: Answers) -> DataFrame:
-    """One response envelope per question: ``(query_id, body)``."""
+    """One response envelope per question: ``(query_id, body)``.  Values that do not exist are null in it."""
     cited = result.citations.groupBy("answer_id").agg(
         F.array_sort(F.collect_list(F.when(
             F.col("valid"), F.struct("ord", "file_path", "start_line", "end_line", "snippet")))).alias("valid"),
         F.array_sort(F.collect_list(F.when(~F.col("valid"), F.struct("ord", "tag")))).alias("invalid"),
     )
-    joined = result.answers.join(cited, F.col("query_id") == F.col("answer_id"), "left")
+    given = result.hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "id", "repo_id", "file_path", "language", "content", "start_line", "end_line", "symbol_name", "symbol_type",
+        "rrf_score", "source", "semantic_rank", "bm25_rank"))).alias("given"))
+    joined = result.answers.join(cited, F.col("query_id") == F.col("answer_id"), "left").join(given, "query_id", "left")
+    chunks = F.transform(F.coalesce("given", F.array()), lambda h: F.struct(
+        F.struct(
+            h["id"].alias("id"), h["repo_id"].alias("repoId"), h["file_path"].alias("filePath"), h["language"].alias("language"),
+            h["content"].alias("content"), h["start_line"].alias("startLine"), h["end_line"].alias("endLine"),
+            h["symbol_name"].alias("symbolName"), h["symbol_type"].alias("symbolType")).alias("chunk"),
+        h["rrf_score"].alias("score"), h["source"].alias("source"), h["semantic_rank"].alias("semanticRank"), h["bm25_rank"].alias("bm25Rank"),
+    ))
     citations = F.transform(
         F.coalesce("valid", F.array()),
         lambda c: F.struct(
@@ -119,9 +127,9 @@ def answers_as_json(result: Answers) -> DataFrame:
         F.lit(True).alias("success"),
         F.struct(
             F.col("text"), citations.alias("citations"),
-            F.coalesce(F.col("invalid.tag"), F.array().cast("array<string>")).alias("invalidCitations"),
+            F.coalesce(F.col("invalid.tag"), F.array().cast("array<string>")).alias("invalidCitations"), chunks.alias("retrievedChunks"),
             F.col("low_confidence").alias("lowConfidence"), F.col("reason").alias("confidenceReason"),
             F.col("multi_hop").alias("multiHopTriggered"), F.col("model"),
         ).alias("answer"),
     )
-    return joined.select("query_id", F.to_json(body).alias("body"))
+    return joined.select("query_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelantern.functions.text import count_lines
+from codelantern.config import GenerationOptions
+from codelantern.functions.text import count_lines, extension
 from codelantern.operators.models import ExtractiveModel
 from codelantern.operators.sizing import spread
 
@@ -69,10 +70,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each ``benchmark`` passage asked of one repository, with the vector of the same number."""
+    """Each ``benchmark`` passage asked of one repository, with the vector of the same number.
+
+    Some ask an unknown repository and some ask for the file inventory, so refusals and the inventory's way past them occur.
+    """
+    number = F.col("item_id")
+    known = F.concat(F.lit("src"), (number % N_REPOS).cast("string"))
+    counting = F.concat(F.lit("How many files say "), "text")
     item = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.concat(F.lit("src"), (F.col("item_id") % N_REPOS).cast("string")).alias("repo_id"), "text",
+        number.alias("query_id"), F.when(number % 10 == 7, "none/such").otherwise(known).alias("repo_id"),
+        F.when((number % 5 == 3) | (number % 20 == 17), counting).otherwise(F.col("text")).alias("text"),
     )
     asked = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")
@@ -81,12 +88,22 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- texts derived from whole tables, for operators whose input the tables lack ---------------
-def headed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as Markdown: every fourth line becomes a header."""
+def _headed_text() -> Column:
     def head(line: Column, i: Column) -> Column:
         return F.when(i % 4 == 2, F.concat(F.lit("# "), line)).otherwise(line)
 
-    text = F.array_join(F.transform(F.split("content", "\n"), head), "\n")
+    return F.array_join(F.transform(F.split("content", "\n"), head), "\n")
+
+
+def headed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown: every fourth line becomes a header."""
+    return spread(files(spark, sf_dir), "doc_id").withColumn("content", _headed_text())
+
+
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the kind of file that their path names: Python, TypeScript, else text with headers."""
+    ext = extension(F.col("path"))
+    text = F.when(ext == ".py", _code_text(_python_block)).when(ext == ".ts", _code_text(_script_block)).otherwise(_headed_text())
     return spread(files(spark, sf_dir), "doc_id").withColumn("content", text)
 
 
@@ -94,34 +111,40 @@ def _quoted_lines() -> Column:
     return F.transform(F.split("content", "\n"), lambda line: F.regexp_replace(line, "[^a-zA-Z0-9 ,.]+", " "))
 
 
+def _code_text(block) -> Column:
+    return F.array_join(F.transform(_quoted_lines(), lambda line, i: block(line, i.cast("string"), i % 3)), "\n")
+
+
 def _source_files(spark: SparkSession, sf_dir: str, suffix: str, block) -> DataFrame:
-    text = F.array_join(F.transform(_quoted_lines(), lambda line, i: block(line, i.cast("string"), i % 3)), "\n")
+    text = _code_text(block)
     return spread(files(spark, sf_dir), "doc_id").select(
         "repo_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(suffix)).alias("path"), text.alias("content")
     )
 
 
+def _python_block(line: Column, i: Column, kind: Column) -> Column:
+    return F.when(
+        kind == 0,
+        F.concat(F.lit("class C"), i, F.lit(":\n    def m"), i, F.lit("(self):\n        return '"), line, F.lit("'")),
+    ).otherwise(F.concat(F.lit("def f"), i, F.lit("(x):\n    y = '"), line, F.lit("'\n    return y")))
+
+
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of a document as a three-line function or class."""
-    def block(line: Column, i: Column, kind: Column) -> Column:
-        return F.when(
-            kind == 0,
-            F.concat(F.lit("class C"), i, F.lit(":\n    def m"), i, F.lit("(self):\n        return '"), line, F.lit("'")),
-        ).otherwise(F.concat(F.lit("def f"), i, F.lit("(x):\n    y = '"), line, F.lit("'\n    return y")))
+    return _source_files(spark, sf_dir, ".py", _python_block)
 
-    return _source_files(spark, sf_dir, ".py", block)
+
+def _script_block(line: Column, i: Column, kind: Column) -> Column:
+    return (
+        F.when(kind == 0, F.concat(F.lit("class C"), i, F.lit(" {\n  m"), i, F.lit("(a) { return '"), line, F.lit("'; }\n}")))
+        .when(kind == 1, F.concat(F.lit("function f"), i, F.lit("(x) {\n  return `"), line, F.lit(" ${x}`; // }\n}")))
+        .otherwise(F.concat(F.lit("const g"), i, F.lit(" = (x) => {\n  return \""), line, F.lit(" {\";\n};")))
+    )
 
 
 def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of a document as a class, a function or an arrow function of three lines."""
-    def block(line: Column, i: Column, kind: Column) -> Column:
-        return (
-            F.when(kind == 0, F.concat(F.lit("class C"), i, F.lit(" {\n  m"), i, F.lit("(a) { return '"), line, F.lit("'; }\n}")))
-            .when(kind == 1, F.concat(F.lit("function f"), i, F.lit("(x) {\n  return `"), line, F.lit(" ${x}`; // }\n}")))
-            .otherwise(F.concat(F.lit("const g"), i, F.lit(" = (x) => {\n  return \""), line, F.lit(" {\";\n};")))
-        )
-
-    return _source_files(spark, sf_dir, ".ts", block)
+    return _source_files(spark, sf_dir, ".ts", _script_block)
 
 
 def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,8 +190,10 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     revised = chunks(spark, sf_dir).join(
         table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), "quality"), "ord"
     ).select("id", "repo_id", F.concat("content", F.lit(" q="), F.col("quality").cast("string")).alias("content"))
-    passages = questions(spark, sf_dir).select(
-        F.concat(F.lit("b"), F.col("query_id").cast("string")).alias("id"), "repo_id", F.col("text").alias("content")
+    item = F.col("item_id")
+    passages = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("b"), item.cast("string")).alias("id"),
+        F.concat(F.lit("src"), (item % N_REPOS).cast("string")).alias("repo_id"), F.col("text").alias("content"),
     )
     return revised.unionByName(passages)
 
@@ -176,6 +201,6 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 class MentioningModel(ExtractiveModel):
     """The extractive model with a mention of one more symbol, so that answers need a hop."""
 
-    def answer(self, prompts: DataFrame) -> DataFrame:
+    def answer(self, prompts: DataFrame, options: GenerationOptions | None = None) -> DataFrame:
         symbol = F.concat(F.lit(" calls doc_"), (F.col("query_id") * 37 % 500).cast("string"), F.lit("()"))
-        return super().answer(prompts).withColumn("text", F.concat("text", symbol))
+        return super().answer(prompts, options).withColumn("text", F.concat("text", symbol))

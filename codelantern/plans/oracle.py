@@ -109,7 +109,9 @@ CTES: dict[str, str] = {
     "chunks": f"""SELECT doc_id, doc_id::VARCHAR AS id, repo_id, path AS file_path, 'text' AS language, content,
         1::BIGINT AS start_line, len({_lines('content')})::BIGINT AS end_line, 'doc_' || doc_id AS symbol_name,
         {_pick(corpus.KINDS, 'doc_id')} AS symbol_type, doc_id AS ord FROM files""",
-    "questions": f"""SELECT item_id AS query_id, 'src' || (item_id % {corpus.N_REPOS}) AS repo_id, text FROM benchmark""",
+    "questions": f"""SELECT item_id AS query_id,
+        CASE WHEN item_id % 10 = 7 THEN 'none/such' ELSE 'src' || (item_id % {corpus.N_REPOS}) END AS repo_id,
+        CASE WHEN item_id % 5 = 3 OR item_id % 20 = 17 THEN 'How many files say ' || text ELSE text END AS text FROM benchmark""",
     # -- lexical
     "doc_terms": f"""SELECT id, repo_id, ord, tok, max(c) + max(p) + max(s) AS tf FROM (
         SELECT id, repo_id, ord, unnest({_raw_tokens('content')}) AS tok, 1 AS c, 0 AS p, 0 AS s FROM chunks
@@ -237,9 +239,10 @@ def _prompts(hits: str) -> tuple[str, str]:
 
 def _said(prompts: str) -> str:
     line = r"\[Source: ([^,\n]+)[^\n]*, lines (\d+-\d+)\]\n"
-    return f"""SELECT query_id, coalesce('Relevant code is in ' || array_to_string(list_transform(
+    return f"""SELECT query_id, CASE WHEN regexp_matches(user_prompt, '{line}') THEN 'Relevant code is in ' || array_to_string(list_transform(
           list_zip(regexp_extract_all(user_prompt, '{line}', 1), regexp_extract_all(user_prompt, '{line}', 2)),
-          lambda z: '[' || z[1] || ':' || z[2] || ']'), ' '), '') || ' calls doc_' || (query_id * 37 % 500) || '()' AS text
+          lambda z: '[' || z[1] || ':' || z[2] || ']'), ' ') ELSE 'I don''t know based on the provided codebase context.' END
+          || ' calls doc_' || (query_id * 37 % 500) || '()' AS text
         FROM {prompts}"""
 
 
@@ -255,14 +258,24 @@ CTES["listed"] = f"""SELECT repo_id, '--- REPOSITORY FILE INVENTORY (' || repo_i
 CTES["hits_blocks"], CTES["hits_prompts"] = _prompts("hits")
 CTES["first_told"] = _said("hits_prompts")
 CTES["hop_refs"] = """SELECT query_id, repo_id, 'doc_' || (query_id * 37 % 500) AS symbol FROM questions q
-    WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = q.query_id AND h.id = (q.query_id * 37 % 500)::VARCHAR)"""
+    WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = q.query_id AND h.id = (q.query_id * 37 % 500)::VARCHAR)
+      AND query_id IN (SELECT query_id FROM signal WHERE NOT low_confidence) AND NOT regexp_matches(lower(text), 'how many')"""
 CTES["hop_refs_exact"], CTES["hop_found"] = _lookup("hop_refs", 3)
 CTES["active"] = _append("hits", "hop_found")
 CTES["active_blocks"], CTES["active_prompts"] = _prompts("active")
 CTES["final_told"] = _said("active_prompts")
-CTES["answered"] = """SELECT query_id, f.text, false AS low_confidence, s.reason,
-    query_id IN (SELECT query_id FROM hop_found) AS multi_hop, 'extractive' AS model
-    FROM final_told f JOIN signal s USING (query_id)"""
+CTES["answered"] = f"""SELECT query_id, f.text, contains(lower(f.text), {_text(fv.DECLINED_PHRASE)}) AS low_confidence,
+      CASE WHEN contains(lower(f.text), {_text(fv.DECLINED_PHRASE)}) THEN {_text(fv.DECLINED_REASON)} ELSE s.reason END AS reason,
+      query_id IN (SELECT query_id FROM hop_found) AS multi_hop, 'extractive' AS model
+    FROM final_told f JOIN signal s USING (query_id) JOIN questions q USING (query_id)
+    WHERE NOT s.low_confidence OR regexp_matches(lower(q.text), 'how many')
+    UNION ALL SELECT query_id, {_text(fv.REFUSAL_TEXT)}, true, s.reason, false, '{fv.ANSWER_MODEL}'
+    FROM signal s JOIN questions q USING (query_id) WHERE s.low_confidence AND NOT regexp_matches(lower(q.text), 'how many')"""
+CTES["active_full"] = """SELECT a.query_id, a.rank, c.*, CASE WHEN h.id IS NOT NULL THEN h.rrf_score
+        WHEN e.bm25_rank IS NULL THEN 1.0::DOUBLE / e.position ELSE e.score END AS score, coalesce(h.source, 'bm25') AS source,
+      h.semantic_rank, CASE WHEN h.id IS NOT NULL THEN h.bm25_rank ELSE e.bm25_rank END AS bm25_rank
+    FROM active a JOIN chunks c USING (id) LEFT JOIN hits h ON h.query_id = a.query_id AND h.id = a.id
+    LEFT JOIN hop_found e ON e.query_id = a.query_id AND e.id = a.id"""
 
 CTES["final_cited"] = CTES["cited"].replace("FROM told", "FROM (SELECT query_id AS answer_id, text FROM answered)")
 CTES["final_given"] = "SELECT a.query_id AS answer_id, a.rank, c.* FROM active a JOIN chunks c USING (id)"
@@ -311,15 +324,22 @@ def _module(content: str) -> str:
 
 
 _DOC_ROW = _chunk_row("start_line", "end_line", "'markdown'", "title", "'doc'", "content")
-_ROUTED = f"""SELECT {_DOC_ROW} FROM ({_SECTIONS}) WHERE {_IS_DOC}
-    UNION ALL SELECT {_module('content')} FROM (SELECT doc_id, repo_id, path, {_HEADED} AS content FROM files)
-    WHERE NOT {_IS_DOC} AND length({_trim('content')}) > 0"""
 
 
-def _built_code(suffix: str, language: str, pieces: str) -> str:
+def _routed(files: str) -> str:
+    """Chunks of the files: sections of Markdown, symbols of generated code, modules of the rest."""
+    ext = _ext("path")
+    return f"""SELECT {_DOC_ROW} FROM ({_SECTIONS}) WHERE {_IS_DOC} AND doc_id IN (SELECT doc_id FROM {files})
+    UNION ALL SELECT {_module('content')} FROM (SELECT doc_id, repo_id, path, {_HEADED} AS content FROM {files})
+    WHERE NOT {_IS_DOC} AND {ext} NOT IN ('.py', '.ts') AND length({_trim('content')}) > 0
+    UNION ALL {_python(f"SELECT repo_id, path, content FROM {files} WHERE {ext} = '.py'")}
+    UNION ALL {_script(f"SELECT repo_id, path, content FROM {files} WHERE {ext} = '.ts'")}"""
+
+
+def _built_code(source: str, language: str, pieces: str) -> str:
     """Symbols of the generated sources, from the way they are generated."""
-    lines = f"""SELECT repo_id, 'd' || doc_id || '{suffix}' AS path, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS i
-        FROM (SELECT *, string_split(content, chr(10)) AS l FROM files)"""
+    lines = f"""SELECT repo_id, path, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS i
+        FROM (SELECT *, string_split(content, chr(10)) AS l FROM ({source}))"""
     clean = f"SELECT repo_id, path, i, regexp_replace(raw, '[^a-zA-Z0-9 ,.]+', ' ', 'g') AS t FROM ({lines})"
     return f"""SELECT repo_id || ':' || path || ':' || start_line AS id, repo_id, path AS file_path, '{language}' AS language,
         content, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, name AS symbol_name, kind AS symbol_type
@@ -330,13 +350,21 @@ def _piece(name: str, kind: str, first: str, last: str, content: str) -> str:
     return f"{{name: {name}, kind: '{kind}', start_line: {first}, end_line: {last}, content: {content}}}"
 
 
-_PYTHON = _built_code(".py", "python", f"""i % 3 WHEN 0 THEN [
+def _renamed(suffix: str) -> str:
+    return f"SELECT repo_id, 'd' || doc_id || '{suffix}' AS path, content FROM files"
+
+
+def _python(source: str) -> str:
+    return _built_code(source, "python", f"""i % 3 WHEN 0 THEN [
     {_piece("'m' || i", 'method', '3 * i + 2', '3 * i + 3', "'def m' || i || '(self):' || chr(10) || '        return ''' || t || ''''")},
     {_piece("'C' || i", 'class', '3 * i + 1', '3 * i + 3',
             "'class C' || i || ':' || chr(10) || '    def m' || i || '(self):' || chr(10) || '        return ''' || t || ''''")}]
   ELSE [{_piece("'f' || i", 'function', '3 * i + 1', '3 * i + 3',
                 "'def f' || i || '(x):' || chr(10) || '    y = ''' || t || '''' || chr(10) || '    return y'")}]""")
-_SCRIPT = _built_code(".ts", "typescript", f"""i % 3 WHEN 0 THEN [
+
+
+def _script(source: str) -> str:
+    return _built_code(source, "typescript", f"""i % 3 WHEN 0 THEN [
     {_piece("'m' || i", 'method', '3 * i + 2', '3 * i + 2', "'m' || i || '(a) {{ return ''' || t || '''; }}'".replace('{{', '{').replace('}}', '}'))},
     {_piece("'C' || i", 'class', '3 * i + 1', '3 * i + 3',
             "'class C' || i || ' {' || chr(10) || '  m' || i || '(a) { return ''' || t || '''; }' || chr(10) || '}'")}]
@@ -411,12 +439,12 @@ STATEMENTS: dict[str, str] = {
         WHEN max(toxic = 0) THEN 'degraded' ELSE 'unhealthy' END AS status FROM documents JOIN labels USING (doc_id) GROUP BY 1""",
     "markdown_sections": f"SELECT {_DOC_ROW} FROM ({_SECTIONS})",
     "module_chunk": f"SELECT {_module('content')} FROM files WHERE length({_trim('content')}) > 0",
-    "chunk_router": _ROUTED,
-    "ast_python": _PYTHON,
-    "ast_js": _SCRIPT,
+    "chunk_router": _routed("files"),
+    "ast_python": _python(_renamed(".py")),
+    "ast_js": _script(_renamed(".ts")),
     "ingest_summary": f"""SELECT repo_id, file_count, count(*) AS chunk_count,
         string_agg(DISTINCT language, ',' ORDER BY language) AS languages, {_counts()}
-      FROM ({_ROUTED}) JOIN (SELECT repo_id, path AS file_path, count(*) OVER (PARTITION BY repo_id) AS file_count FROM (
+      FROM ({_routed("files")}) JOIN (SELECT repo_id, path AS file_path, count(*) OVER (PARTITION BY repo_id) AS file_count FROM (
         SELECT *, {_reason().format(cap=fv.MAX_FILE_SIZE_BYTES)} AS reason FROM files) WHERE reason IS NULL AND NOT {_PRUNED})
         USING (repo_id, file_path) GROUP BY repo_id, file_count""",
     "cosine": """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], model::DOUBLE[]), 6) AS cosine
@@ -456,12 +484,16 @@ STATEMENTS: dict[str, str] = {
     "answer_citations": "SELECT answer_id, ord, tag, file_path, start_line, end_line, valid, "
         "CASE WHEN valid THEN snippet END AS snippet FROM final_audited",
     "answer_json": """SELECT query_id, json_object('success', true, 'answer', json_object('text', text,
-        'citations', coalesce(cited, []), 'invalidCitations', coalesce(wrong, []), 'lowConfidence', low_confidence,
-        'confidenceReason', reason, 'multiHopTriggered', multi_hop, 'model', model))::VARCHAR AS body
+        'citations', coalesce(cited, []), 'invalidCitations', coalesce(wrong, []),
+        'retrievedChunks', coalesce(given, []), 'lowConfidence', low_confidence, 'confidenceReason', reason, 'multiHopTriggered', multi_hop, 'model', model))::VARCHAR AS body
       FROM answered LEFT JOIN (
         SELECT answer_id AS query_id, list({filePath: file_path, startLine: start_line, endLine: end_line, snippet: snippet}
             ORDER BY ord) FILTER (valid) AS cited, list(tag ORDER BY ord) FILTER (NOT valid) AS wrong
-        FROM final_audited GROUP BY answer_id) USING (query_id)""",
+        FROM final_audited GROUP BY answer_id) USING (query_id) LEFT JOIN (
+        SELECT query_id, list({chunk: {id: id, repoId: repo_id, filePath: file_path, language: language, content: content,
+              startLine: start_line, endLine: end_line, symbolName: symbol_name, symbolType: symbol_type},
+            score: score, source: source, semanticRank: semantic_rank, bm25Rank: bm25_rank} ORDER BY rank) AS given
+        FROM active_full GROUP BY query_id) USING (query_id)""",
     "upsert": f"""WITH incoming AS (
         SELECT d.doc_id::VARCHAR AS id, d.source AS repo_id, d.text || ' q=' || l.quality AS content
         FROM documents d JOIN labels l USING (doc_id)

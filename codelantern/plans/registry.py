@@ -232,7 +232,7 @@ def module_chunk(spark, d):
 
 @query
 def chunk_router(spark, d):
-    return chunking.chunk_files(corpus.headed_files(spark, d)).select(*_CHUNK)
+    return chunking.chunk_files(corpus.mixed_files(spark, d)).select(*_CHUNK)
 
 
 @query
@@ -247,7 +247,7 @@ def ast_js(spark, d):
 
 @query
 def ingest_summary(spark, d):
-    selected = filtering.select_files(corpus.headed_files(spark, d))
+    selected = filtering.select_files(corpus.mixed_files(spark, d))
     summary = summaries.ingest_summary(selected.select("repo_id", "path"), chunking.chunk_files(selected))
     return summary.withColumn("languages", F.array_join("languages", ","))
 
@@ -404,8 +404,9 @@ def prompt_assemble(spark, d):
 
 
 def _answers(spark: SparkSession, d: str) -> Answers:
+    # Searched twice, for the questions and for the hop: tokenized once.
     return answer_questions(
-        corpus.questions(spark, d), _kinds(spark, d), _index(spark, d),
+        corpus.questions(spark, d), _kinds(spark, d), lexical.LexicalIndex.of(corpus.chunks(spark, d)),
         corpus.MentioningModel(), corpus.vectors(spark, d),
     )
 

@@ -89,7 +89,7 @@ def test_prompt_without_hits(spark):
     none = spark.createDataFrame([], HIT).withColumnRenamed("answer_id", "query_id")
     inventory = spark.createDataFrame([("o/r", "FILES\n\n")], "repo_id string, inventory string")
     prompt = user_prompts(questions, none, inventory).first().user_prompt
-    assert prompt.startswith("USER QUESTION:\nwhy?\n\nFILES\n\nCONTEXT CHUNKS (0 relevant snippet(s) from repository):\n\n\nRemember:")
+    assert prompt.startswith("USER QUESTION:\nwhy?\n\nFILES\n\nCONTEXT CHUNKS (0 relevant snippet(s) from repository):\n\n\nBefore you answer:")
 
 
 CHUNK = (
@@ -99,8 +99,8 @@ CHUNK = (
 
 
 class HoppingModel(ExtractiveModel):
-    def answer(self, prompts):
-        return super().answer(prompts).withColumn("text", F.concat("text", F.lit(" via hiddenHelper()")))
+    def answer(self, prompts, options=None):
+        return super().answer(prompts, options).withColumn("text", F.concat("text", F.lit(" via hiddenHelper()")))
 
 
 def test_answer_flow(spark):
@@ -126,6 +126,11 @@ def test_answer_flow(spark):
     bodies = {r.query_id: json.loads(r.body) for r in answers_as_json(result).collect()}
     assert bodies[1]["success"] and len(bodies[1]["answer"]["citations"]) == 9
     assert bodies[2]["answer"]["citations"] == [] and bodies[2]["answer"]["lowConfidence"]
+    given = bodies[1]["answer"]["retrievedChunks"]
+    assert [c["chunk"]["id"] for c in given][-1] == "deep" and len(given) == 9
+    assert given[0]["source"] == "hybrid" and given[0]["score"] > 0 and given[0]["semanticRank"] and given[0]["bm25Rank"]
+    assert given[-1]["source"] == "bm25" and given[-1]["score"] > 0 and given[-1]["semanticRank"] is None
+    assert bodies[2]["answer"]["retrievedChunks"] == []
 
     still = answer_questions(questions, chunks, index, HoppingModel(), generation=GenerationOptions(allow_multi_hop=False))
     assert not any(r.multi_hop for r in still.answers.collect())
@@ -141,6 +146,10 @@ def test_chat_model_falls_back(spark):
     model = ChatModel(send, model="big", fallback="small", first_delay=0.0)
     row = model.answer(prompts).first()
     assert (row.text, row.model) == ("u/0.1/1024", "small")
+    told = model.answer(prompts, GenerationOptions(model="other", temperature=0.7, max_tokens=9)).first()
+    assert (told.text, told.model) == ("u/0.7/9", "other")
+    named = spark.createDataFrame([("q", "s", "u")], "query_id string, system_prompt string, user_prompt string")
+    assert model.answer(named).first().query_id == "q"
     calls = []
 
     def broken(*args):

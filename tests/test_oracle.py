@@ -30,3 +30,16 @@ def test_every_statement_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_the_rest_works_without_the_training_data_operators():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        "import sys; sys.modules['codelantern.llm'] = None\n"
+        "import __spark_entry__ as e; names = set(e.queries()); assert 'hybrid_search' in names and set(e.oracle_sql()) == names\n"
+        "assert not [n for n in names if n.startswith('op') or n == 'pipeline']"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(entry.__file__).parent)
