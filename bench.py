@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -19,21 +20,21 @@ from pyspark.sql import SparkSession  # noqa: E402
 from codelantern.plans.registry import QUERIES  # noqa: E402
 
 HEADLINE = (
-    "file_filter", "corpus_size", "chunk_summary", "inventory_cap", "tokenize", "markdown_sections", "chunk_router",
+    "file_filter", "corpus_size", "chunk_summary", "ingest_summary", "inventory_cap", "tokenize", "markdown_sections", "chunk_router",
     "ast_python", "ast_js", "hash_embed", "cosine", "bm25_postings", "bm25_df", "bm25_topk",
     "semantic_topk", "rrf_fusion", "hybrid_search", "confidence", "citation_audit", "unretrieved_refs",
     "reference_lookup", "context_budget", "prompt_assemble", "upsert", "grounded_answers",
 )
 
 
-def main() -> None:
+def main(checkpoints: str) -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g").config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", checkpoints).getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
     # Start the JVM's and the Python workers' machinery outside the timings.
@@ -50,4 +51,5 @@ def main() -> None:
 
 
 if __name__ == "__main__":
-    main()
+    with tempfile.TemporaryDirectory(prefix="bench-") as folder:
+        main(folder)
