@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codelantern.operators.sizing import durable
+
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
 
@@ -67,6 +69,28 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def most_frequent(counts: DataFrame, key: str, times: str, most: dict[int, int], group: str | None = None) -> DataFrame:
+    """The rows of ``counts`` with the most frequent keys, about ``most[g]`` of each group ``g`` (without groups: 0).
+
+    Counts are put on a logarithmic scale and the sizes of its steps alone reach the
+    driver, so nothing is sorted.  Of the step that does not fit whole, a part fixed by a
+    hash of the key is taken.
+    """
+    step = F.floor(F.log2(times) * 16).cast("int")
+    rows = durable(counts.select("*", step.alias("step"), (F.col(group) if group else F.lit(0)).alias("part")))
+    steps = rows.groupBy("part", "step").agg(F.count(F.lit(1)).alias("n")).collect()
+    keep = F.lit(False)
+    for part, room in most.items():
+        kept = F.lit(True)
+        for found in sorted((s for s in steps if s.part == part), key=lambda s: -s.step):
+            if found.n > room:
+                kept = (F.col("step") > found.step) | ((F.col("step") == found.step) & (hash_share(key) < room / found.n))
+                break
+            room -= found.n
+        keep = F.when(F.col("part") == part, kept).otherwise(keep)
+    return rows.where(keep).drop("step", "part")
+
+
 def held_out(id_column: str, folds: int, fold: int) -> Column:
     """True for the rows whose crc32 of the id, as text, falls in ``fold``; a null id is in no fold."""
     remainder = F.crc32(F.col(id_column).cast("string").cast("binary")) % folds

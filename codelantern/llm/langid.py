@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelantern.llm.frames import add_columns, hash_share, map_slices, stretches
-from codelantern.operators.sizing import durable
+from codelantern.llm.frames import add_columns, hash_share, map_slices, most_frequent, stretches
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -28,8 +27,8 @@ class LanguageFit:
     """Bounds of what is learned; everything else covers all rows."""
 
     docs_per_lang: int = 2000   #: expected documents per language in the sample that is learned from
-    words: int = 60_000         #: most frequent words kept
-    grams: int = 20_000         #: most frequent n-grams kept of each length
+    words: int = 60_000         #: most frequent words kept, about
+    grams: int = 20_000         #: most frequent n-grams kept of each length, about
     longest: int = 5            #: characters of the longest n-gram
     smoothing: float = 0.5
 
@@ -135,17 +134,18 @@ def fit_languages(docs: DataFrame, learn: Column, spec: LanguageFit = LanguageFi
     rate = docs.sparkSession.createDataFrame(
         [(lang, min(1.0, spec.docs_per_lang / n)) for lang, n in sizes.items()], "lang string, rate double")
     sample = rows.join(F.broadcast(rate), "lang").where("share < rate").select("lang", "text")
-    per_gram = durable(
+    per_gram = (
         map_slices(sample, _count_grams(spec.longest), "lang string, n int, gram string, times long")
         .groupBy("n", "gram", "lang").agg(F.sum("times").alias("times"))
         .groupBy("n", "gram").agg(F.sum("times").alias("total"), F.collect_list(F.struct("lang", "times")).alias("by_lang"))
     )
+    room = {0: spec.words} | dict.fromkeys(range(1, spec.longest + 1), spec.grams)
+    kept = most_frequent(per_gram, "gram", "total", room, "n").select("n", "gram", "total", "by_lang").collect()
     langs = sorted(sizes)
     place = {lang: i for i, lang in enumerate(langs)}
 
     def table(n: int) -> tuple[dict[str, int], np.ndarray]:
-        most = per_gram.where(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(spec.grams if n else spec.words)
-        rows = most.select("gram", "by_lang").collect()
+        rows = sorted((r for r in kept if r.n == n), key=lambda r: (-r.total, r.gram))
         counts = np.full((len(rows), len(langs)), spec.smoothing)
         for i, row in enumerate(rows):
             for one in row.by_lang:

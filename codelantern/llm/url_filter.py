@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelantern.llm.frames import map_slices
+from codelantern.llm.frames import map_slices, most_frequent
 
 ALLOW, BLOCK = "allow", "block"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -25,8 +25,8 @@ _PARTS = re.compile(r"[^\W\d_]+|\d+")
 
 @dataclass(frozen=True)
 class UrlFit:
-    words: int = 50_000        #: most frequent words kept for splitting names
-    tokens: int = 100_000      #: most frequent tokens kept by the classifier
+    words: int = 50_000        #: most frequent words kept for splitting names, about
+    tokens: int = 100_000      #: most frequent tokens kept by the classifier, about
     longest: int = 24          #: letters of the longest word
     smoothing: float = 1.0
 
@@ -123,7 +123,7 @@ def count_words(pages: DataFrame, html_col: str, spec: UrlFit) -> Words:
             [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "times"])
 
     counts = map_slices(pages.select(html_col), work, "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
-    kept = counts.orderBy(F.desc("times"), "word").limit(spec.words).collect()
+    kept = most_frequent(counts, "word", "times", {0: spec.words}).collect()
     total = sum(r.times for r in kept) or 1
     # A letter outside all words costs more than the rarest word, so names stay whole only where nothing fits.
     return Words({r.word: log(r.times / total) for r in kept}, log(0.1 / total), spec.longest)
@@ -157,10 +157,10 @@ def fit_bayes(judged: DataFrame, words: Words, spec: UrlFit) -> NaiveBayes:
     times = lambda what: F.sum(F.when(F.col("verdict") == what, F.col("times")).otherwise(0))
     counts = (
         map_slices(judged.select("host", "path", "verdict"), work, "token string, verdict string, times long")
-        .groupBy("token").agg(times(ALLOW).alias("allowed"), times(BLOCK).alias("blocked"))
-        .orderBy(F.desc(F.col("allowed") + F.col("blocked")), "token").limit(spec.tokens + 1).collect()
+        .groupBy("token").agg(times(ALLOW).alias("allowed"), times(BLOCK).alias("blocked"), F.sum("times").alias("times"))
     )
-    rows = {r.token: (r.allowed, r.blocked) for r in counts}
+    kept = most_frequent(counts, "token", "times", {0: spec.tokens + 1}).collect()
+    rows = {r.token: (r.allowed, r.blocked) for r in sorted(kept, key=lambda r: r.token)}
     allowed, blocked = rows.pop("", (0, 0))
     a = spec.smoothing
     all_allowed = sum(x for x, _ in rows.values()) + a * (len(rows) + 1)
