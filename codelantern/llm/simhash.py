@@ -42,6 +42,7 @@ class SimHash:
     words: int = 4          #: words of a shingle
     bits: int = 64          #: of a fingerprint, a multiple of 64
     radius: int = 4         #: differing bits at which two fingerprints still link
+    distinct: bool = False  #: count each different shingle of a text once, however often it occurs
     blocks: int = 24        #: blocks that the distinct fingerprints are cut into
     max_block: int = 1 << 20  #: fingerprints of a block at most; larger tables get more blocks
 
@@ -79,8 +80,15 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
 def fingerprint(text: str | None, spec: SimHash) -> list[int]:
     """The signed 64-bit parts of one text's fingerprint; all zero without words."""
     parts = spec.bits // 64
-    counts, total, kept = np.zeros((parts, 64), np.int64), 0, []
+    counts, total, kept, seen = np.zeros((parts, 64), np.int64), 0, [], []
     digest = xxhash.xxh64_digest
+
+    def add(h: np.ndarray) -> None:
+        nonlocal total
+        total += len(h)
+        for k in range(parts):
+            counts[k] += _bit_counts(_mixed(h, k) if k else h)
+
     for words in _chunks((text or "").encode("utf-8", "surrogatepass").translate(_LOWER)):
         words = kept + words
         if len(words) < spec.words:
@@ -93,15 +101,15 @@ def fingerprint(text: str | None, spec: SimHash) -> list[int]:
         for a in range(0, len(starts), 1 << 16):
             spans = zip(starts[a:a + (1 << 16)].tolist(), ends[a:a + (1 << 16)].tolist(), strict=True)
             h = np.frombuffer(b"".join([digest(data[s:e], SEED) for s, e in spans]), ">u8").astype(np.uint64)
-            total += len(h)
-            for k in range(parts):
-                counts[k] += _bit_counts(_mixed(h, k) if k else h)
+            if spec.distinct:
+                seen.append(h)
+            else:
+                add(h)
         kept = words[len(words) - spec.words + 1:]
-    if not total and kept:
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(kept), SEED)], np.uint64)
-        total = 1
-        for k in range(parts):
-            counts[k] += _bit_counts(_mixed(h, k) if k else h)
+    if seen:
+        add(np.unique(np.concatenate(seen)))
+    elif not total and kept:
+        add(np.array([xxhash.xxh64_intdigest(b" ".join(kept), SEED)], np.uint64))
     packed = np.packbits((2 * counts > total).astype(np.uint8), axis=1)
     return [int.from_bytes(row.tobytes(), "big", signed=True) for row in packed]
 

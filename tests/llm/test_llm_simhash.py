@@ -94,6 +94,13 @@ def test_odd_rows(odd):
             assert r.f0 & (2**64 - 1) == plain_print(text)
 
 
+def test_distinct_shingles_count_once():
+    spec = simhash.SimHash(words=2, distinct=True)
+    assert simhash.fingerprint("a b c a b c a b c", spec) == simhash.fingerprint("b c a b", spec)
+    assert simhash.fingerprint("a b c a b c a b c", simhash.SimHash(words=2)) != simhash.fingerprint("a b c a b", simhash.SimHash(words=2))
+    assert simhash.fingerprint("one", spec) == simhash.fingerprint("ONE ", simhash.SimHash(words=2)) != [0]
+
+
 def test_empty_table(docs_of):
     assert simhash.near_duplicates(docs_of([]).where("false")).collect() == []
 
