@@ -19,7 +19,7 @@ LEAST_QUALITY = 0.3
 #: A language goes if its share of the likelihood is lower.
 LEAST_LANGUAGE = 0.5
 #: Five words and a wide fingerprint: texts that share 0.8 of their shingles differ in about 39 of 256 bits.
-NEAR_COPIES = simhash.SimHash(words=5, bits=256, radius=44)
+NEAR_COPIES = simhash.SimHash(words=5, bits=256, radius=44, distinct=True)
 #: No source is repeated more than four times on average.
 MIXTURE = mixing.Mix(flatten=0.5, most=4.0)
 
