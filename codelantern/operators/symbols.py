@@ -41,7 +41,7 @@ _SCRIPT_LITERAL = (
 _IN, _OUT = "\u0001", "\u0002"
 _PARENTHESES = r"\([^(){}]*+\)"
 _PLAIN_BRACES = r"(?<=[<:|&,(=]\s{0,9})\{[^{}]*+\}"
-_NESTING = 5
+_NESTING = 4
 _CUTS = r"(?<=[{};])|(?=\b(?:const|let|var)\b)"
 
 _GIVEN = rf"(?:<[^{{}}]*>\s*)?{_IN}\s*{_OUT}"
@@ -171,9 +171,8 @@ def script_symbols(files: DataFrame) -> DataFrame:
     """``files(repo_id, path, content)`` to ``(repo_id, path, content, symbols)``; blocks end by their braces."""
     staged = files.withColumn("flat", _rewritten(F.col("content"), _SCRIPT_LITERAL, _spaces))
     for _ in range(_NESTING):
-        staged = staged.withColumn("flat", _rewritten(F.col("flat"), _PARENTHESES, lambda t: F.when(F.length(t) > 0, F.concat(
-            F.lit(_IN), _spaces(F.substr(t, F.lit(2), F.length(t) - 2)), F.lit(_OUT))).otherwise("")))
-        staged = staged.withColumn("flat", _rewritten(F.col("flat"), _PLAIN_BRACES, _spaces))
+        staged = staged.withColumn("flat", _rewritten(F.col("flat"), f"{_PARENTHESES}|{_PLAIN_BRACES}", lambda t: F.when(
+            t.startswith("("), F.concat(F.lit(_IN), _spaces(F.substr(t, F.lit(2), F.length(t) - 2)), F.lit(_OUT))).otherwise(_spaces(t))))
     p = F.col("piece")
     opens, closes = p.endswith("{"), p.endswith("}")
     rows = (
