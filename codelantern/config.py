@@ -75,16 +75,25 @@ def load_env(directory: str | Path = ".", env: MutableMapping[str, str] | None =
 
 @dataclass(frozen=True)
 class EmbeddingSettings:
-    provider: str
-    dimension: int
-    batch_size: int
+    """Which embedding to use: provider, models and sizes, as ``EMBEDDING_PROVIDER`` and ``EMBEDDING_MODEL`` name them."""
+
+    provider: str = "local"
+    model: str = "hashing"
+    fallback: str | None = None
+    dimension: int = fv.LOCAL_EMBEDDING_DIM
+    batch_size: int = fv.LOCAL_BATCH
 
     @classmethod
     def from_env(cls, env: MutableMapping[str, str] | None = None) -> EmbeddingSettings:
-        raw = (os.environ if env is None else env).get("EMBEDDING_PROVIDER", "").strip().lower()
-        if raw in ("gemini", "google"):
-            return cls("cloud", fv.CLOUD_EMBEDDING_DIM, fv.CLOUD_BATCH)
-        return cls("local", fv.LOCAL_EMBEDDING_DIM, fv.LOCAL_BATCH)
+        """Anything but a name of the cloud service is local.  A retired model stands for the present one."""
+        env = os.environ if env is None else env
+        if env.get("EMBEDDING_PROVIDER", "").strip().lower() not in fv.CLOUD_PROVIDERS:
+            return cls()
+        name = env.get("EMBEDDING_MODEL", "").strip() or fv.CLOUD_MODEL
+        full = name if name.startswith("models/") else f"models/{name}"
+        model = fv.CLOUD_MODEL if full == fv.CLOUD_RETIRED_MODEL else full
+        second = fv.CLOUD_MODEL if fv.CLOUD_SECOND_MODEL in model else fv.CLOUD_SECOND_MODEL
+        return cls("cloud", model, second, fv.CLOUD_EMBEDDING_DIM, fv.CLOUD_BATCH)
 
 
 def require_text(name: str, value: object) -> str:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codelantern import fixed_values as fv
-from codelantern.config import FilterConfig, GenerationOptions, SearchOptions, require_text
+from codelantern.config import EmbeddingSettings, FilterConfig, GenerationOptions, SearchOptions, load_env, require_text
 from codelantern.operators.chunking import symbol_chunks
-from codelantern.operators.embedding import Embedder, HashingEmbedder, embed_questions
+from codelantern.operators.embedding import Embedder, HashingEmbedder, embed_questions, embedder_for
 from codelantern.operators.models import AnswerModel, ExtractiveModel
 from codelantern.operators.sizing import durable, scratch
 from codelantern.operators.summaries import file_inventory
@@ -39,6 +39,14 @@ class Engine:
         self.embedder = embedder or HashingEmbedder()
         self.model = model or ExtractiveModel()
 
+    @classmethod
+    def from_env(
+        cls, spark: SparkSession, path: str, directory: str | Path = ".", model: AnswerModel | None = None, send=None
+    ) -> Engine:
+        """An engine with the embedding that the environment and the ``.env`` files of ``directory`` name."""
+        load_env(directory)
+        return cls(spark, path, embedder_for(EmbeddingSettings.from_env(), send), model)
+
     def ingest(self, repos: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
         """Trees the executors can read, as ``repos(repo_id, root)``."""
         return ingest_repositories(repos, self.store, self.embedder, config)

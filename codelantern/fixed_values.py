@@ -109,6 +109,10 @@ REASON_DOMINANT = "Good confidence: Clear top match in %s search."
 REASON_SINGLE = "Moderate confidence: Candidate found via %s search."
 
 # --- fixed values: models ---------------------------------------------------
+CLOUD_PROVIDERS = ("gemini", "google")
+CLOUD_MODEL = "models/gemini-embedding-001"
+CLOUD_SECOND_MODEL = "models/gemini-embedding-2"
+CLOUD_RETIRED_MODEL = "models/text-embedding-004"
 LOCAL_EMBEDDING_DIM = 384
 CLOUD_EMBEDDING_DIM = 768
 LOCAL_BATCH = 64

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelantern import fixed_values as fv
+from codelantern.config import EmbeddingSettings
 from codelantern.functions.text import embedding_text
 from codelantern.functions.vectors import token_slots
 from codelantern.operators.models import ServiceError
@@ -80,8 +81,30 @@ class ModelEmbedder:
         return run(text)
 
 
+def pooled_windows(
+    windows: list[list[tuple[list[int], list[int]]]], hidden: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+) -> np.ndarray:
+    """Unit vectors of texts given as windows of (ids, types): the mean over the tokens of all windows of a text.
+
+    ``hidden`` takes ids, mask and types of windows padded to one length.  A text without tokens is zero.
+    """
+    flat = [w for text in windows for w in text]
+    owner = np.repeat(np.arange(len(windows)), [len(text) for text in windows])
+    longest = max((len(ids) for ids, _ in flat), default=0)
+    ids, mask, types = (np.zeros((len(flat), longest), "int64") for _ in range(3))
+    for row, (tokens, kinds) in enumerate(flat):
+        ids[row, :len(tokens)], mask[row, :len(tokens)], types[row, :len(tokens)] = tokens, 1, kinds
+    states = hidden(ids, mask, types)
+    sums = np.zeros((len(windows), states.shape[-1]))
+    np.add.at(sums, owner, (states * mask[:, :, None]).sum(axis=1))
+    return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+
+
 def onnx_sentence_model(directory: str, max_tokens: int = 256) -> Callable[[], Callable[[list[str]], np.ndarray]]:
-    """Mean-pooled, unit-length sentence vectors from ``model.onnx`` and ``tokenizer.json``."""
+    """Mean-pooled, unit-length sentence vectors from ``model.onnx`` and ``tokenizer.json``.
+
+    A text of more than ``max_tokens`` tokens is read in windows of that many.
+    """
 
     def load() -> Callable[[list[str]], np.ndarray]:
         import onnxruntime
@@ -90,20 +113,16 @@ def onnx_sentence_model(directory: str, max_tokens: int = 256) -> Callable[[], C
         session = onnxruntime.InferenceSession(f"{directory}/model.onnx", providers=["CPUExecutionProvider"])
         tokenizer = Tokenizer.from_file(f"{directory}/tokenizer.json")
         tokenizer.enable_truncation(max_tokens)
-        tokenizer.enable_padding()
+        tokenizer.no_padding()
         wanted = {node.name for node in session.get_inputs()}
 
+        def hidden(ids: np.ndarray, mask: np.ndarray, types: np.ndarray) -> np.ndarray:
+            feed = {"input_ids": ids, "attention_mask": mask, "token_type_ids": types}
+            return session.run(None, {k: v for k, v in feed.items() if k in wanted})[0]
+
         def run(texts: list[str]) -> np.ndarray:
             encoded = tokenizer.encode_batch(texts)
-            feed = {
-                "input_ids": np.array([e.ids for e in encoded], dtype="int64"),
-                "attention_mask": np.array([e.attention_mask for e in encoded], dtype="int64"),
-                "token_type_ids": np.array([e.type_ids for e in encoded], dtype="int64"),
-            }
-            hidden = session.run(None, {k: v for k, v in feed.items() if k in wanted})[0]
-            mask = feed["attention_mask"][:, :, None]
-            pooled = (hidden * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1)
-            return pooled / np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-12)
+            return pooled_windows([[(w.ids, w.type_ids) for w in (e, *e.overflowing)] for e in encoded], hidden)
 
         return run
 
@@ -150,6 +169,15 @@ def suggested_delay(message: str, default: float) -> float:
     return min(math.ceil(seconds * 1000) / 1000 + 0.5, 60.0) if seconds > 0 else default
 
 
+def embedder_for(settings: EmbeddingSettings, send: Callable[[str, list[str]], list[list[float]]] | None = None) -> Embedder:
+    """The embedder that the settings name; the cloud service needs ``send``."""
+    if settings.provider == "local":
+        return HashingEmbedder(settings.dimension)
+    if send is None:
+        raise ValueError("the cloud embedding needs a function that sends texts to it")
+    return ServiceEmbedder(send, settings.model, settings.fallback, settings.dimension, settings.batch_size)
+
+
 def embed_chunks(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     """Add ``embedding`` over the text enriched with path and symbol."""
     text = embedding_text(F.col("file_path"), F.col("symbol_name"), F.col("symbol_type"), F.col("content"))

@@ -95,8 +95,8 @@ def check_size(repo_id: str, root: Path, max_bytes: int = fv.MAX_REPO_SIZE_BYTES
     return size
 
 
-def shallow_clone(address: str, parent: Path | None = None, max_bytes: int = fv.MAX_REPO_SIZE_BYTES) -> tuple[str, Path]:
-    """Probe and clone one public repository into a new folder: ``(repo_id, root)``."""
+def shallow_clone(address: str, parent: Path, max_bytes: int = fv.MAX_REPO_SIZE_BYTES) -> tuple[str, Path]:
+    """Probe and clone one public repository into a new folder below ``parent``, which executors have to reach: ``(repo_id, root)``."""
     repo = parse_repo_url(address)
     target = Path(tempfile.mkdtemp(prefix=f"{repo.owner}_{repo.repo}-", dir=parent)) / "tree"
     try:

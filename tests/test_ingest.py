@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codelantern.config import EmbeddingSettings
 from codelantern.engine import Engine
 from codelantern.operators.embedding import (
     HashingEmbedder,
@@ -14,6 +15,8 @@ from codelantern.operators.embedding import (
     ServiceEmbedder,
     embed_chunks,
     embed_questions,
+    embedder_for,
+    pooled_windows,
     suggested_delay,
 )
 from codelantern.operators.lexical import LexicalIndex, bm25_search
@@ -265,3 +268,34 @@ def test_chunks_keep_their_order(spark, tree):
     rows = chunk_files(read_files(list_files(repo_rows(spark, ("o/r", tree))))).orderBy(F.col("ord")).collect()
     assert [r.file_path for r in rows] == sorted(r.file_path for r in rows)
     assert [r.symbol_name for r in rows if r.file_path == "src/app.py"] == ["load_config", "run", "App"]
+
+
+def test_embedding_settings(spark, tmp_path):
+    assert EmbeddingSettings.from_env({}) == EmbeddingSettings.from_env({"EMBEDDING_PROVIDER": "onnx"}) == EmbeddingSettings()
+    cloud = EmbeddingSettings.from_env({"EMBEDDING_PROVIDER": " Google "})
+    assert (cloud.provider, cloud.model, cloud.fallback, cloud.dimension, cloud.batch_size) == (
+        "cloud", "models/gemini-embedding-001", "models/gemini-embedding-2", 768, 20)
+    old = EmbeddingSettings.from_env({"EMBEDDING_PROVIDER": "gemini", "EMBEDDING_MODEL": "text-embedding-004"})
+    new = EmbeddingSettings.from_env({"EMBEDDING_PROVIDER": "gemini", "EMBEDDING_MODEL": "gemini-embedding-2-preview"})
+    assert old == cloud and (new.model, new.fallback) == ("models/gemini-embedding-2-preview", "models/gemini-embedding-001")
+    with pytest.raises(ValueError, match="needs a function"):
+        embedder_for(cloud)
+    assert embedder_for(cloud, lambda model, texts: [[1.0]] * len(texts)).dimension == 768
+
+
+def test_engine_from_env(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("EMBEDDING_PROVIDER", "your_choice")
+    (tmp_path / ".env").write_text("EMBEDDING_PROVIDER=google\n")
+    with pytest.raises(ValueError):
+        Engine.from_env(spark, str(tmp_path / "store"), tmp_path)
+    assert Engine.from_env(spark, str(tmp_path / "store"), tmp_path, send=lambda m, t: []).embedder.batch_size == 20
+
+
+def test_texts_beyond_a_window_count():
+    def hidden(ids, mask, types):
+        return np.stack([ids, ids * 0 + 1], axis=2).astype(float)
+
+    one, two, none = [([4, 4], [0, 0])], [([4, 4], [0, 0]), ([9], [0])], [([], [])]
+    found = pooled_windows([one, two, none], hidden)
+    assert np.allclose(found[0], np.array([8, 2]) / np.hypot(8, 2)) and np.allclose(found[1], np.array([17, 3]) / np.hypot(17, 3))
+    assert np.allclose(found[2], 0)
