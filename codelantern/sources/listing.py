@@ -1,8 +1,8 @@
 """Repository trees on a file system every executor can read.
 
 Spark's binary file source leaves out dotfiles and names that start with an
-underscore, both of which belong in a repository, so trees are walked here:
-one walk per repository, spread over the cluster.
+underscore, both of which belong in a repository, so trees are walked here,
+spread over the cluster by top-level folder.
 """
 
 from __future__ import annotations
@@ -14,7 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelantern.operators.sizing import durable
+
 LISTING = "repo_id string, root string, path string, size_bytes bigint"
+_LISTED = pa.schema([
+    ("repo_id", pa.string()), ("root", pa.string()), ("path", pa.string()), ("size_bytes", pa.int64()), ("is_folder", pa.bool_())])
+LISTED_ROWS = 10_000
 READ_ROWS = 64
 READ_BYTES = 256 * 1024 * 1024
 
@@ -22,40 +27,55 @@ READ_BYTES = 256 * 1024 * 1024
 def list_files(repos: DataFrame, skip_directories: tuple[str, ...] = ()) -> DataFrame:
     """``repos(repo_id, root)`` to one row per regular file.  Named directories are not entered.
 
-    A folder that cannot be read fails the job: an incomplete listing would look like deleted files.
+    The entries of each root are listed first, then every folder among them is walked
+    by a task of its own, so one large repository is not one task's work.  A folder
+    that cannot be read fails the job: an incomplete listing would look like deleted files.
     """
-    schema = pa.schema([("repo_id", pa.string()), ("root", pa.string()), ("path", pa.string()),
-                        ("size_bytes", pa.int64())])
     skipped = frozenset(skip_directories)
+    tops = durable(_dealt(repos.select("repo_id", "root"), "repo_id").mapInArrow(
+        lambda batches: _listed(batches, lambda repo: _entries(repo["root"], "", skipped, deep=False)), f"{LISTING}, is_folder boolean"))
+    walked = _dealt(tops.where("is_folder").select("repo_id", "root", "path"), "repo_id", "path").mapInArrow(
+        lambda batches: _listed(batches, lambda top: _entries(top["root"], top["path"], skipped, deep=True)), f"{LISTING}, is_folder boolean")
+    return tops.where("not is_folder").unionByName(walked).drop("is_folder")
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """A fixed number of tasks: by their few bytes the rows would be merged into one."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
 
+def _entries(root: str, folder: str, skipped: frozenset[str], deep: bool) -> Iterator[tuple[str, int | None, bool]]:
+    """``(path, size, is_folder)`` below one folder of a tree: all files of it, or its own files and folders."""
     def unreadable(error: OSError) -> None:
         raise error
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for repo in batch.to_pylist():
-                rows = []
-                for folder, names, files in os.walk(repo["root"], onerror=unreadable):
-                    names[:] = [n for n in names if n not in skipped and not os.path.islink(os.path.join(folder, n))]
-                    for name in files:
-                        full = os.path.join(folder, name)
-                        if os.path.islink(full) or not os.path.isfile(full):
-                            continue
-                        try:
-                            size = os.stat(full).st_size
-                        except FileNotFoundError:
-                            continue
-                        path = os.path.relpath(full, repo["root"]).replace(os.sep, "/")
-                        rows.append({**repo, "path": path, "size_bytes": size})
-                    if len(rows) >= 10_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    # A fixed number of tasks: by their few bytes the rows would be merged into one.
-    tasks = 2 * repos.sparkSession.sparkContext.defaultParallelism
-    return repos.select("repo_id", "root").repartition(tasks, "repo_id").mapInArrow(walk, LISTING)
+    for place, names, files in os.walk(os.path.join(root, folder), onerror=unreadable):
+        names[:] = [n for n in names if n not in skipped and not os.path.islink(os.path.join(place, n))]
+        for name in files:
+            full = os.path.join(place, name)
+            if os.path.islink(full) or not os.path.isfile(full):
+                continue
+            try:
+                size = os.stat(full).st_size
+            except FileNotFoundError:
+                continue
+            yield os.path.relpath(full, root).replace(os.sep, "/"), size, False
+        if not deep:
+            yield from ((name, None, True) for name in names)
+            return
+
+
+def _listed(batches: Iterator[pa.RecordBatch], entries) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
+    for batch in batches:
+        for tree in batch.to_pylist():
+            for path, size, is_folder in entries(tree):
+                rows.append({"repo_id": tree["repo_id"], "root": tree["root"], "path": path, "size_bytes": size, "is_folder": is_folder})
+                if len(rows) >= LISTED_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_LISTED)
+                    rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_LISTED)
 
 
 def read_files(listing: DataFrame) -> DataFrame:
