@@ -59,29 +59,40 @@ class LanguageModel:
     def __getstate__(self):
         return self.__dict__ | {"cache": {}, "scores": None}
 
-    def backed_off(self, word: str) -> np.ndarray:
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each unknown word; zeros for one without any known n-gram."""
+        out, open_ = np.zeros((len(words), len(self.langs))), range(len(words))
         for n, (known, scores) in zip(range(len(self.grams), 0, -1), self.grams, strict=True):
-            at = [known[g] for g in grams_of(word, n) if g in known]
-            if at:
-                return scores[at].mean(axis=0)
-        return np.zeros(len(self.langs))
+            flat, counts, found, left = [], [], [], []
+            for i in open_:
+                at = [known[g] for g in grams_of(words[i], n) if g in known]
+                if at:
+                    flat += at
+                    counts.append(len(at))
+                    found.append(i)
+                else:
+                    left.append(i)
+            if found:
+                size = np.array(counts)
+                out[found] = np.add.reduceat(scores[flat], np.cumsum(size) - size) / size[:, None]
+            open_ = left
+        return out
 
     def totals(self, words: list[str]) -> np.ndarray:
         if self.scores is None:
-            rows = max(len(self.words) + 1024, self.room // max(1, len(self.langs)))
+            rows = max(len(self.words) + 8192, self.room // max(1, len(self.langs)))
             self.scores = np.zeros((rows, len(self.langs)))
             self.scores[: len(self.words)] = self.word_scores
             self.cache = dict(self.words)
         cache, total = self.cache, np.zeros(len(self.langs))
-        for start in range(0, len(words), 512):
-            part = words[start:start + 512]
+        for start in range(0, len(words), 4096):
+            part = words[start:start + 4096]
             if len(cache) + len(part) > len(self.scores):
                 cache.clear()
                 cache.update(self.words)
-            for word in [w for w in set(part) if w not in cache]:
-                at = len(cache)
-                self.scores[at] = self.backed_off(word)
-                cache[word] = at
+            new = [w for w in set(part) if w not in cache]
+            self.scores[len(cache):len(cache) + len(new)] = self.backed_off(new)
+            cache.update(zip(new, range(len(cache), len(cache) + len(new)), strict=True))
             total += self.scores[list(map(cache.__getitem__, part))].sum(axis=0)
         return total
 

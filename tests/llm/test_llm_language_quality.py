@@ -28,9 +28,10 @@ def test_backing_off():
     word = (np.log(np.array([[0.9, 0.1]])))
     grams = [({"^he": 0}, np.log([[0.2, 0.8]])), ({"he": 0, "xx": 1}, np.log([[0.6, 0.4], [0.3, 0.7]])), ({"h": 0}, np.log([[0.5, 0.5]]))]
     model = langid.LanguageModel(["aa", "bb"], {"the": 0}, word, grams)
-    assert np.allclose(model.backed_off("hello"), np.log([0.2, 0.8]))     # the longest known one decides
-    assert np.allclose(model.backed_off("oxx"), np.log([0.3, 0.7]))
-    assert np.allclose(model.backed_off("zz"), 0)
+    assert np.allclose(model.backed_off(["hello"]), np.log([0.2, 0.8]))     # the longest known one decides
+    assert np.allclose(model.backed_off(["oxx"]), np.log([0.3, 0.7]))
+    assert np.allclose(model.backed_off(["zz"]), 0)
+    assert np.allclose(model.backed_off(["zz", "oxx", "hello"]), [[0, 0], np.log([0.3, 0.7]), np.log([0.2, 0.8])])
     assert model.predict("the the") == ("aa", pytest.approx(0.81 / 0.82))
     assert model.predict("hello hello hello")[0] == "bb"
     assert model.predict("zz")[0] == "aa"                                 # a tie: the first by name
@@ -39,8 +40,8 @@ def test_backing_off():
 
 def test_the_cache_of_words_may_overflow():
     model = langid.LanguageModel(["aa", "bb"], {"the": 0}, np.log([[0.9, 0.1]]), [({"a": 0, "b": 1}, np.log([[0.9, 0.1], [0.1, 0.9]]))], room=4)
-    words = [f"{'ab'[i % 3 == 0]}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(5000)]
-    want = sum(model.backed_off(w) for w in words)
+    words = [f"{'ab'[i % 3 == 0]}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(20_000)]
+    want = model.backed_off(words).sum(axis=0)
     assert np.allclose(model.totals(words), want)
 
 
