@@ -64,6 +64,7 @@ def answer_questions(
     first = durable(model.answer(prompt_rows(asked, hits, inventory), generation))
 
     active, final = hits, first.withColumn("multi_hop", F.lit(False))
+    wanted = None
     if generation.allow_multi_hop:
         by_answer = hits.withColumnRenamed("query_id", "answer_id")
         open_answers = first.join(asked.where(~is_listing).select("query_id", "repo_id"), "query_id")
@@ -71,6 +72,7 @@ def answer_questions(
             unretrieved_references(open_answers.select(F.col("query_id").alias("answer_id"), "text"), by_answer)
         ).withColumnRenamed("answer_id", "query_id")
         wanted = durable(missing.join(asked.select("query_id", "repo_id"), "query_id"))
+    if wanted is not None and not wanted.isEmpty():
         extra = durable(reference_lookup(index, chunks, wanted, fv.HOP_TOP_K, search))
         placed = append_hits(hits, extra).join(judged.select("query_id", "repo_id"), "query_id")
         active = durable(locate(placed, chunks, is_small(placed, search, row_bytes(placed))))
