@@ -14,7 +14,7 @@ constant number of times until blocks reach that bound.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import ceil
 
@@ -77,18 +77,10 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return (seen @ _BITS).ravel()
 
 
-def fingerprint(text: str | None, spec: SimHash) -> list[int]:
-    """The signed 64-bit parts of one text's fingerprint; all zero without words."""
-    parts = spec.bits // 64
-    counts, total, kept, seen = np.zeros((parts, 64), np.int64), 0, [], []
+def shingles(text: str | None, spec: SimHash) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of a text's shingles in order, in arrays of bounded size; none without words."""
+    total, kept = 0, []
     digest = xxhash.xxh64_digest
-
-    def add(h: np.ndarray) -> None:
-        nonlocal total
-        total += len(h)
-        for k in range(parts):
-            counts[k] += _bit_counts(_mixed(h, k) if k else h)
-
     for words in _chunks((text or "").encode("utf-8", "surrogatepass").translate(_LOWER)):
         words = kept + words
         if len(words) < spec.words:
@@ -101,17 +93,33 @@ def fingerprint(text: str | None, spec: SimHash) -> list[int]:
         for a in range(0, len(starts), 1 << 16):
             spans = zip(starts[a:a + (1 << 16)].tolist(), ends[a:a + (1 << 16)].tolist(), strict=True)
             h = np.frombuffer(b"".join([digest(data[s:e], SEED) for s, e in spans]), ">u8").astype(np.uint64)
-            if spec.distinct:
-                seen.append(h)
-            else:
-                add(h)
+            total += len(h)
+            yield h
         kept = words[len(words) - spec.words + 1:]
-    if seen:
-        add(np.unique(np.concatenate(seen)))
-    elif not total and kept:
-        add(np.array([xxhash.xxh64_intdigest(b" ".join(kept), SEED)], np.uint64))
-    packed = np.packbits((2 * counts > total).astype(np.uint8), axis=1)
-    return [int.from_bytes(row.tobytes(), "big", signed=True) for row in packed]
+    if not total and kept:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(kept), SEED)], np.uint64)
+
+
+def shingle_set(text: str | None, spec: SimHash) -> np.ndarray:
+    """The different shingle hashes of a text, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(text, spec)]))
+
+
+def packed(hashes: Iterable[np.ndarray], spec: SimHash) -> list[int]:
+    """The signed 64-bit parts of the fingerprint of some shingle hashes; all zero for none."""
+    parts = spec.bits // 64
+    counts, total = np.zeros((parts, 64), np.int64), 0
+    for h in hashes:
+        total += len(h)
+        for k in range(parts):
+            counts[k] += _bit_counts(_mixed(h, k) if k else h)
+    rows = np.packbits((2 * counts > total).astype(np.uint8), axis=1)
+    return [int.from_bytes(row.tobytes(), "big", signed=True) for row in rows]
+
+
+def fingerprint(text: str | None, spec: SimHash) -> list[int]:
+    """The signed 64-bit parts of one text's fingerprint; all zero without words."""
+    return packed([shingle_set(text, spec)] if spec.distinct else shingles(text, spec), spec)
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, spec: SimHash) -> DataFrame:
@@ -156,6 +164,9 @@ def tile_stars(nodes: np.ndarray, left: np.ndarray, right: np.ndarray, a: np.nda
     empty = np.zeros(0, np.int64)
     if not len(a) or not len(b):
         return empty, empty
+    # So many parts are compared in full that unlike fingerprints seldom pass them.
+    parts = a.shape[1]
+    full = next((k for k in range(2, parts) if 32 * k - 12 * k ** 0.5 >= radius), parts)
     at_a, a, low_a, high_a, min_a, max_a = ordered(left, a)
     at_b, b, low_b, high_b, min_b, max_b = ordered(right, b)
     found_l, found_r, held = [], [], 0
@@ -174,11 +185,12 @@ def tile_stars(nodes: np.ndarray, left: np.ndarray, right: np.ndarray, a: np.nda
             apart = count(x[0][:, None] ^ y[0][None, :])
             if len(x) > 1:
                 apart = apart.astype(np.uint16)
-                apart += count(x[1][:, None] ^ y[1][None, :])
+                for k in range(1, full):
+                    apart += count(x[k][:, None] ^ y[k][None, :])
             p, q = np.nonzero(apart <= radius)
-            if len(x) > 2 and len(p):
+            if len(x) > full and len(p):
                 rest = apart[p, q].astype(np.int64)
-                for k in range(2, len(x)):
+                for k in range(full, len(x)):
                     rest += count(x[k][p] ^ y[k][q])
                 p, q = p[rest <= radius], q[rest <= radius]
             l, r = at_a[i * tile + p], at_b[j * tile + q]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelantern.llm import langid, mixing, piece_dropout, quality_trees, simhash
+from codelantern.llm import langid, mixing, near_copies as copies, piece_dropout, quality_trees, simhash
 from codelantern.llm.frames import held_out
 from codelantern.llm.queries import PIECES
 from codelantern.operators.sizing import durable
@@ -18,8 +18,9 @@ from codelantern.operators.sizing import durable
 LEAST_QUALITY = 0.3
 #: A language goes if its share of the likelihood is lower.
 LEAST_LANGUAGE = 0.5
-#: Five words and a wide fingerprint: texts that share 0.8 of their shingles differ in about 39 of 256 bits.
-NEAR_COPIES = simhash.SimHash(words=5, bits=256, radius=44, distinct=True)
+#: Near copies share 0.8 of their different five-word shingles.  Their fingerprints differ in about 39 of 256 bits, at
+#: worst (four shingles of five) in 48 with a spread of 6, so the radius of the candidates loses next to none.
+NEAR_COPIES = copies.NearCopies(simhash.SimHash(words=5, bits=256, radius=72, distinct=True), share=0.8)
 #: No source is repeated more than four times on average.
 MIXTURE = mixing.Mix(flatten=0.5, most=4.0)
 
@@ -44,8 +45,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id have no place in a group and stay.
     """
-    groups = simhash.near_duplicates(docs, NEAR_COPIES)
-    gone = groups.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
+    groups = durable(copies.near_copy_groups(docs, NEAR_COPIES))
+    least = groups.groupBy("group").agg(F.min("id").alias("least"))
+    gone = groups.join(least, "group").where("id <> least").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti")
 
 

@@ -1,12 +1,14 @@
 """Piece encoding against the library and its own inverse; the pipeline against its parts."""
 
 import random
+from dataclasses import replace
 from itertools import pairwise
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
+from codelantern.llm import near_copies
 from codelantern.llm import piece_dropout as pd_
 from codelantern.llm.queries import PIECES, op10_piece_dropout
 
@@ -122,6 +124,48 @@ def test_near_copies_by_five_words(spark, docs_of):
     assert kept >= set(range(60)) and len(kept - set(range(60))) <= 2
 
 
+def shared_shingles(a, b):
+    a, b = ({tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("cut,near", [(80, False), (74, False), (67, True), (66, True), (59, True)])
+def test_near_copies_are_those_that_share_enough(spark, docs_of, cut, near):
+    # Two texts with 300 shingles in common and ``cut`` or 8 of their own: 0.77, 0.785, 0.80, 0.802 and 0.817.
+    rng = random.Random(cut)
+    rows, own = [], 8
+    for k in range(80):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(304)]
+        tail = [[f"{kind}{rng.randrange(10**6)}" for _ in range(n)] for kind, n in (("a", cut), ("b", own))]
+        rows += [(k, " ".join(words + tail[0])), (1000 + k, " ".join(words + tail[1]))]
+    assert (shared_shingles(rows[0][1], rows[1][1]) >= 0.8) == near
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs_of(rows), "").collect()}
+    assert kept == set(range(80)) | (set() if near else set(range(1000, 1080)))
+
+
+def test_near_copies_in_blocks_match_brute_force(spark, docs_of):
+    rng = random.Random(4)
+    rows, base = [], [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    for k in range(120):  # related texts, many of them at 0.6 to 0.8
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    up = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            if shared_shingles(rows[i][1], rows[j][1]) >= 0.8:
+                up = [min(up[i], up[j]) if u in (up[i], up[j]) else u for u in up]
+    spec = replace(corpus_pipeline.NEAR_COPIES, block=16)
+    found = {}
+    for r in near_copies.near_copy_groups(docs_of(rows), spec).collect():
+        found.setdefault(r.group, set()).add(r.id)
+    want = {}
+    for i, u in enumerate(up):
+        want.setdefault(u, set()).add(i)
+    assert len(want) > 3 and sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
 def test_stages_take_odd_and_empty_tables(spark, odd, tmp_path):
     labels = spark.createDataFrame([(4, 1, 0), (1, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
