@@ -137,3 +137,30 @@ def near_copy_groups(docs: DataFrame, spec: NearCopies, id_col: str = "doc_id",
     label = nodes.join(alike, "node", "left").select("set_hash", F.coalesce("component", "node").alias("group"))
     per_text = rows.groupBy("id", "text_key", "set_hash").agg(F.count(F.lit(1)).alias("n_rows"))
     return per_text.join(label, "set_hash").select("id", "text_key", "n_rows", "group")
+
+
+def first_copies(docs: DataFrame, spec: NearCopies, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of one row of each group of near copies, and the rows without an id.
+
+    The row has the group's smallest id, of those the smallest text (null first), and of rows
+    equal in both the one with the smallest hash of all columns.
+    """
+    groups = durable(near_copy_groups(docs, spec, id_col, text_col))
+    least = groups.groupBy("group").agg(F.min("id").alias("id"))
+    firsts = durable(groups.join(least, ["group", "id"]))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    several = firsts.groupBy("group").agg(F.count(F.lit(1)).alias("unlike")).where("unlike > 1")
+    told = firsts.join(several, "group")
+    if not told.isEmpty():
+        smallest = texts.join(told.select("id", "text_key", "group"), ["id", "text_key"]).groupBy("group").agg(
+            F.min(F.struct("text", "text_key")).alias("smallest"))
+        firsts = durable(firsts.join(smallest, "group", "left").where("smallest is null or smallest.text_key = text_key").drop("smallest"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # The document travels as one struct, so that no column of it can meet one of the names used here.
+    rows = docs.select(F.struct(*columns).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"))
+    kept = rows.join(firsts.select("id", "text_key", "n_rows"), ["id", "text_key"], "left").where("id is null or n_rows is not null")
+    found = kept.where("id is null or n_rows = 1").select("doc")
+    if not firsts.where("n_rows > 1").isEmpty():
+        once = kept.where("n_rows > 1").groupBy("id", "text_key").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+        found = found.unionByName(once.select("doc"))
+    return found.select(*(F.col(f"doc.`{c}`") for c in docs.columns))

@@ -282,14 +282,14 @@ def near_links(prints: DataFrame, spec: SimHash) -> DataFrame:
 def near_duplicates(docs: DataFrame, spec: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, f0, ..., component)`` for every row: the smallest id among the near copies reached from it.
 
-    Copies share a fingerprint and are compared once, through their smallest id.
+    Copies share a fingerprint and are compared once, under a number of their own.
     Repeated ids are rows of their own.  Rows without an id keep their
     fingerprint; their component is that of the fingerprint's other rows, or
     null when it has none.  An empty table gives an empty result.
     """
     prints = durable(fingerprints(docs, id_col, text_col, spec))
-    distinct = durable(prints.groupBy(*spec.columns).agg(F.min("id").alias("node")))
-    stars = components(near_links(distinct.where("node is not null"), spec))
-    label = distinct.join(stars, "node", "left").select(
-        *spec.columns, F.coalesce("component", "node").alias("component"))
-    return prints.join(label, spec.columns)
+    distinct = durable(prints.groupBy(*spec.columns).agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    stars = components(near_links(distinct.where("least is not null").drop("least"), spec))
+    grouped = distinct.join(stars, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    names = grouped.groupBy("group").agg(F.min("least").alias("component"))
+    return prints.join(grouped.join(names, "group").select(*spec.columns, "component"), spec.columns)

@@ -41,14 +41,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; of rows with that id the one with the smallest text.
+    """One row of each group of near copies: of the smallest id, and of rows with that id the one with the smallest text.
 
     Rows without an id have no place in a group and stay.
     """
-    groups = durable(copies.near_copy_groups(docs, NEAR_COPIES))
-    least = groups.groupBy("group").agg(F.min("id").alias("least"))
-    gone = groups.join(least, "group").where("id <> least").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return copies.first_copies(docs, NEAR_COPIES)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,6 +166,19 @@ def test_near_copies_in_blocks_match_brute_force(spark, docs_of):
     assert len(want) > 3 and sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
 
 
+def test_one_row_of_each_group_stays(spark, docs_of):
+    rng = random.Random(6)
+    one, two, three, four = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(4))
+    rows = [(1, one, "en", "a"), (1, one, "en", "a"), (1, one, "fr", "b"), (2, one), (2, two), (2, two), (3, three), (3, three.upper()), (3, four),
+            (4, four), (None, one), (None, one)]
+    for docs in (docs_of(rows), docs_of(rows[::-1]).repartition(5)):
+        kept = corpus_pipeline.near_copies(spark, docs, "").collect()
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted(
+            [(0, one), (0, one), (1, one), (2, two), (3, three.upper()), (3, four)])
+    assert {r.lang for r in kept if r.doc_id == 1} == {
+        r.lang for r in corpus_pipeline.near_copies(spark, docs_of(rows), "").collect() if r.doc_id == 1}
+
+
 def test_stages_take_odd_and_empty_tables(spark, odd, tmp_path):
     labels = spark.createDataFrame([(4, 1, 0), (1, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")

@@ -94,6 +94,15 @@ def test_odd_rows(odd):
             assert r.f0 & (2**64 - 1) == plain_print(text)
 
 
+def test_unlike_texts_of_one_id_do_not_join_groups(spark, docs_of):
+    rng = random.Random(7)
+    one, two = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(2))
+    got = simhash.near_duplicates(docs_of([(1, one), (1, two), (5, one + " x"), (6, two + " x")]), simhash.SimHash(radius=12))
+    assert sorted((r.id, r.component) for r in got.collect()) == [(1, 1), (1, 1), (5, 1), (6, 1)]
+    got = simhash.near_duplicates(docs_of([(9, one), (9, two), (5, one), (12, two)]), simhash.SimHash(radius=4)).collect()
+    assert sorted((r.id, r.component) for r in got) == [(5, 5), (9, 5), (9, 9), (12, 9)]
+
+
 def test_distinct_shingles_count_once():
     spec = simhash.SimHash(words=2, distinct=True)
     assert simhash.fingerprint("a b c a b c a b c", spec) == simhash.fingerprint("b c a b", spec)
