@@ -3,12 +3,15 @@
 Each source gets a mean repetition rate that moves its share of all text to its
 target.  A hash of the document is read as a uniform number and put through the
 inverse of the Poisson distribution with that mean, which gives the number of
-its copies without any state; copies are then shuffled globally.
+its copies without any state; copies are then shuffled globally.  A large mean is
+dealt as the sum of several small ones, each with a number of its own, so no target is out of reach.
 """
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
+from math import inf
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,10 @@ from codelantern.operators.sizing import durable
 
 #: Sources up to which the table of rates is sent to all tasks (about 1.5 KB each).
 SENT_SOURCES = 10_000
+#: Mean of one Poisson draw at most; larger rates are sums of equal draws.
+DRAWN_MEAN = 64.0
+
+_log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -24,7 +31,7 @@ class Mix:
     weights: dict[str, float] = field(default_factory=dict)  #: target shares of named sources; others get none
     flatten: float = 0.5      #: without weights, targets follow the sources' shares to this power
     epochs: float = 1.0       #: size of the result, in sizes of the input
-    most: float = 64.0        #: mean repetition rate at most
+    most: float = inf         #: mean repetition rate at most; what it takes from a source goes to the others
     seed: int = 7
 
 
@@ -48,8 +55,10 @@ def poisson_bounds(rate: Column, most: float) -> Column:
 
 
 def repetition_rates(docs: DataFrame, spec: Mix, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``(source, size, rate)`` by source, a null source being one; sizes are bytes of text.
+    """``(source, size, rate, target, reached)`` by source, a null source being one; sizes are bytes of text.
 
+    ``target`` and ``reached`` are shares of the mixture.  They differ only where ``most`` holds a source
+    back; then the others are scaled up until the total is ``epochs``, as far as ``most`` lets them.
     Sources without any text have the rate 1.  If no source has a weight, nothing is repeated.
     """
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(
@@ -60,11 +69,29 @@ def repetition_rates(docs: DataFrame, spec: Mix, source_col: str = "source", tex
             weight = F.when(F.col("source") == name, F.lit(float(share))).otherwise(weight)
     else:
         weight = F.pow("size", F.lit(spec.flatten))
-    sizes = durable(sizes.withColumn("weight", weight))
+    sizes = durable(sizes.withColumn("weight", F.when(F.col("size") > 0, weight).otherwise(F.lit(0.0))))
     size, weights = sizes.where("size > 0").agg(F.sum("size"), F.sum("weight")).first()
-    wanted = F.col("weight") * F.lit(spec.epochs * (size or 0.0) / (weights or 1.0)) / F.col("size")
+    goal = spec.epochs * (size or 0.0)
+    scale, capped = goal / (weights or 1.0), 0
+    while spec.most < inf:
+        over = F.col("weight") * F.lit(scale) > F.lit(spec.most) * F.col("size")
+        found = sizes.agg(F.count(F.when(over, 1)).alias("n"), F.sum(F.when(over, F.col("size"))).alias("size"),
+                          F.sum(F.when(~over, F.col("weight"))).alias("free")).first()
+        if found.n == capped:
+            break
+        capped = found.n
+        if not found.free:
+            break
+        scale = (goal - spec.most * found["size"]) / found.free
+    if capped:
+        _log.warning("%d sources stay below their target shares, since they are repeated %g times at most", capped, spec.most)
+    wanted = F.col("weight") * F.lit(scale) / F.col("size")
     rate = F.when(F.col("size") > 0, F.least(F.lit(spec.most), wanted)).otherwise(F.lit(1.0))
-    return sizes.select("source", "size", rate.alias("rate"))
+    rates = sizes.withColumn("rate", rate)
+    mixed = rates.agg(F.sum(F.col("rate") * F.col("size"))).first()[0] or 1.0
+    return rates.select(
+        "source", "size", "rate", (F.col("weight") / F.lit(weights or 1.0)).alias("target"),
+        (F.col("rate") * F.col("size") / F.lit(mixed)).alias("reached"))
 
 
 def mix_sources(docs: DataFrame, spec: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source",
@@ -78,14 +105,21 @@ def mix_sources(docs: DataFrame, spec: Mix = Mix(), id_col: str = "doc_id", sour
     rates = repetition_rates(docs, spec, source_col, text_col)
     few = rates.limit(SENT_SOURCES + 1).count() <= SENT_SOURCES
     # The document travels as one struct, so that no column of it can meet one of the names used here.
-    rates = rates.select(F.struct("source").alias("from"), poisson_bounds(F.col("rate"), spec.most).alias("bounds"))
+    draws = F.greatest(F.lit(1.0), F.ceil(F.col("rate") / DRAWN_MEAN)).cast("int")
+    rates = rates.withColumn("draws", draws).select(
+        F.struct("source").alias("from"), "draws", poisson_bounds(F.col("rate") / F.col("draws"), min(spec.most, DRAWN_MEAN)).alias("bounds"))
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text_col, F.lit("")).cast("binary")))
     kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), F.struct(F.col(source_col).alias("source")).alias("from"), key.alias("key"))
     joined = rows.join(F.broadcast(rates) if few else rates, "from")
-    uniform = hashed_number(F.lit(str(spec.seed)), F.col("key")) / F.lit(float(1 << 52))
-    drawn = joined.withColumn("uniform", uniform).withColumn("copies", F.size(F.filter("bounds", lambda b: b <= F.col("uniform"))))
+    def copies(*more: Column) -> Column:
+        uniform = hashed_number(F.lit(str(spec.seed)), F.col("key"), *more) / F.lit(float(1 << 52))
+        return F.size(F.filter("bounds", lambda b: b <= uniform))
+
+    rest = F.aggregate(
+        F.sequence(F.lit(1), F.col("draws") - 1), F.lit(0), lambda n, k: n + copies(F.concat(F.lit("draw "), k.cast("string"))))
+    drawn = joined.withColumn("copies", copies() + F.when(F.col("draws") > 1, rest).otherwise(F.lit(0)))
     dealt = drawn.where("copies > 0").select("doc", "key", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     order = hashed_number(F.lit(f"{spec.seed} order"), F.col("key"), F.col("copy").cast("string"))
     return (

@@ -155,6 +155,26 @@ def test_mixture_reaches_its_weights(docs_of):
     assert sorted((r.doc_id, r.copy, r.shuffle_key) for r in got) == sorted((r.doc_id, r.copy, r.shuffle_key) for r in again)
 
 
+def test_small_source_reaches_a_large_target(docs_of):
+    rows = [(i, f"document {i:5} " * 10, "en", "tiny" if i % 1000 == 0 else "rest") for i in range(20_000)]
+    got = mixing.mix_sources(docs_of(rows, clashing=False), mixing.Mix(weights={"tiny": 0.3, "rest": 0.7}))
+    copies = {r.doc_id: r.n for r in got.where("source = 'tiny'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(copies) == 20 and all(abs(n - 300) < 100 for n in copies.values()) and len(set(copies.values())) > 10
+    assert abs(sum(copies.values()) / got.count() - 0.3) < 0.02 and abs(got.count() / 20_000 - 1) < 0.03
+    assert got.select("doc_id", "copy").distinct().count() == got.count()
+
+
+def test_what_a_cap_takes_goes_to_the_others(docs_of):
+    rows = [(0, "x" * 10, "en", "tiny"), (1, "x" * 90, "en", "small"), (2, "x" * 900, "en", "b"), (3, "x" * 9000, "en", "c")]
+    weights = {"tiny": 0.3, "small": 0.03, "b": 0.3, "c": 0.37}
+    rates = {r.source: r for r in mixing.repetition_rates(docs_of(rows), mixing.Mix(weights=weights, most=4.0)).collect()}
+    assert abs(sum(r.rate * r["size"] for r in rates.values()) - 10_000) < 1e-6
+    # With the first ones held, the next would be over 4 too; the last takes what is left.
+    assert [rates[s].rate for s in ("tiny", "small", "b")] == [4.0] * 3 and abs(rates["c"].rate - 6000 / 9000) < 1e-9
+    assert all(abs(rates[s].target - w) < 1e-9 for s, w in weights.items())
+    assert abs(rates["tiny"].reached - 0.004) < 1e-9 and abs(rates["c"].reached - 0.6) < 1e-9
+
+
 def test_mixture_of_odd_rows(odd):
     got = mixing.mix_sources(odd, mixing.Mix(epochs=3.0))
     assert set(got.columns) == set(odd.columns) | {"copy", "shuffle_key"}
