@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelantern.llm import (
@@ -19,6 +19,7 @@ from codelantern.llm import (
     piece_dropout,
     projection_forest,
     quality_trees,
+    secret_scan,
     sharding,
     simhash,
     url_filter,
@@ -115,8 +116,23 @@ def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text_sha256").withColumn("lossless", F.col("decoded_sha256") == F.col("text_sha256"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    def told(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    base = F.filter("secrets", lambda s: s.kind.isin(*secret_scan.BASE))
+    return found.select(
+        "doc_id", *map(count, secret_scan.BASE), F.sha2(told(base).cast("binary"), 256).alias("base_sha256"),
+        told(F.col("secrets")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash, op2_language, op3_multiset_hash, op4_url_filter, op5_projection_forest, op6_quality_trees,
-        op7_chat_windows, op8_byte_shards, op9_poisson_mix, op10_piece_dropout)
+        op7_chat_windows, op8_byte_shards, op9_poisson_mix, op10_piece_dropout, op11_secret_scan)
 }
