@@ -68,6 +68,31 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(b.k AS INTEGER) AS "c
 FROM drawn d JOIN bounds b ON d.source IS NOT DISTINCT FROM b.source AND b.below <= d.uniform
 """
 
+BLOCK_SEARCH = r"""
+WITH folded AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), docs AS (
+  SELECT r, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM folded WHERE len(terms) > 0
+), sums AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words FROM docs
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, sums GROUP BY term, n_docs
+), scored AS (
+  SELECT item_id, tf.r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_words)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN docs ON docs.r = tf.r, sums GROUP BY item_id, tf.r
+), ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored JOIN docs USING (r) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_windows": CHAT_WINDOWS, "op9_poisson_mix": POISSON_MIX}
+    return {"op7_chat_windows": CHAT_WINDOWS, "op9_poisson_mix": POISSON_MIX, "op13_block_search": BLOCK_SEARCH}

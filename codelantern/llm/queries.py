@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelantern.llm import (
+    block_search,
     chat_windows as chat,
     langid,
     mixing,
@@ -131,8 +132,13 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         told(F.col("secrets")).alias("spans"))
 
 
+def op13_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash, op2_language, op3_multiset_hash, op4_url_filter, op5_projection_forest, op6_quality_trees,
-        op7_chat_windows, op8_byte_shards, op9_poisson_mix, op10_piece_dropout, op11_secret_scan)
+        op7_chat_windows, op8_byte_shards, op9_poisson_mix, op10_piece_dropout, op11_secret_scan,
+        op13_block_search)
 }
