@@ -1,4 +1,4 @@
-"""SQL counterparts of the operators that SQL can express: chat windows and Poisson replication.
+"""SQL counterparts of the operators that SQL can express.
 
 The others rest on hashes, models or searches that SQL has no words for; tests hold them against brute force.
 """
@@ -68,6 +68,45 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(b.k AS INTEGER) AS "c
 FROM drawn d JOIN bounds b ON d.source IS NOT DISTINCT FROM b.source AND b.below <= d.uniform
 """
 
+CONVERSATION_TRIE = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nth
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS origin, xor(4294967295, list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda s, c: list_reduce(list_prepend(xor(s, c), range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)
+         )) % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), heads AS (
+  SELECT c.conv_id, t.nth AS depth, role, text FROM convs c JOIN turns t ON t.conv_id = c.origin AND t.nth <= c.h
+), led AS (
+  SELECT c.*, (SELECT count(*) FROM heads x WHERE x.conv_id = c.conv_id) AS n_head FROM convs c
+), rebuilt AS (
+  SELECT * FROM heads
+  UNION ALL SELECT c.conv_id, c.n_head + t.nth - c.h, role, text FROM led c JOIN turns t ON t.conv_id = c.conv_id AND t.nth > c.h
+), paths AS (
+  SELECT conv_id, depth, length(text) AS chars, string_agg(sha256(role || chr(10) || text), ',') OVER (PARTITION BY conv_id ORDER BY depth) AS node FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), totals AS (
+  SELECT conv_id, max(depth) AS total FROM paths GROUP BY conv_id
+), nodes AS (
+  SELECT node, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = total), '') AS ends
+  FROM paths JOIN totals USING (conv_id) GROUP BY node
+), linked AS (
+  SELECT n.node, p.node AS parent FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+), counted AS (
+  SELECT n.*, l.parent, (SELECT count(*) FROM linked k WHERE k.parent = n.node) AS n_children FROM nodes n LEFT JOIN linked l ON l.node = n.node
+), below AS (
+  SELECT p.node, sum((n.n_children = 0)::INT) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved
+  FROM counted n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.node
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM counted n JOIN below b ON b.node = n.node LEFT JOIN nodes p ON p.node = n.parent
+"""
+
 BLOCK_SEARCH = r"""
 WITH folded AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -95,4 +134,6 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_windows": CHAT_WINDOWS, "op9_poisson_mix": POISSON_MIX, "op13_block_search": BLOCK_SEARCH}
+    return {
+        "op7_chat_windows": CHAT_WINDOWS, "op9_poisson_mix": POISSON_MIX, "op12_conversation_trie": CONVERSATION_TRIE, "op13_block_search": BLOCK_SEARCH,
+    }

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from codelantern.llm import (
     block_search,
     chat_windows as chat,
+    conversation_trie as trie,
     langid,
     mixing,
     multiset_hash,
@@ -132,6 +133,12 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         told(F.col("secrets")).alias("spans"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    branches = trie.Branches(
+        shared=lambda c: F.crc32(c.cast("string").cast("binary")) % 6, origin=lambda c: c - c % 100, most=5)
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"), branches=branches)
+
+
 def op13_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -140,5 +147,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash, op2_language, op3_multiset_hash, op4_url_filter, op5_projection_forest, op6_quality_trees,
         op7_chat_windows, op8_byte_shards, op9_poisson_mix, op10_piece_dropout, op11_secret_scan,
-        op13_block_search)
+        op12_conversation_trie, op13_block_search)
 }
