@@ -36,8 +36,8 @@ _STRETCH = 1 << 20
 @dataclass(frozen=True)
 class BlockSearch:
     best: int = 10                  #: documents per item
-    segment_docs: int = 4096        #: of a segment; one with as many postings as below is closed sooner
-    segment_postings: int = 500_000
+    segment_docs: int = 2048        #: of a segment; one with as many postings as below is closed sooner
+    segment_postings: int = 250_000
     block_docs: int = 16            #: documents of a block, about
     shared_share: float = 0.015625   #: a term of more than this share of a segment uses the segment's own clusters
     sketch: int = 16                #: dimensions in which likeness is measured
