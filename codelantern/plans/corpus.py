@@ -17,6 +17,8 @@ EXTENSIONS = (
     ".mdx", ".JAVA", ".html", ".xyz",
 )
 SPECIAL_NAMES = {97: "package-lock.json", 89: "README", 83: "LICENSE", 79: ".gitignore", 73: ".eslintrc.json"}
+#: The line of a document that becomes a damaged block of code: brackets stay open.
+DAMAGED = 50
 KINDS = ("function", "class", "method", "module", "doc")
 
 
@@ -112,7 +114,10 @@ def _quoted_lines() -> Column:
 
 
 def _code_text(block) -> Column:
-    return F.array_join(F.transform(_quoted_lines(), lambda line, i: block(line, i.cast("string"), i % 3)), "\n")
+    def shape(i: Column) -> Column:
+        return F.when(i == DAMAGED, -1).otherwise(i % 5)
+
+    return F.array_join(F.transform(_quoted_lines(), lambda line, i: block(line, i.cast("string"), shape(i))), "\n")
 
 
 def _source_files(spark: SparkSession, sf_dir: str, suffix: str, block) -> DataFrame:
@@ -123,14 +128,16 @@ def _source_files(spark: SparkSession, sf_dir: str, suffix: str, block) -> DataF
 
 
 def _python_block(line: Column, i: Column, kind: Column) -> Column:
-    return F.when(
-        kind == 0,
-        F.concat(F.lit("class C"), i, F.lit(":\n    def m"), i, F.lit("(self):\n        return '"), line, F.lit("'")),
-    ).otherwise(F.concat(F.lit("def f"), i, F.lit("(x):\n    y = '"), line, F.lit("'\n    return y")))
+    return (
+        F.when(kind == 0, F.concat(F.lit("class C"), i, F.lit(":\n    def m"), i, F.lit("(self):\n        return '"), line, F.lit("'")))
+        .when(kind == 1, F.concat(F.lit("@deco([{1: 2}])\nasync def g"), i, F.lit("(x=(1, [2])): # (\n    return '"), line, F.lit("'")))
+        .when(kind == -1, F.concat(F.lit("def broken"), i, F.lit("(x):\n    y = [(\n    '"), line, F.lit("'")))
+        .otherwise(F.concat(F.lit("def f"), i, F.lit("(x):\n    y = '"), line, F.lit("'\n    return y")))
+    )
 
 
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line of a document as a three-line function or class."""
+    """Each line of a document as a three-line function or class; a damaged one in long documents."""
     return _source_files(spark, sf_dir, ".py", _python_block)
 
 
@@ -138,12 +145,15 @@ def _script_block(line: Column, i: Column, kind: Column) -> Column:
     return (
         F.when(kind == 0, F.concat(F.lit("class C"), i, F.lit(" {\n  m"), i, F.lit("(a) { return '"), line, F.lit("'; }\n}")))
         .when(kind == 1, F.concat(F.lit("function f"), i, F.lit("(x) {\n  return `"), line, F.lit(" ${x}`; // }\n}")))
+        .when(kind == 2, F.concat(F.lit("const a = '"), line, F.lit("', h"), i, F.lit(" = async (x = f(g([{}]))) => {\n  return a;\n}, b = 1;")))
+        .when(kind == 3, F.concat(F.lit("class S"), i, F.lit(" {\n  static 'k "), i, F.lit("'<T>(a: T): { b: T } { return '"), line, F.lit("'; }\n}")))
+        .when(kind == -1, F.concat(F.lit("function broken"), i, F.lit("(x = [ {\n  (\n  '"), line, F.lit("'")))
         .otherwise(F.concat(F.lit("const g"), i, F.lit(" = (x) => {\n  return \""), line, F.lit(" {\";\n};")))
     )
 
 
 def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line of a document as a class, a function or an arrow function of three lines."""
+    """Each line of a document as a class, a function or a variable of three lines; a damaged one in long documents."""
     return _source_files(spark, sf_dir, ".ts", _script_block)
 
 

@@ -355,23 +355,37 @@ def _renamed(suffix: str) -> str:
 
 
 def _python(source: str) -> str:
-    return _built_code(source, "python", f"""i % 3 WHEN 0 THEN [
-    {_piece("'m' || i", 'method', '3 * i + 2', '3 * i + 3', "'def m' || i || '(self):' || chr(10) || '        return ''' || t || ''''")},
-    {_piece("'C' || i", 'class', '3 * i + 1', '3 * i + 3',
-            "'class C' || i || ':' || chr(10) || '    def m' || i || '(self):' || chr(10) || '        return ''' || t || ''''")}]
+    method = "'def m' || i || '(self):' || chr(10) || '        return ''' || t || ''''"
+    return _built_code(source, "python", f"""
+  WHEN i = {corpus.DAMAGED} THEN [{_piece("'broken' || i", 'function', '3 * i + 1', '3 * i + 3',
+        "'def broken' || i || '(x):' || chr(10) || '    y = [(' || chr(10) || '    ''' || t || ''''")}]
+  WHEN i % 5 = 0 THEN [
+    {_piece("'m' || i", 'method', '3 * i + 2', '3 * i + 3', method)},
+    {_piece("'C' || i", 'class', '3 * i + 1', '3 * i + 3', f"'class C' || i || ':' || chr(10) || '    ' || {method}")}]
+  WHEN i % 5 = 1 THEN [{_piece("'g' || i", 'function', '3 * i + 2', '3 * i + 3',
+        "'async def g' || i || '(x=(1, [2])): # (' || chr(10) || '    return ''' || t || ''''")}]
   ELSE [{_piece("'f' || i", 'function', '3 * i + 1', '3 * i + 3',
-                "'def f' || i || '(x):' || chr(10) || '    y = ''' || t || '''' || chr(10) || '    return y'")}]""")
+        "'def f' || i || '(x):' || chr(10) || '    y = ''' || t || '''' || chr(10) || '    return y'")}]""")
 
 
 def _script(source: str) -> str:
-    return _built_code(source, "typescript", f"""i % 3 WHEN 0 THEN [
-    {_piece("'m' || i", 'method', '3 * i + 2', '3 * i + 2', "'m' || i || '(a) {{ return ''' || t || '''; }}'".replace('{{', '{').replace('}}', '}'))},
-    {_piece("'C' || i", 'class', '3 * i + 1', '3 * i + 3',
-            "'class C' || i || ' {' || chr(10) || '  m' || i || '(a) { return ''' || t || '''; }' || chr(10) || '}'")}]
-  WHEN 1 THEN [{_piece("'f' || i", 'function', '3 * i + 1', '3 * i + 3',
-                "'function f' || i || '(x) {' || chr(10) || '  return `' || t || ' ${x}`; // }' || chr(10) || '}'")}]
+    method = "'m' || i || '(a) { return ''' || t || '''; }'"
+    named = "'static ''k ' || i || '''<T>(a: T): { b: T } { return ''' || t || '''; }'"
+    return _built_code(source, "typescript", f"""
+  WHEN i = {corpus.DAMAGED} THEN []
+  WHEN i % 5 = 0 THEN [
+    {_piece("'m' || i", 'method', '3 * i + 2', '3 * i + 2', method)},
+    {_piece("'C' || i", 'class', '3 * i + 1', '3 * i + 3', f"'class C' || i || ' {{' || chr(10) || '  ' || {method} || chr(10) || '}}'")}]
+  WHEN i % 5 = 1 THEN [{_piece("'f' || i", 'function', '3 * i + 1', '3 * i + 3',
+        "'function f' || i || '(x) {' || chr(10) || '  return `' || t || ' ${x}`; // }' || chr(10) || '}'")}]
+  WHEN i % 5 = 2 THEN [{_piece("'h' || i", 'function', '3 * i + 1', '3 * i + 3',
+        "'const a = ''' || t || ''', h' || i || ' = async (x = f(g([{}]))) => {' || chr(10) || '  return a;' || chr(10) || '}, b = 1;'")}]
+  WHEN i % 5 = 3 THEN [
+    {_piece("'''k ' || i || ''''", 'method', '3 * i + 2', '3 * i + 2', named)},
+    {_piece("'S' || i", 'class', '3 * i + 1', '3 * i + 3', f"'class S' || i || ' {{' || chr(10) || '  ' || {named} || chr(10) || '}}'")}]
   ELSE [{_piece("'g' || i", 'function', '3 * i + 1', '3 * i + 3',
-                "'const g' || i || ' = (x) => {' || chr(10) || '  return \"' || t || ' {\";' || chr(10) || '};'")}]""")
+        "'const g' || i || ' = (x) => {' || chr(10) || '  return \"' || t || ' {\";' || chr(10) || '};'")}]""")
+
 
 _COUNTS = {"function": "functions", "class": "classes", "method": "methods", "module": "modules", "doc": "docs"}
 _ENRICHED = "'File: ' || file_path || ' | ' || symbol_type || ': ' || symbol_name || chr(10) || chr(10) || content"

@@ -148,3 +148,49 @@ def test_own_sources_chunk(spark):
             text = dict(rows)[r.file_path].split("\n")
             assert text[r.start_line - 1].lstrip().startswith(r.content.split("\n")[0])
             assert r.end_line - r.start_line == r.content.count("\n")
+
+
+def test_declarators_and_names(spark):
+    text = (
+        "const a = 1, h = () => {\n  return 1\n};\nconst {x} = z, f = function () {\n}\nfunction deep(a = f(g(h(i(j(1)))))) {}\n"
+        "const c = function* () {};\nexport const k: (x: number) => void = (x) => {}\nlet w = a ? function () {} : b\n"
+    )
+    assert symbols(spark, "a.ts", text)[0] == [("h", "function", 1, 3), ("f", "function", 4, 5), ("deep", "function", 6, 6), ("k", "function", 8, 8)]
+    names = "class A { ['k']() {} \"q\"() {} 12() {} static async *[Symbol.iterator]<T>(a: T): X<T> { } #p() {} }\n"
+    found, content = symbols(spark, "a.ts", names)
+    assert [s[0] for s in found] == ["['k']", '"q"', "12", "[Symbol.iterator]", "#p", "A"]
+    assert content[3] == "static async *[Symbol.iterator]<T>(a: T): X<T> { }"
+    types = (
+        "function over(a): void;\nfunction over(a, b) { }\nexport async function go<T extends {a: 1}>(x: T): Promise<{ ok: boolean }> { }\n"
+        "class G<T extends {a: 1}> extends mix(B, {c: 1}) implements I<{d: 1}> { m<K>(x) { } }\n"
+        "new Foo(function () { class In { m() {} } })\nfoo()\nfor (const q of r) { function inside() {} }\n"
+    )
+    assert [s[:2] for s in symbols(spark, "a.ts", types)[0]] == [
+        ("over", "function"), ("go", "function"), ("m", "method"), ("G", "class"), ("m", "method"), ("In", "class"), ("inside", "function")]
+
+
+def test_damage_costs_only_its_own_symbols(spark):
+    script = "function bad() {\n  if (x) {\n    y()\n}\nfunction good() { return 1 }\nexport const z = () => {\n  f();\n};\n"
+    assert symbols(spark, "a.js", script)[0] == [("good", "function", 5, 5), ("z", "function", 6, 8)]
+    python = "def broken():\n x = [1,\n\n@deco(\n 1)\ndef c(): pass\nclass K:\n  y = (\n  def m(self): pass\ndef head(a, (\ndef last(): pass\n"
+    found, content = symbols(spark, "a.py", python)
+    assert found == [("broken", "function", 1, 2), ("c", "function", 6, 6), ("m", "method", 9, 9), ("K", "class", 7, 9), ("last", "function", 11, 11)]
+    assert content[0] == "def broken():\n x = [1,"
+
+
+def test_symbols_are_cut_in_linear_time():
+    from codelantern.operators.symbols import python_found, script_found
+
+    def seconds(find, block, n):
+        text = "".join(block.format(i=i) for i in range(n))
+        start = time.perf_counter()
+        assert len(find(text)) >= n
+        return time.perf_counter() - start
+
+    cases = [(script_found, "class C{i} {{\n  m{i}(a) {{ return 1; }}\n}}\n"), (python_found, "class C{i}:\n    def m(self): return 1\n")]
+    for find, block in cases:
+        seconds(find, block, 1000)
+        small, large = min(seconds(find, block, 10_000) for _ in range(3)), min(seconds(find, block, 20_000) for _ in range(3))
+        assert large < 2.4 * small
+    big = "const g{i} = (x) => {{\n  return \"{i} {{\";\n}};\n"
+    assert seconds(script_found, big, 45_000) < 10   # two MiB
