@@ -71,12 +71,13 @@ class Engine:
         return durable(embed_questions(self.spark.createDataFrame(rows, QUESTION), self.embedder))
 
     def search(self, questions: DataFrame, options: SearchOptions = SearchOptions()) -> Retrieval:
-        chunks = self.store.scan_of(questions)
-        return hybrid_retrieve(questions, chunks, self.store.index(chunks), options=options)
+        """Both rankings read one version of the store, whatever is written meanwhile."""
+        chunks, index = self.store.snapshot().of(questions)
+        return hybrid_retrieve(questions, chunks, index, options=options)
 
     def answer(self, questions: DataFrame, options: GenerationOptions = GenerationOptions()) -> Answers:
-        chunks = self.store.scan_of(questions)
-        return answer_questions(questions, chunks, self.store.index(chunks), self.model, generation=options)
+        chunks, index = self.store.snapshot().of(questions)
+        return answer_questions(questions, chunks, index, self.model, generation=options)
 
     def ask(self, repo_id: str, question: str) -> dict:
         """The response envelope for one question; errors come back in it."""

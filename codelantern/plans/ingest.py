@@ -55,7 +55,7 @@ def ingest_repositories(
         F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "languages", "functions", "classes", "methods", "modules", "docs",
         F.current_timestamp().alias("finished_at")))
     if not chunks.isEmpty():
-        store.replace(chunks, found.where(F.col("status") == INGESTED).select("repo_id"))
+        store.replace(chunks)
     for row in found.where(F.col("status") == NO_CHUNKS).select("repo_id").toLocalIterator():
         store.clear(row.repo_id)
     return found
