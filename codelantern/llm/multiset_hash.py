@@ -1,7 +1,7 @@
 """Fingerprints of documents that add up: a homomorphic hash of the multiset of paragraphs.
 
 A paragraph (a line) is hashed to a wide vector of +1 and -1, together with its
-sentences, and a document is the sum of its paragraphs' vectors modulo 2^16.
+sentences, and a document is the sum of its paragraphs' vectors modulo 2^32.
 So the order of paragraphs does not matter, inserting or deleting one is an
 addition or a subtraction, and equal multisets have equal fingerprints;
 different ones collide only if all lanes do.  Since the lanes are random signs, the
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from codelantern.llm.ordered import descending_blocks
 
-#: Lanes of a vector, each modulo 2^16: 512 bytes.
+#: Lanes of a vector, each modulo 2^32: 1 KiB.
 LANES = 256
 _SENTENCE = re.compile(r"(?<=[.!?]) +")
 
@@ -34,7 +34,7 @@ def _units(paragraph: str) -> Iterator[bytes]:
 
 
 def vector(text: str | None) -> np.ndarray:
-    """The lanes of a text, as unsigned 16-bit numbers.  Null, empty and blank-line texts are the zero vector."""
+    """The lanes of a text, as unsigned 32-bit numbers.  Null, empty and blank-line texts are the zero vector."""
     total, held = np.zeros(LANES, np.int64), []
 
     def flush():
@@ -50,23 +50,23 @@ def vector(text: str | None) -> np.ndarray:
                 if len(held) >= 4096:
                     flush()
     flush()
-    return total.astype(np.uint16)
+    return total.astype(np.uint32)
 
 
 def added(fingerprint: np.ndarray, text: str, sign: int = 1) -> np.ndarray:
     """The fingerprint after the paragraphs of ``text`` are inserted (``sign`` 1) or deleted (-1)."""
-    return (fingerprint.astype(np.int64) + sign * vector(text).astype(np.int64)).astype(np.uint16)
+    return (fingerprint.astype(np.int64) + sign * vector(text).astype(np.int64)).astype(np.uint32)
 
 
 def as_hex(fingerprint: np.ndarray) -> str:
-    return fingerprint.astype(">u2").tobytes().hex()
+    return fingerprint.astype(">u4").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """The cosine of two fingerprints, 0 to 1; equal ones 1, a zero vector and another 0."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = a.astype(np.int16).astype(np.float64), b.astype(np.int16).astype(np.float64)
+    x, y = a.astype(np.int32).astype(np.float64), b.astype(np.int32).astype(np.float64)
     size = np.sqrt((x @ x) * (y @ y))
     return float(min(1.0, max(0.0, (x @ y) / size))) if size else 0.0
 

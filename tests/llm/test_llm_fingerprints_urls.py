@@ -10,6 +10,14 @@ from codelantern.llm import url_filter as uf
 from codelantern.llm.queries import URL_RULES, op3_multiset_hash, op4_url_filter
 
 
+def test_very_repetitive_texts_do_not_wrap():
+    line, empty = "the same line", mh.vector("")
+    many, half = mh.vector((line + "\n") * 40_000), mh.vector((line + "\n") * 20_000)
+    assert mh.likeness(many, half) > 0.999
+    assert mh.as_hex(mh.vector((line + "\n") * 32_768)) != mh.as_hex(empty)
+    assert mh.as_hex(mh.added(many, (line + "\n") * 20_000, -1)) == mh.as_hex(half)
+
+
 def test_query_matches_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     texts = {r.doc_id: r.text or "" for r in rows}
