@@ -258,11 +258,12 @@ def encode_batch(pieces: Pieces, texts: list[str], doc_keys: np.ndarray, rate: f
     ``room`` characters are worked on at a time; long texts are cut between words.
     """
     counts, found = np.zeros(len(texts), np.int64), []
+    done = np.zeros(len(texts), np.int64)
     held, owners, chars = [], [], 0
 
     def flush() -> None:
         nonlocal chars
-        ids, ends = _encode_stretches(pieces, held, doc_keys[owners], rate, seed)
+        ids, ends = _encode_stretches(pieces, held, owners, done, doc_keys[owners], rate, seed)
         np.add.at(counts, owners, np.diff(ends))
         found.append(ids)
         held.clear()
@@ -281,28 +282,27 @@ def encode_batch(pieces: Pieces, texts: list[str], doc_keys: np.ndarray, rate: f
     return np.concatenate(found) if found else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(counts)))
 
 
-def _encode_stretches(pieces: Pieces, texts: list[str], doc_keys: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """``encode_batch`` for stretches of texts, none of them empty."""
-    # The distinct words of each document, one after another, and where each document has which.
+def _encode_stretches(
+    pieces: Pieces, texts: list[str], owners: list[int], done: np.ndarray, doc_keys: np.ndarray, rate: float, seed: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """``encode_batch`` for stretches of texts, none of them empty; ``done`` counts the words of each owner so far."""
     words: list[str] = []
-    places: list[np.ndarray] = []
     counts = np.zeros(len(texts), np.int64)
-    owned = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
+    firsts = np.zeros(len(texts), np.int64)
+    for i, (text, owner) in enumerate(zip(texts, owners, strict=True)):
         found = _WORDS.findall(text) if pieces.by_word else [text]
-        distinct = {word: n for n, word in enumerate(dict.fromkeys(found), len(words))}
-        places.append(np.fromiter(map(distinct.__getitem__, found), np.int64, len(found)))
-        words += distinct
-        counts[i], owned[i] = len(found), len(distinct)
-    offsets = np.zeros(len(texts) + 1, np.int64)
+        words += found
+        counts[i], firsts[i] = len(found), done[owner]
+        done[owner] += len(found)
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    # The same word is cut alike within one document and on its own in the next.
+    # Every word is cut by a key of its own: of its document, its place in the text and its letters.
     inside = np.arange(len(points)) - np.repeat(starts, lengths)
     word_hash = np.add.reduceat(_mix(points.astype(np.uint64) ^ (inside.astype(np.uint64) + np.uint64(1) << np.uint64(32))), starts)
     doc_hash = _mix(doc_keys.astype(np.int64).view(np.uint64) ^ _mix(np.array([seed], np.int64).view(np.uint64)))
-    keys = _mix(word_hash ^ np.repeat(doc_hash, owned))
+    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts - firsts, counts)
+    keys = _mix(word_hash ^ _mix(np.repeat(doc_hash, counts) + place.astype(np.uint64)))
     ids = pieces.chars[points]
     head = _merged(pieces, ids, starts, lengths, keys, rate)
     sizes = head.astype(np.int64)
@@ -316,15 +316,8 @@ def _encode_stretches(pieces: Pieces, texts: list[str], doc_keys: np.ndarray, ra
         flat[to] = [pieces.bytes[x] for b in spelled for x in b]
     else:
         flat = ids[head]
-    per_word = np.add.reduceat(sizes, starts)
-    word_at = np.cumsum(per_word) - per_word
-    used = np.concatenate(places)
-    take = per_word[used]
-    ends = np.cumsum(take)
-    out = flat[np.repeat(word_at[used] - (ends - take), take) + np.arange(ends[-1])]
-    docs = np.concatenate(([0], np.cumsum(counts)))
-    offsets[:] = np.concatenate(([0], ends))[docs]
-    return out.astype(np.int32), offsets
+    ends = np.concatenate(([0], np.cumsum(np.add.reduceat(sizes, starts))))
+    return flat.astype(np.int32), ends[np.concatenate(([0], np.cumsum(counts)))]
 
 
 def decode_ids(pieces: Pieces, ids: list[int]) -> str:

@@ -71,6 +71,21 @@ def test_seed_and_document_vary_the_cut(pieces):
     assert encoded(pieces, [text, text], 0.2) == [one, two]
 
 
+def test_repeated_words_are_cut_in_their_own_ways(pieces):
+    """Places are part of the key, also where a long text is cut into stretches."""
+    word = " internationalization"
+    (ids,) = encoded(pieces, [word.strip() + word * 49], 0.3)
+    (plain,) = encoded(pieces, [word.strip() + word * 49], 0.0)
+    ways, at = set(), 0
+    while at < len(ids):
+        end = at + 1
+        while end < len(ids) and not pieces.out[ids[end]].startswith(b" "):
+            end += 1
+        ways.add(tuple(ids[at:end]))
+        at = end
+    assert len(ways) > 10 and len(set(plain)) < 10
+
+
 def test_query_decodes_everything(spark, sf_dir):
     rows = op10_piece_dropout(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
