@@ -96,7 +96,7 @@ def repetition_rates(docs: DataFrame, spec: Mix, source_col: str = "source", tex
 
 def mix_sources(docs: DataFrame, spec: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source",
                 text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, once for each copy, with ``copy`` (from 0) and ``shuffle_key``, in the order of that key.
+    """All columns of ``docs``, once for each copy, with ``copy`` (from 0) and ``shuffle_key``, dealt by that key and sorted by it in each part.
 
     A document's number of copies depends on seed and id (without id: on its
     text), so repeated rows are copied alike.  Columns with the two added names are replaced.  A

@@ -53,19 +53,26 @@ WITH RECURSIVE sizes AS (
 ), weighed AS (
   SELECT source, size, sqrt(size) AS weight FROM sizes
 ), rates AS (
-  SELECT source, CASE WHEN size > 0 THEN least(64.0, weight * ((SELECT sum(size) FROM weighed WHERE size > 0)
-         / (SELECT sum(weight) FROM weighed WHERE size > 0)) / size) ELSE 1.0 END AS rate FROM weighed
+  SELECT source, CASE WHEN size > 0 THEN weight * ((SELECT sum(size) FROM weighed WHERE size > 0)
+         / (SELECT sum(weight) FROM weighed WHERE size > 0)) / size ELSE 1.0 END AS whole FROM weighed
+), parted AS (
+  SELECT source, greatest(1, CAST(ceil(whole / 64.0) AS INTEGER)) AS draws, whole / greatest(1, CAST(ceil(whole / 64.0) AS INTEGER)) AS rate FROM rates
 ), bounds(source, rate, k, p, below) AS (
-  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rates
+  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM parted
   UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), below + p * rate / (k + 1) FROM bounds WHERE k < 180
 ), keyed AS (
-  SELECT *, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS doc_key FROM documents
+  SELECT row_number() OVER () AS r, *, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS doc_key FROM documents
+), numbers AS (
+  SELECT r, k.source, unnest(range(draws)) AS draw, doc_key FROM keyed k JOIN parted p ON k.source IS NOT DISTINCT FROM p.source
 ), drawn AS (
-  SELECT *, CAST('0x' || substr(md5('7:' || doc_key), 1, 13) AS BIGINT) / 4503599627370496.0 AS uniform FROM keyed
+  SELECT r, source, CAST('0x' || substr(md5('7:' || doc_key || CASE WHEN draw > 0 THEN ':draw ' || draw ELSE '' END), 1, 13) AS BIGINT)
+         / 4503599627370496.0 AS uniform FROM numbers
+), copies AS (
+  SELECT d.r, unnest(range(count(*))) AS "copy" FROM drawn d JOIN bounds b ON d.source IS NOT DISTINCT FROM b.source AND b.below <= d.uniform GROUP BY d.r
 )
-SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(b.k AS INTEGER) AS "copy",
-       CAST('0x' || substr(md5('7 order:' || doc_key || ':' || CAST(b.k AS VARCHAR)), 1, 13) AS BIGINT) AS shuffle_key
-FROM drawn d JOIN bounds b ON d.source IS NOT DISTINCT FROM b.source AND b.below <= d.uniform
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(c."copy" AS INTEGER) AS "copy",
+       CAST('0x' || substr(md5('7 order:' || doc_key || ':' || CAST(c."copy" AS VARCHAR)), 1, 13) AS BIGINT) AS shuffle_key
+FROM keyed d JOIN copies c ON d.r = c.r
 """
 
 CONVERSATION_TRIE = """
