@@ -52,12 +52,20 @@ class LanguageModel:
     words: dict[str, int]
     word_scores: np.ndarray
     grams: list[tuple[dict[str, int], np.ndarray]]   #: longest first
+    met: np.ndarray | None = None                    #: which words were met in which language; None: all in all
     room: int = 1 << 20                              #: numbers that the cache of word scores may hold
     cache: dict[str, int] = field(default_factory=dict, repr=False)
     scores: np.ndarray | None = field(default=None, repr=False)
+    spoken: list[set[str]] | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}, "scores": None}
+        return self.__dict__ | {"cache": {}, "scores": None, "spoken": None}
+
+    def known(self, words: list[str], lang: int) -> int:
+        """How many of the words were met in the texts of a language."""
+        if self.spoken is None:
+            self.spoken = [{w for w, i in self.words.items() if self.met is None or self.met[i, j]} for j in range(len(self.langs))]
+        return sum(map(self.spoken[lang].__contains__, words))
 
     def backed_off(self, words: list[str]) -> np.ndarray:
         """A row of scores for each unknown word; zeros for one without any known n-gram."""
@@ -98,15 +106,25 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The best language and its share of the likelihood (ties: the first by name); ``und`` without letters."""
-        total = None
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The prediction, and the share of the text's words that texts of this language had.
+
+        The share of the likelihood is near 1 for any long text, also in a language that was not learned; the
+        share of known words tells such texts apart, whatever their length.
+        """
+        total, n, words = None, 0, []
         for part in stretches(text or "", _GAP, 1 << 20):
             words = words_of(part)
             if words:
-                total = self.totals(words) + (0.0 if total is None else total)
+                total, n = self.totals(words) + (0.0 if total is None else total), n + len(words)
         if total is None or not self.langs:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, 0.0
         best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        known = self.known(words, best) if n == len(words) else sum(
+            self.known(words_of(part), best) for part in stretches(text, _GAP, 1 << 20))
+        return self.langs[best], float(1 / np.exp(total - total[best]).sum()), known / n
 
 
 def _count_grams(longest: int):
@@ -161,21 +179,26 @@ def fit_languages(docs: DataFrame, learn: Column, spec: LanguageFit = LanguageFi
         for i, row in enumerate(rows):
             for one in row.by_lang:
                 counts[i, place[one.lang]] += one.times
-        return {r.gram: i for i, r in enumerate(rows)}, np.log(counts / counts.sum(axis=0)) if rows else counts
+        return {r.gram: i for i, r in enumerate(rows)}, counts
+
+    def logs(counts: np.ndarray) -> np.ndarray:
+        return np.log(counts / counts.sum(axis=0)) if len(counts) else counts
 
-    words, scores = table(0)
-    return LanguageModel(langs, words, scores, [table(n) for n in range(spec.longest, 0, -1)])
+    words, counts = table(0)
+    grams = [(known, logs(c)) for known, c in (table(n) for n in range(spec.longest, 0, -1))]
+    return LanguageModel(langs, words, logs(counts), grams, counts > spec.smoothing)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred``, ``score`` (0 to 1), one row for each; columns of those names are replaced.
+    """All columns of ``docs`` and ``lang_pred``, ``score``, ``known`` (0 to 1), one row for each; columns of those names are replaced.
 
-    Null texts and texts without a letter are ``und`` with score 0.
+    ``known`` is the share of a text's words that the learned texts of its language had.  Null
+    texts and texts without a letter are ``und`` with score and ``known`` 0.
     """
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts: pa.Array) -> list[pa.Array]:
-        found = [handle.value.predict(text) for text in texts.to_pylist()]
-        return [pa.array([lang for lang, _ in found], pa.string()), pa.array([score for _, score in found], pa.float64())]
+        langs, scores, known = zip(*(handle.value.judge(text) for text in texts.to_pylist()), strict=True) if len(texts) else ((), (), ())
+        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())]
 
-    return add_columns(docs, [text_col], predict, "lang_pred string, score double")
+    return add_columns(docs, [text_col], predict, "lang_pred string, score double, known double")

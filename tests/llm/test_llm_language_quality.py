@@ -38,6 +38,22 @@ def test_backing_off():
     assert model.predict("12 -- ²") == model.predict(None) == ("und", 0.0)
 
 
+def test_unlearned_languages_know_few_words(spark, small):
+    """The share of the likelihood is near 1 for texts of unlearned languages and for invented words; known words tell."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit_languages(docs, F.lit(True))
+    strange = [
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "minden emberi lény szabadon születik és egyenlő méltósága van",
+        "qzx vbnk wrtp zzxq plmk jhgf " * 40, "wszyscy ludzie rodzą się wolni i równi pod względem swej godności " * 30]
+    for text in strange:
+        lang, score, known = model.judge(text)
+        assert lang in model.langs and known < 0.4
+    found = langid.predict_languages(docs, model).where("lang_pred <> 'und'")
+    assert found.where("known < 0.4").count() <= 0.005 * found.count()
+    only = langid.LanguageModel(["aa"], {"the": 0}, np.zeros((1, 1)), [({}, np.zeros((0, 1)))] * 5)
+    assert only.judge("the the other " * 200_000)[2] == pytest.approx(2 / 3)
+
+
 def test_the_cache_of_words_may_overflow():
     model = langid.LanguageModel(["aa", "bb"], {"the": 0}, np.log([[0.9, 0.1]]), [({"a": 0, "b": 1}, np.log([[0.9, 0.1], [0.1, 0.9]]))], room=4)
     words = [f"{'ab'[i % 3 == 0]}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(20_000)]
