@@ -16,8 +16,8 @@ from codelantern.operators.sizing import durable
 
 #: A document goes if its score is lower: the classifier is then rather sure that it is junk.
 LEAST_QUALITY = 0.3
-#: A language goes if its share of the likelihood is lower.
-LEAST_LANGUAGE = 0.5
+#: A text goes if its language wins by less than this share of the likelihood, or knows a smaller share of its words.
+LEAST_LANGUAGE, LEAST_KNOWN = 0.5, 0.4
 #: Near copies share 0.8 of their different five-word shingles.  Their fingerprints differ in about 39 of 256 bits, at
 #: worst (four shingles of five) in 48 with a spread of 6, so the radius of the candidates loses next to none.
 NEAR_COPIES = copies.NearCopies(simhash.SimHash(words=5, bits=256, radius=72, distinct=True), share=0.8)
@@ -37,7 +37,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without letters and those that no language fits go."""
     model = langid.fit_languages(docs, ~held_out("doc_id", 5, 0) & F.col("doc_id").isNotNull())
     found = langid.predict_languages(docs, model)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)).select(docs.columns)
+    sure = (F.col("score") >= LEAST_LANGUAGE) & (F.col("known") >= LEAST_KNOWN)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & sure).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
