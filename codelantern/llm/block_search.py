@@ -1,7 +1,7 @@
 """Ranked search over per-term blocks of similar documents, exact.
 
-Documents become sparse vectors over the terms that a batch of items asks for.
-A segment of the index holds some thousand vectors and, for every term, its
+Documents become sparse vectors, stored, over the terms that a batch of items asks
+for.  A segment of the index holds some thousand vectors and, for every term, its
 posting list clustered by document similarity: each cluster is a block with the
 coordinatewise maximum of its vectors.  The weighted sum of a block's maxima
 bounds every score in it, so a block is skipped only when that bound is below
@@ -20,6 +20,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,19 +101,6 @@ def _numbered_by_join(counted: DataFrame, vocabulary: DataFrame, salts: int) ->
 
 
 # -- the index ---------------------------------------------------------------------------------
-#: Arrays of a segment, each stored as the bytes of its numbers; ``most`` and ``wide`` are maxima in steps, rounded up.
-_SEGMENT = {
-    "ids": "<i8", "valid": "?", "names": "<i8", "shared": "?",                                   # documents; terms
-    "ptr": "<i8", "term": "<i4", "impact": "<i4",                                                # vectors
-    "first": "<i8", "member_ptr": "<i8", "member": "<i4",                                        # blocks of rarer terms
-    "most_ptr": "<i8", "most_term": "<i4", "most": "<u2",                                        # their summaries
-    "home": "<i4", "cluster_ptr": "<i8", "cluster": "<i4", "wide_ptr": "<i8", "wide_term": "<i4", "wide": "<u2",
-}
-#: An impact is below 1,000,001 = 2^16 steps of this, so that a maximum takes two bytes.
-_STEP = 16
-SEGMENT = ", ".join(f"{name} binary" for name in _SEGMENT)
-
-
 def _pointers(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
@@ -130,14 +118,14 @@ def _nearest(sketch: np.ndarray, size: int) -> np.ndarray:
 
 
 def _maxima(group: np.ndarray, term: np.ndarray, impact: np.ndarray, n_groups: int, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The coordinatewise maxima of groups of postings: pointers by group, terms, maxima in steps (rounded up)."""
+    """The coordinatewise maxima of groups of postings: pointers by group, terms, maxima."""
     key = group * n_terms + term
     order = np.argsort(key, kind="stable")
     key = key[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     most = np.maximum.reduceat(impact[order], starts) if len(key) else impact
     found = key[starts]
-    return _pointers(np.bincount(found // n_terms, minlength=n_groups)), found % n_terms, -(-most // _STEP)
+    return _pointers(np.bincount(found // n_terms, minlength=n_groups)), found % n_terms, most
 
 
 def segment_of(ids: np.ndarray, valid: np.ndarray, ptr: np.ndarray, number: np.ndarray, impact: np.ndarray, spec: BlockSearch) -> dict[str, np.ndarray]:
@@ -184,17 +172,17 @@ def segment_of(ids: np.ndarray, valid: np.ndarray, ptr: np.ndarray, number: np.n
 
 
 def _segments(batch: pa.RecordBatch, n_docs: int, n_words: int, spec: BlockSearch) -> Iterator[dict[str, np.ndarray]]:
-    held = batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column("terms")), 0))
+    held = batch.filter(pc.greater(pc.list_value_length(batch.column("terms")), 0))
     if not held.num_rows:
         return
-    sizes = pa.compute.list_value_length(held.column("terms")).to_numpy().astype(np.int64)
+    sizes = pc.list_value_length(held.column("terms")).to_numpy().astype(np.int64)
     ptr = _pointers(sizes)
     number = held.column("terms").flatten().to_numpy()
     tf = held.column("tf").flatten().to_numpy()
     m = 10 + (90 * held.column("n").to_numpy() * n_docs) // n_words
     impact = (1_000_000_000 * tf) // (1000 * tf + 8 * np.repeat(m, sizes))
     valid = held.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-    ids = pa.compute.fill_null(held.column("doc_id"), 0).to_numpy()
+    ids = pc.fill_null(held.column("doc_id"), 0).to_numpy()
     at = 0
     while at < len(ids):
         end = min(len(ids), at + spec.segment_docs, max(at + 1, int(np.searchsorted(ptr, ptr[at] + spec.segment_postings, side="right")) - 1))
@@ -203,18 +191,6 @@ def _segments(batch: pa.RecordBatch, n_docs: int, n_words: int, spec: BlockSearc
         at = end
 
 
-def build_segments(vectors: DataFrame, n_docs: int, n_words: int, spec: BlockSearch) -> DataFrame:
-    """The index as rows of ``SEGMENT``, made where the vectors are read."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for found in _segments(batch, n_docs, n_words, spec):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([found[name].astype(kind).tobytes()], pa.binary()) for name, kind in _SEGMENT.items()], names=list(_SEGMENT))
-
-    return vectors.select("doc_id", "n", "terms", "tf").mapInArrow(build, SEGMENT)
-
-
 # -- the search --------------------------------------------------------------------------------
 class BestDocuments:
     """The best documents per item over the segments it has been shown; counts the blocks it read and skipped."""
@@ -255,14 +231,14 @@ class BestDocuments:
         weights[terms] = wanted
         # What shared terms can give a document, by its cluster.
         only = np.where(s["shared"], weights, 0)
-        given = _STEP * np.add.reduceat(only[s["wide_term"]] * s["wide"], s["wide_ptr"][:-1])
+        given = np.add.reduceat(only[s["wide_term"]] * s["wide"], s["wide_ptr"][:-1])
         seen = np.zeros(len(s["ids"]), bool)
         rare = terms[~s["shared"][terms]]
         blocks = _ranges(s["first"][rare], s["first"][rare + 1] - s["first"][rare])
         if len(blocks):
             sizes = s["most_ptr"][blocks + 1] - s["most_ptr"][blocks]
             entry = _ranges(s["most_ptr"][blocks], sizes)
-            bounds = _STEP * np.add.reduceat(weights[s["most_term"][entry]] * s["most"][entry], _pointers(sizes)[:-1])
+            bounds = np.add.reduceat(weights[s["most_term"][entry]] * s["most"][entry], _pointers(sizes)[:-1])
             sizes = s["member_ptr"][blocks + 1] - s["member_ptr"][blocks]
             members = s["member"][_ranges(s["member_ptr"][blocks], sizes)]
             bounds += np.maximum.reduceat(given[s["home"][members]], _pointers(sizes)[:-1])
@@ -298,18 +274,22 @@ class BestDocuments:
             names=["item", "doc_id", "score"])
 
 
-def search_segments(segments: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]], spec: BlockSearch) -> DataFrame:
-    """``(item, doc_id, score)``: each task's best documents for every item, ``spec.best`` at most."""
-    shared = segments.sparkSession.sparkContext.broadcast(items)
+def search(vectors: DataFrame, n_docs: int, n_words: int, items: list[tuple[int, np.ndarray, np.ndarray]], spec: BlockSearch) -> DataFrame:
+    """``(item, doc_id, score)``: each task's best documents for every item, ``spec.best`` at most.
+
+    A task makes its segments from the vectors that it reads and keeps one at a time, with the lists of
+    best documents; segments are not written, as they take more room than the vectors.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(items)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = BestDocuments(shared.value, spec.best)
         for batch in batches:
-            for row in range(batch.num_rows):
-                best.show({name: np.frombuffer(batch.column(name)[row].as_buffer(), kind) for name, kind in _SEGMENT.items()})
+            for segment in _segments(batch, n_docs, n_words, spec):
+                best.show(segment)
         yield best.rows()
 
-    return segments.mapInArrow(search, "item long, doc_id long, score long")
+    return vectors.select("doc_id", "n", "terms", "tf").mapInArrow(run, "item long, doc_id long, score long")
 
 
 def rank_documents(
@@ -325,7 +305,7 @@ def rank_documents(
 
     Items are held by tasks only while their texts are measured to be under
     ``item_bytes``; more of them are dealt into parts of that size by a hash, searched one after
-    the other over the same stored index, and their terms are numbered by a join.
+    the other over the same stored vectors, and their terms are numbered by a join.
     """
     session = docs.sparkSession
     asked = durable(items.select(F.col(item_col).alias("item_id"), terms_of(F.col(item_text_col)).alias("terms")).withColumn(
@@ -345,13 +325,12 @@ def rank_documents(
     df = vectors.select(F.explode_outer("terms").alias("number")).where("number is not null").groupBy("number").agg(F.count(F.lit(1)).alias("df"))
     weight = F.floor(1000 * F.log((2 * F.lit(n_docs) + 2).cast("double") / (2 * F.col("df") + 1))).cast("long")
     weighed = durable(pairs.join(vocabulary, "term").join(df, "number").select("item", "number", weight.alias("weight")))
-    segments = durable(build_segments(vectors, n_docs, n_words or 1, spec))
     scored = []
     for part in range(parts):
         chosen = weighed.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
         lists = chosen.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("number", "weight"))).alias("terms")).collect()
         batch = [(r.item, np.array([t.number for t in r.terms], np.int64), np.array([t.weight for t in r.terms], np.int64)) for r in lists]
-        scored.append(search_segments(segments, batch, spec))
+        scored.append(search(vectors, n_docs, n_words or 1, batch, spec))
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     ranked = reduce(DataFrame.unionByName, scored).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= spec.best)
     return ranked.join(asked.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score")

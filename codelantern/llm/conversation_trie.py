@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,7 +176,7 @@ def _node_parts(strands: DataFrame, gifts: list[str], spec: TrieSpec) -> DataFra
         for batch in batches:
             for at in range(0, batch.num_rows, spec.shard_strands):
                 b = batch.slice(at, spec.shard_strands)
-                ptr = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(b.column("turns")).to_numpy())]).astype(np.int64)
+                ptr = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column("turns")).to_numpy())]).astype(np.int64)
                 number = lambda name: b.column(name).to_numpy(zero_copy_only=False)  # noqa: E731, B023
                 yield shard_nodes(Strands(
                     number("conv"), number("opens"), number("depth0"), _pairs(b.column("root")), ptr, _pairs(b.column("turns").flatten()),
@@ -288,7 +289,7 @@ def _end_digests(strands: DataFrame) -> DataFrame:
                 texts = pa.ListArray.from_arrays(
                     pa.array(np.append(heads, batch.num_rows).astype(np.int32)), batch.column("conv").cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(pa.array(heads)) for c in order), pa.compute.binary_join(texts, ",")], names=[*order, "ids"])
+                    [*(batch.column(c).take(pa.array(heads)) for c in order), pc.binary_join(texts, ",")], names=[*order, "ids"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
