@@ -45,6 +45,9 @@ class SearchOptions:
     salts: int = 16
     block_rows: int = 50_000
     block_queries: int = 2_000
+    bounded_from: int = 64      # blocks of stored token rows from which score bounds are asked first
+    first_blocks: int = 24      # blocks per query that are scored to learn what the others must reach
+    listed_blocks: int = 2_000  # blocks that are pushed into a scan as a literal filter
 
 
 @dataclass(frozen=True)

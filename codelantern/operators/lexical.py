@@ -3,12 +3,17 @@
 A document's whole token set lives in one row, so term weights and lengths are
 computed where the row is, and a search scores a document where its row is read:
 each task keeps ``top_k`` candidates per query and passes only those on.
+
+Stored rows come in blocks with, for each token, the greatest weight and the least
+length in the block.  What they give a query bounds every score in the block: a few
+promising blocks are scored first, and of the others only those are read whose
+bound reaches the last place of the ranking found there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +124,8 @@ class LexicalIndex:
     doc_freq: DataFrame | None
     stats: DataFrame | None
     chunks: DataFrame | None = None
+    blocks: DataFrame | None = None     # rows of ``block_summaries``, if the rows are stored in blocks
+    n_blocks: float = 0
 
     @classmethod
     def over(cls, chunks: DataFrame) -> LexicalIndex:
@@ -160,7 +167,8 @@ class LexicalIndex:
         """The index with the repositories of a batch pushed into its scans."""
         if self.chunks is not None:
             return LexicalIndex.over(only_repos(self.chunks, queries, options))
-        return LexicalIndex(*[only_repos(t, queries, options) for t in (self.rows, self.doc_freq, self.stats)])
+        narrow = [only_repos(t, queries, options) for t in (self.rows, self.doc_freq, self.stats)]
+        return LexicalIndex(*narrow, None, self.blocks and only_repos(self.blocks, queries, options), self.n_blocks)
 
     def for_terms(self, terms: DataFrame, small: bool) -> LexicalIndex:
         """The part of the index that a batch of query terms can touch."""
@@ -214,8 +222,11 @@ class _BatchScorer:
         mean = terms["avg_dl"].to_numpy()
         self.mean = np.where(mean > 0, mean, 1.0)
 
-    def best(self, rows: pa.RecordBatch, k: int, schema: pa.Schema) -> pa.RecordBatch | None:
-        """The ``k`` best rows of the batch for each query, equal scores by first matching token, then store order."""
+    def _sums(self, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Pairs of a query and a row with a token in common, their scores and the first such place in the query.
+
+        ``dl`` is one length per row, or one per token.
+        """
         tokens, tf = rows.column("tokens"), rows.column("tf")
         sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(rows.num_rows), sizes)
@@ -226,16 +237,25 @@ class _BatchScorer:
             return None
         code, row = code[hit], row[hit]
         weight = tf.flatten().to_numpy(zero_copy_only=False)[hit].astype(float)
-        dl = rows.column("dl").to_numpy(zero_copy_only=False).astype(float)
+        dl = rows.column("dl")
+        dl = dl.to_numpy(zero_copy_only=False)[row] if pa.types.is_integer(dl.type) else dl.flatten().to_numpy(zero_copy_only=False)[hit]
         many = self.count[code]
         ends = np.cumsum(many)
         term = np.repeat(self.first[code] - (ends - many), many) + np.arange(ends[-1])
-        row, weight = np.repeat(row, many), np.repeat(weight, many)
-        score = _term_scores(self.idf[term], weight, dl[row], self.mean[term])
+        row, weight, dl = np.repeat(row, many), np.repeat(weight, many), np.repeat(dl.astype(float), many)
+        score = _term_scores(self.idf[term], weight, dl, self.mean[term])
         pair, at = np.unique(self.query[term] * rows.num_rows + row, return_inverse=True)
         total = np.bincount(at, score)
         first = np.full(len(pair), np.iinfo(np.int64).max)
         np.minimum.at(first, at, self.pos[term])
+        return pair, total, first
+
+    def best(self, rows: pa.RecordBatch, k: int, schema: pa.Schema) -> pa.RecordBatch | None:
+        """The ``k`` best rows of the batch for each query, equal scores by first matching token, then store order."""
+        sums = self._sums(rows)
+        if sums is None:
+            return None
+        pair, total, first = sums
         query, row = pair // rows.num_rows, pair % rows.num_rows
         place = np.empty(rows.num_rows, np.int64)
         place[pc.sort_indices(rows.column("ord")).to_numpy()] = np.arange(rows.num_rows)
@@ -251,6 +271,104 @@ class _BatchScorer:
         ], schema=schema)
 
 
+    def bounds(self, rows: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch | None:
+        """What each block of the batch can give a query at most."""
+        sums = self._sums(rows)
+        if sums is None:
+            return None
+        pair, total, _ = sums
+        row = pa.array(pair % rows.num_rows)
+        return pa.RecordBatch.from_arrays([
+            self.query_ids.take(pa.array(pair // rows.num_rows)), *(rows.column(c).take(row) for c in ("repo_id", "seq", "block")), pa.array(total)],
+            schema=schema)
+
+
+def block_summaries(rows: DataFrame) -> DataFrame:
+    """``(repo_id, block, tokens, tf, dl)``: of the rows of a block, the greatest weight and least length by token.
+
+    ``rows(repo_id, block, tokens, tf, dl)`` are summed where they are read; a block that several tasks read has
+    a summary of each part, which bounds the rows of that part.
+    """
+
+    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = pc.binary_join_element_wise(batch.column("repo_id"), batch.column("block").cast(pa.string()), "\0")
+            group = np.cumsum(np.append([True], pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False))) - 1
+            heads = np.searchsorted(group, np.arange(group[-1] + 1))
+            sizes = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False)
+            named = batch.column("tokens").flatten().dictionary_encode()
+            code = np.repeat(group, sizes) * (len(named.dictionary) + 1) + named.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            starts = np.flatnonzero(np.append([True], code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+            tf = np.maximum.reduceat(batch.column("tf").flatten().to_numpy(zero_copy_only=False)[order], starts) if len(code) else code
+            dl = np.repeat(batch.column("dl").to_numpy(zero_copy_only=False), sizes)[order]
+            dl = np.minimum.reduceat(dl, starts) if len(code) else code
+            found = code[starts]
+            ends = np.searchsorted(found // (len(named.dictionary) + 1), np.arange(len(heads) + 1))
+            offsets = pa.array(ends.astype(np.int32))
+            token = named.dictionary.take(pa.array(found % (len(named.dictionary) + 1)))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("repo_id").take(pa.array(heads)), batch.column("block").take(pa.array(heads)),
+                *(pa.ListArray.from_arrays(offsets, v) for v in (token, pa.array(tf.astype(np.int32)), pa.array(dl.astype(np.int64))))],
+                names=["repo_id", "block", "tokens", "tf", "dl"])
+
+    return rows.select("repo_id", "block", "tokens", "tf", "dl").mapInArrow(
+        summarize, "repo_id string, block long, tokens array<string>, tf array<int>, dl array<long>")
+
+
+def block_bounds(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """``(query_id, repo_id, seq, block, bound)`` for blocks that share a token with a query."""
+    rows = index.blocks.select("repo_id", "seq", "block", "tokens", "tf", "dl")
+    schema = T.StructType([
+        T.StructField("query_id", terms.schema["query_id"].dataType), *(rows.schema[c] for c in ("repo_id", "seq", "block")),
+        T.StructField("bound", T.DoubleType())])
+    arrow = pa.schema([(f.name, _ARROW[type(f.dataType)]) for f in schema])
+    shared = rows.sparkSession.sparkContext.broadcast(terms.toArrow())
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _BatchScorer(shared.value)
+        for batch in batches:
+            found = scorer.bounds(batch, arrow) if len(scorer.keys) else None
+            if found is not None:
+                yield found
+
+    return rows.mapInArrow(bound, schema)
+
+
+def _in_blocks(index: LexicalIndex, blocks: DataFrame, options: SearchOptions) -> LexicalIndex:
+    """The index with the rows of some blocks, pushed into the scans while they can be listed."""
+    some = blocks.select("repo_id", "seq", "block").distinct()
+    listed = some.limit(options.listed_blocks + 1).collect()
+    if len(listed) > options.listed_blocks:
+        return replace(index, rows=index.rows.join(some, ["repo_id", "seq", "block"], "left_semi"))
+    chosen: dict[int, tuple[set, set]] = {}
+    for row in listed:
+        repos, numbers = chosen.setdefault(row.seq, (set(), set()))
+        repos.add(row.repo_id)
+        numbers.add(row.block)
+    wanted = F.lit(False)
+    for seq, (repos, numbers) in chosen.items():
+        wanted = wanted | ((F.col("seq") == seq) & F.col("repo_id").isin(sorted(repos)) & F.col("block").isin(sorted(numbers)))
+    return replace(index, rows=index.rows.where(wanted))
+
+
+def within_reach(index: LexicalIndex, terms: DataFrame, options: SearchOptions) -> LexicalIndex:
+    """The index without the blocks whose bound is below the last place that a query's first blocks fill."""
+    bounds = durable(block_bounds(index, terms))
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"))
+    first = bounds.withColumn("place", F.row_number().over(by_bound)).where(F.col("place") <= options.first_blocks)
+    seeds = _scored_in_place(_in_blocks(index, first, options), terms, options.top_k)
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("raw_score"))
+    last = seeds.withColumn("place", F.row_number().over(by_score)).where(F.col("place") == options.top_k)
+    # Scores are compared at nine decimals, so a bound counts as reached a little below.
+    least = F.coalesce(F.col("raw_score"), F.lit(float("-inf"))) - 1e-8
+    reach = bounds.join(last.select("query_id", "raw_score"), "query_id", "left").where(F.col("bound") >= least)
+    return _in_blocks(index, reach, options)
+
+
 def _scored_in_place(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
     """Measured small batch: every task holds the terms, and a chunk is scored where its row is read."""
     rows = index.rows.select("repo_id", "id", "ord", "tokens", "tf", "dl")
@@ -298,6 +416,9 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, options: SearchOptions
     terms = query_tokens(queries)
     index = index.narrowed(queries, options).for_terms(terms, small)
     weighted = weighted_terms(index, terms, small)
+    if small and index.blocks is not None and index.n_blocks >= options.bounded_from:
+        weighted = durable(weighted)
+        index = within_reach(index, weighted, options)
     scored = _scored_in_place(index, weighted, options.top_k) if small else _scored_by_shuffle(index, weighted, options)
     order = Window.partitionBy("query_id").orderBy(
         F.round("raw_score", 9).desc(), "first_pos", "ord"

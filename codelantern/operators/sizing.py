@@ -102,15 +102,11 @@ def scratch(session: SparkSession) -> Iterator[None]:
             system.delete(target, True)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Store ``df`` once in the cluster's shared checkpoint folder and read it back.
+def new_folder(session: SparkSession) -> str:
+    """A folder of one's own in the cluster's shared checkpoint folder; it goes with the application or the ``scratch`` block.
 
-    The lineage ends at the stored table, so a lost executor costs a re-read, and
-    every later use sees the same rows.  Tables live until the application ends, or the
-    surrounding ``scratch`` block.  Only a local session without the setting
-    gets a folder of its own.
+    Only a local session without the setting gets a folder outside.
     """
-    session = df.sparkSession
     context = session.sparkContext
     shared = session.conf.get("spark.checkpoint.dir", None)
     if not shared:
@@ -121,5 +117,16 @@ def durable(df: DataFrame) -> DataFrame:
     stored = _scratch.get()
     if stored is not None:
         stored.append(path)
+    return path
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Store ``df`` once in the cluster's shared checkpoint folder and read it back.
+
+    The lineage ends at the stored table, so a lost executor costs a re-read, and
+    every later use sees the same rows.  Tables live until the application ends, or the
+    surrounding ``scratch`` block.
+    """
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return session.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

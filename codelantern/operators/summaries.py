@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelantern import fixed_values as fv
-from codelantern.functions.text import percent_of
+from codelantern.functions.text import count_lines, percent_of
 
 
 def corpus_size(files: DataFrame) -> DataFrame:
@@ -50,6 +50,30 @@ def languages(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("repo_id").agg(_language_set())
 
 
+def chunk_coverage(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Lines of ``files(repo_id, path, content)`` in chunks, in several at once, and in none: per file, and per repository (null path).
+
+    A sweep over the starts and ends of a file's chunks gives the stretches with one chunk or
+    more, so nested and adjoining chunks count each line once.
+    """
+    key = ["repo_id", "file_path"]
+    ends = F.array(
+        F.struct(F.col("start_line").alias("at"), F.lit(1).alias("change")), F.struct((F.col("end_line") + 1).alias("at"), F.lit(-1).alias("change")))
+    marks = chunks.select(*key, F.explode_outer(ends).alias("end")).groupBy(*key, "end.at").agg(F.sum("end.change").alias("change"))
+    in_order = Window.partitionBy(*key).orderBy("at")
+    depth = F.sum("change").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    stretches = marks.select(*key, depth.alias("depth"), (F.lead("at").over(in_order) - F.col("at")).alias("n"))
+    covered = stretches.groupBy(*key).agg(
+        F.sum(F.when(F.col("depth") > 0, F.col("n"))).alias("covered"), F.sum(F.when(F.col("depth") > 1, F.col("n"))).alias("overlapping"))
+    lines = files.select("repo_id", F.col("path").alias("file_path"), F.coalesce(count_lines(F.col("content")), F.lit(0)).alias("n_lines"))
+    none = F.lit(0).cast("long")
+    whole = lines.join(covered, key, "left").select(
+        *key, "n_lines", F.coalesce("covered", none).alias("covered"), F.coalesce("overlapping", none).alias("overlapping"))
+    return whole.groupingSets([[F.col("repo_id"), F.col("file_path")], [F.col("repo_id")]], "repo_id", "file_path").agg(
+        F.sum("n_lines").alias("n_lines"), F.sum("covered").alias("covered"), F.sum("overlapping").alias("overlapping"),
+        F.sum(F.col("n_lines") - F.col("covered")).alias("dropped"))
+
+
 def file_inventory(chunks: DataFrame) -> DataFrame:
     """Distinct file paths per repository, in path order inside every repository.
 

@@ -208,6 +208,30 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revised.unionByName(passages)
 
 
+def _stored_columns(rows: DataFrame) -> DataFrame:
+    """Chunks as the store takes them: an embedding, and a store order that sorts as text."""
+    order = F.lpad(F.col("ord").cast("string"), 12, "0")
+    return rows.withColumn("ord", order).withColumn("embedding", F.array(F.lit(1.0).cast("float")))
+
+
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_columns(chunks(spark, sf_dir))
+
+
+def stored_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert: labelled documents with their label added, and every passage as a note of its own."""
+    label = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), "quality")
+    revised = chunks(spark, sf_dir).join(label, "ord").withColumn(
+        "content", F.concat("content", F.lit(" q="), F.col("quality").cast("string"))).drop("quality")
+    item = F.col("item_id")
+    notes = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("b"), item.cast("string")).alias("id"), F.concat(F.lit("src"), (item % N_REPOS).cast("string")).alias("repo_id"),
+        F.concat(F.lit("notes/n"), item.cast("string"), F.lit(".md")).alias("file_path"), F.lit("text").alias("language"),
+        F.col("text").alias("content"), F.lit(1).alias("start_line"), count_lines(F.col("text")).alias("end_line"),
+        F.lit(None).cast("string").alias("symbol_name"), F.lit("doc").alias("symbol_type"), (item + 10**9).alias("ord"))
+    return _stored_columns(revised.select(*notes.columns).unionByName(notes))
+
+
 class MentioningModel(ExtractiveModel):
     """The extractive model with a mention of one more symbol, so that answers need a hop."""
 

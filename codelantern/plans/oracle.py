@@ -247,6 +247,12 @@ def _said(prompts: str) -> str:
 
 
 CTES["refs_exact"], CTES["found"] = _lookup("refs", 5)
+CTES["stored_chunks"] = f"""SELECT id, repo_id, ord, file_path, symbol_name, content || coalesce(' q=' || quality, '') AS content
+    FROM chunks LEFT JOIN labels USING (doc_id)
+    UNION ALL SELECT 'b' || item_id, 'src' || (item_id % {corpus.N_REPOS}), 1000000000 + item_id, 'notes/n' || item_id || '.md', NULL, text
+    FROM benchmark"""
+for _name in ("doc_terms", "doc_len", "term_df", "repo_stats", "lexical"):
+    CTES[f"stored_{_name}"] = re.sub(r"\b(chunks|doc_terms|doc_len|term_df|repo_stats)\b", r"stored_\1", CTES[_name])
 CTES["lexical_hits"] = "SELECT query_id, id, bm25_rank AS rank FROM lexical WHERE bm25_rank <= 8"
 CTES["listed"] = f"""SELECT repo_id, '--- REPOSITORY FILE INVENTORY (' || repo_id || ') ---' || chr(10) || 'Total Ingested Files ('
       || any_value(total) || ' files):' || chr(10) || string_agg('- ' || file_path, chr(10) ORDER BY file_path)
@@ -474,6 +480,17 @@ STATEMENTS: dict[str, str] = {
     "bm25_doc_len": "SELECT id::BIGINT AS doc_id, dl FROM doc_len",
     "bm25_df": "SELECT repo_id, tok AS token, df FROM term_df",
     "bm25_stats": "SELECT repo_id, n_docs, round(avg_dl, 6) AS avg_dl FROM repo_stats",
+    "stored_topk": "SELECT query_id, repo_id, id, round(raw, 4) AS score, bm25_rank FROM stored_lexical",
+    "chunk_coverage": f"""SELECT repo_id, file_path, sum(n_lines)::BIGINT AS n_lines, sum(covered)::BIGINT AS covered,
+        sum(overlapping)::BIGINT AS overlapping, sum(n_lines - covered)::BIGINT AS dropped FROM (
+        SELECT repo_id, path AS file_path, any_value(n_lines) AS n_lines, count(c.line) AS covered, count(c.line) FILTER (n > 1) AS overlapping
+        FROM (SELECT repo_id, path, CASE WHEN NOT {_IS_DOC} AND {_ext('path')} IN ('.py', '.ts') THEN 3 * len(string_split(content, chr(10)))
+              ELSE len({_lines('content')}) END AS n_lines FROM files) f
+        LEFT JOIN (SELECT repo_id AS r, file_path AS p, line, count(*) AS n FROM (
+            SELECT repo_id, file_path, unnest(range(start_line, end_line + 1)) AS line FROM ({_routed('files')})) GROUP BY ALL) c
+          ON c.r = f.repo_id AND c.p = f.path
+        GROUP BY repo_id, path)
+      GROUP BY GROUPING SETS ((repo_id, file_path), (repo_id))""",
     "bm25_topk": "SELECT query_id, repo_id, id, round(raw, 4) AS score, bm25_rank FROM lexical",
     "semantic_topk": """SELECT query_id, id, round(cos, 6) AS cosine, round(1.0::DOUBLE / semantic_rank, 6) AS score,
         semantic_rank FROM semantic""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelantern.config import FilterConfig
+from codelantern.config import FilterConfig, SearchOptions
 from codelantern.functions import text as tx
 from codelantern.functions import vectors
 from codelantern.operators import (
@@ -23,11 +23,12 @@ from codelantern.operators import (
     semantic,
     summaries,
 )
+from codelantern.operators.sizing import new_folder
 from codelantern.plans import corpus
 from codelantern.plans.answer import Answers, answer_questions, answers_as_json
 from codelantern.plans.retrieve import Retrieval, hybrid_retrieve
 from codelantern.sources.repos import parse_repo_urls
-from codelantern.sources.store import merge_chunks
+from codelantern.sources.store import ChunkStore, merge_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -313,6 +314,24 @@ def semantic_topk(spark, d):
     return hits.select("query_id", "id", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"), "semantic_rank")
 
 
+@query
+def stored_topk(spark, d):
+    """Ranked from a stored index, a base with an upsert over it, by way of the blocks within reach; no text is read."""
+    store = ChunkStore(spark, new_folder(spark))
+    store.replace(corpus.stored_chunks(spark, d))
+    store.upsert(corpus.stored_revisions(spark, d))
+    asked = corpus.questions(spark, d)
+    hits = lexical.bm25_search(store.snapshot().of(asked)[1], asked, SearchOptions(bounded_from=1))
+    return hits.select("query_id", "repo_id", "id", "score", "bm25_rank")
+
+
+@query
+def chunk_coverage(spark, d):
+    """Classes and their methods overlap; code beside symbols, blank sections and damaged blocks are dropped."""
+    coded = corpus.mixed_files(spark, d)
+    return summaries.chunk_coverage(coded, chunking.chunk_files(coded))
+
+
 _FUSED = ["query_id", "id", "rank", "rrf_score", "source", "semantic_rank", "bm25_rank"]
 
 
