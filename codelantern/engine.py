@@ -72,12 +72,11 @@ class Engine:
 
     def search(self, questions: DataFrame, options: SearchOptions = SearchOptions()) -> Retrieval:
         """Both rankings read one version of the store, whatever is written meanwhile."""
-        chunks, index = self.store.snapshot().of(questions)
-        return hybrid_retrieve(questions, chunks, index, options=options)
+        return hybrid_retrieve(questions, *self.store.snapshot().of(questions), options)
 
     def answer(self, questions: DataFrame, options: GenerationOptions = GenerationOptions()) -> Answers:
-        chunks, index = self.store.snapshot().of(questions)
-        return answer_questions(questions, chunks, index, self.model, generation=options)
+        chunks, index, vectors = self.store.snapshot().of(questions)
+        return answer_questions(questions, chunks, index, self.model, vectors, generation=options)
 
     def ask(self, repo_id: str, question: str) -> dict:
         """The response envelope for one question; errors come back in it."""

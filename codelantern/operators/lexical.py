@@ -25,10 +25,9 @@ from pyspark.sql import types as T
 from codelantern import fixed_values as fv
 from codelantern.config import SearchOptions
 from codelantern.functions.text import tokenize
+from codelantern.operators.blocks import ARROW_TYPES, within_reach
 from codelantern.operators.sizing import durable, hinted, is_small, only_repos
 
-_ARROW = {T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64()}
-
 
 def token_sets(chunks: DataFrame) -> DataFrame:
     """One row per chunk with its distinct tokens; the first ``n_content`` come from the content."""
@@ -325,7 +324,7 @@ def block_bounds(index: LexicalIndex, terms: DataFrame) -> DataFrame:
     schema = T.StructType([
         T.StructField("query_id", terms.schema["query_id"].dataType), *(rows.schema[c] for c in ("repo_id", "seq", "block")),
         T.StructField("bound", T.DoubleType())])
-    arrow = pa.schema([(f.name, _ARROW[type(f.dataType)]) for f in schema])
+    arrow = pa.schema([(f.name, ARROW_TYPES[type(f.dataType)]) for f in schema])
     shared = rows.sparkSession.sparkContext.broadcast(terms.toArrow())
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,35 +337,12 @@ def block_bounds(index: LexicalIndex, terms: DataFrame) -> DataFrame:
     return rows.mapInArrow(bound, schema)
 
 
-def _in_blocks(index: LexicalIndex, blocks: DataFrame, options: SearchOptions) -> LexicalIndex:
-    """The index with the rows of some blocks, pushed into the scans while they can be listed."""
-    some = blocks.select("repo_id", "seq", "block").distinct()
-    listed = some.limit(options.listed_blocks + 1).collect()
-    if len(listed) > options.listed_blocks:
-        return replace(index, rows=index.rows.join(some, ["repo_id", "seq", "block"], "left_semi"))
-    chosen: dict[int, tuple[set, set]] = {}
-    for row in listed:
-        repos, numbers = chosen.setdefault(row.seq, (set(), set()))
-        repos.add(row.repo_id)
-        numbers.add(row.block)
-    wanted = F.lit(False)
-    for seq, (repos, numbers) in chosen.items():
-        wanted = wanted | ((F.col("seq") == seq) & F.col("repo_id").isin(sorted(repos)) & F.col("block").isin(sorted(numbers)))
-    return replace(index, rows=index.rows.where(wanted))
-
-
-def within_reach(index: LexicalIndex, terms: DataFrame, options: SearchOptions) -> LexicalIndex:
-    """The index without the blocks whose bound is below the last place that a query's first blocks fill."""
-    bounds = durable(block_bounds(index, terms))
-    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"))
-    first = bounds.withColumn("place", F.row_number().over(by_bound)).where(F.col("place") <= options.first_blocks)
-    seeds = _scored_in_place(_in_blocks(index, first, options), terms, options.top_k)
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("raw_score"))
-    last = seeds.withColumn("place", F.row_number().over(by_score)).where(F.col("place") == options.top_k)
-    # Scores are compared at nine decimals, so a bound counts as reached a little below.
-    least = F.coalesce(F.col("raw_score"), F.lit(float("-inf"))) - 1e-8
-    reach = bounds.join(last.select("query_id", "raw_score"), "query_id", "left").where(F.col("bound") >= least)
-    return _in_blocks(index, reach, options)
+def within_terms(index: LexicalIndex, terms: DataFrame, options: SearchOptions) -> LexicalIndex:
+    """The index without the blocks that cannot reach a query's last place."""
+    # Scores are compared at nine decimals.
+    rows = within_reach(
+        index.rows, block_bounds(index, terms), lambda rows: _scored_in_place(replace(index, rows=rows), terms, options.top_k), options, 1e-8)
+    return replace(index, rows=rows)
 
 
 def _scored_in_place(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
@@ -377,7 +353,7 @@ def _scored_in_place(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame
         T.StructField("id", T.StringType()), T.StructField("ord", rows.schema["ord"].dataType),
         T.StructField("raw_score", T.DoubleType()), T.StructField("first_pos", T.IntegerType()),
     ])
-    arrow = pa.schema([(f.name, _ARROW[type(f.dataType)]) for f in schema])
+    arrow = pa.schema([(f.name, ARROW_TYPES[type(f.dataType)]) for f in schema])
     shared = rows.sparkSession.sparkContext.broadcast(terms.toArrow())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,7 +394,7 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, options: SearchOptions
     weighted = weighted_terms(index, terms, small)
     if small and index.blocks is not None and index.n_blocks >= options.bounded_from:
         weighted = durable(weighted)
-        index = within_reach(index, weighted, options)
+        index = within_terms(index, weighted, options)
     scored = _scored_in_place(index, weighted, options.top_k) if small else _scored_by_shuffle(index, weighted, options)
     order = Window.partitionBy("query_id").orderBy(
         F.round("raw_score", 9).desc(), "first_pos", "ord"

@@ -8,6 +8,7 @@ shuffle.  What travels is candidates, never query x chunk pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,29 +19,15 @@ from pyspark.sql import types as T
 
 from codelantern.config import SearchOptions
 from codelantern.functions.text import is_blank
+from codelantern.functions.vectors import unit_rows
+from codelantern.operators import vector_blocks
+from codelantern.operators.blocks import ARROW_TYPES, within_reach
 from codelantern.operators.sizing import hinted, is_small, only_repos
 
 # Identical vectors must tie whatever the summation order; they do at nine decimals.
 SCORE_SCALE = 10**9
 MATRIX_CELLS = 4_000_000
 
-_ARROW = {
-    T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(),
-}
-
-
-def _unit_rows(vectors: pa.Array, dim: int) -> np.ndarray:
-    """Normalised double rows; a vector of another length or without a norm becomes all zero."""
-    lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    rows = np.zeros((len(vectors), dim))
-    if dim == 0:  # an empty vector is alike to nothing
-        return rows
-    fits = lengths == dim
-    flat = vectors.filter(pa.array(fits)).flatten()
-    rows[fits] = flat.to_numpy(zero_copy_only=False).astype("float64").reshape(-1, dim)
-    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return np.divide(rows, norms, out=rows, where=norms > 0)
-
 
 def _best_rows(queries: pa.Table, chunks: pa.Table, k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """The ``k`` best chunks for each query of one repository, ties in store order."""
@@ -53,10 +40,10 @@ def _best_rows(queries: pa.Table, chunks: pa.Table, k: int, schema: pa.Schema) -
     lengths = pc.list_value_length(queries.column("vector")).to_numpy()
     for dim in np.unique(lengths):
         same = queries.take(pa.array(np.flatnonzero(lengths == dim)))
-        units = _unit_rows(stored, int(dim)).T
+        units = unit_rows(stored, int(dim)).T
         for start in range(0, same.num_rows, step):
             block = same.slice(start, step).combine_chunks()
-            scores = _unit_rows(block.column("vector").combine_chunks(), int(dim)) @ units
+            scores = unit_rows(block.column("vector").combine_chunks(), int(dim)) @ units
             scaled = np.rint(scores * SCORE_SCALE).astype("int64")
             best = np.argpartition(scaled * n + place, n - k, axis=1)[:, n - k:]
             picked = pa.array(best.ravel())
@@ -82,7 +69,7 @@ def _candidate_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    return pa.schema([(field.name, _ARROW[type(field.dataType)]) for field in schema])
+    return pa.schema([(field.name, ARROW_TYPES[type(field.dataType)]) for field in schema])
 
 
 def _slices(rows: pa.Table) -> dict[str, pa.Table]:
@@ -153,19 +140,26 @@ def _search_in_blocks(queries: DataFrame, chunks: DataFrame, options: SearchOpti
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, schema)
 
 
-def semantic_search(chunks: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+def semantic_search(chunks: DataFrame | vector_blocks.VectorIndex, queries: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
     """Top ``top_k`` chunks per query: ``(query_id, repo_id, id, ord, cosine, score, semantic_rank)``.
 
     ``queries`` needs ``query_id, repo_id, text, vector``.  A blank question and a
     chunk without an embedding take no part; a vector of another length scores 0.
+    Of a stored vector index only the blocks within reach are read.
     """
     asked = queries.where(~is_blank(F.col("text")) & F.col("vector").isNotNull()).select(
         "query_id", "repo_id", "vector"
     )
-    stored = only_repos(chunks, asked, options).where(F.col("embedding").isNotNull()).select(
-        "repo_id", "id", "ord", "embedding"
-    )
-    if is_small(asked, options, 8 * F.size("vector")):
+    index = None if isinstance(chunks, DataFrame) else chunks
+    small = is_small(asked, options, 8 * F.size("vector"))
+    stored = only_repos(chunks if index is None else index.rows, asked, options).where(F.col("embedding").isNotNull())
+    if small and index is not None and index.n_blocks >= options.bounded_from:
+        bounds = vector_blocks.cosine_bounds(replace(index, pivots=only_repos(index.pivots, asked, options)), asked)
+        # Blocks of other queries come along: a query may meet more rows than it must, never fewer.
+        stored = within_reach(stored, bounds, lambda rows: _scan_with_broadcast(
+            asked, rows.select("repo_id", "id", "ord", "embedding"), options.top_k), options, 1e-8)
+    stored = stored.select("repo_id", "id", "ord", "embedding")
+    if small:
         found = _scan_with_broadcast(asked, stored, options.top_k)
     else:
         found = _search_in_blocks(asked, stored, options)
