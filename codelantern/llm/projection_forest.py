@@ -3,8 +3,10 @@
 Trees are fitted on a bounded sample: a node splits at the sample's median of a
 random projection, and vectors close to the cut go to both sides, so a close
 pair is parted only if it lies far apart along that direction.  All vectors go
-down all trees.  The vectors of a leaf are compared exactly, in tiles of
-bounded size however large the leaf is.
+down all trees.  A leaf that holds too many of them in the end, since the table is
+large for its sample, grows a tree of its own from a sample of its own vectors, level by
+level, until leaves are small or do not split.  The vectors of a leaf are compared
+exactly, in tiles of bounded size however large the leaf is.
 
 A pair is counted in the first leaf it shares, in the order of trees and leaves:
 tasks see the leaves of each vector, so links are counted without ever being
@@ -14,6 +16,7 @@ sent, and only stars of each tile's links travel to the union.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, sqrt
 
 import numpy as np
@@ -21,9 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelantern.config import SearchOptions
 from codelantern.llm.components import components, spanning_stars
 from codelantern.llm.frames import hash_share
-from codelantern.operators.sizing import durable
+from codelantern.operators.sizing import durable, hinted, is_small
+
+#: Passes over leaves that are still too large; each at least takes a fifth off a leaf that splits.
+MOST_LEVELS = 40
+#: Groups of tile pairs at most.
+MOST_TASKS = 100_000
 
 
 @dataclass(frozen=True)
@@ -33,6 +42,7 @@ class ForestFit:
     leaf: int = 768            #: vectors of a leaf, as the sample predicts them, above which a node splits
     spill: float = 1.3         #: half width of the overlap, in root mean squares of a linked pair's half distance along a direction
     sample: int = 20_000       #: expected vectors that the trees are fitted on
+    leaf_sample: int = 512     #: expected vectors that a leaf's own tree is fitted on
     dense: float = 0.8         #: a node is left whole if a side would get more than this share of it
     tile: int = 1024           #: vectors of a tile of a larger leaf
     seed: int = 3
@@ -65,7 +75,7 @@ def margin_of(spec: ForestFit, dims: int) -> float:
     return spec.spill * sqrt(max(0.0, 2 - 2 * spec.cosine)) / sqrt(max(1, dims)) / 2
 
 
-def fit_tree(x: np.ndarray, per_row: float, spec: ForestFit, seed: int) -> Tree:
+def fit_tree(x: np.ndarray, per_row: float, spec: ForestFit, seed: int | list[int]) -> Tree:
     """A tree on unit vectors ``x``, each standing for ``per_row`` vectors."""
     rng = np.random.default_rng(seed)
     margin = margin_of(spec, x.shape[1])
@@ -78,8 +88,12 @@ def fit_tree(x: np.ndarray, per_row: float, spec: ForestFit, seed: int) -> Tree:
         direction = rng.standard_normal(x.shape[1])
         direction /= np.linalg.norm(direction) or 1.0
         along = x[rows] @ direction
-        cut = float(np.median(along)) if len(rows) else 0.0
-        left, right = rows[along <= cut + margin], rows[along >= cut - margin]
+        # At the median, or beside it where that lies in a dense group.
+        for share in (0.5, 0.4, 0.6, 0.3, 0.7):
+            cut = float(np.quantile(along, share)) if len(rows) else 0.0
+            left, right = rows[along <= cut + margin], rows[along >= cut - margin]
+            if max(len(left), len(right)) <= spec.dense * len(rows):
+                break
         directions.append(direction)
         cuts.append(cut)
         if len(rows) * per_row <= spec.leaf or len(rows) < 16 or max(len(left), len(right)) > spec.dense * len(rows):
@@ -160,6 +174,81 @@ def near_vectors(vectors: DataFrame, spec: ForestFit = ForestFit(), id_col: str
     return rows.where("usable").join(told, "vector").select("id", "n_links", "component").unionByName(alone)
 
 
+def leaf_sizes(marked: DataFrame) -> DataFrame:
+    """``(leaf, n)``: the vectors of each leaf."""
+    return marked.select(F.explode("marks").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+
+
+def refined(marked: DataFrame, spec: ForestFit) -> DataFrame:
+    """``marked(node, weight, vector, marks)`` with leaves of more than twice ``spec.leaf`` vectors split on.
+
+    Each pass fits trees on samples of the large leaves, one leaf per group, and sends those leaves' vectors down
+    them.  A leaf stays large only if no direction splits it, as when its vectors are nearly one.
+    """
+    room = 2 * spec.leaf
+    if leaf_sizes(marked).where(F.col("n") > room).isEmpty():
+        return marked
+    open_, done = marked.select("node", "vector", F.explode("marks").alias("leaf")), []
+    for level in range(MOST_LEVELS):
+        large = durable(open_.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > room))
+        if large.isEmpty():
+            break
+        few = hinted(large, is_small(large, SearchOptions(), F.lit(16)))
+        done.append(open_.join(few, "leaf", "left_anti").select("node", "leaf"))
+        big = durable(open_.join(few, "leaf"))
+        trees = durable(
+            big.where(hash_share("vector", "leaf") < F.lit(float(spec.leaf_sample)) / F.col("n")).groupBy("leaf")
+            .applyInPandas(_own_tree(spec, level), "leaf long, direction array<double>, cut array<double>, child array<int>"))
+        small = is_small(trees, SearchOptions(), 8 * F.size("direction") + 16 * F.size("cut"))
+        sent = big.join(hinted(trees, small), "leaf", "left")
+        done.append(sent.where("child is null").select("node", "leaf"))
+        split = sent.where("child is not null").select(
+            "node", "vector", "leaf", F.explode(_sent_down(spec)("vector", "leaf", "direction", "cut", "child")).alias("part"))
+        open_ = durable(split.select("node", "vector", F.xxhash64("leaf", "part").alias("leaf")))
+    done.append(open_.select("node", "leaf"))
+    marks = reduce(DataFrame.unionByName, done).groupBy("node").agg(F.array_sort(F.collect_set("leaf")).alias("marks"))
+    return durable(marked.drop("marks").join(marks, "node"))
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.tolist()).astype(float)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _own_tree(spec: ForestFit, level: int):
+    """The tree of one leaf as a row, or no row if several directions do not split it."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaf, n = int(pdf["leaf"].iloc[0]), int(pdf["n"].iloc[0])
+        x = _unit(pdf["vector"])
+        x = x[np.lexsort(x.T)]
+        for attempt in range(4):
+            tree = fit_tree(x, n / len(x), spec, [spec.seed, level, attempt, leaf & (1 << 63) - 1])
+            if len(tree.child) > 1:
+                return pd.DataFrame({"leaf": [leaf], "direction": [tree.direction.ravel()], "cut": [tree.cut], "child": [tree.child.ravel().astype(np.int32)]})
+        return pd.DataFrame({"leaf": pd.Series([], dtype="int64")} | dict.fromkeys(("direction", "cut", "child"), pd.Series([], dtype=object)))
+
+    return fit
+
+
+def _sent_down(spec: ForestFit):
+    """A function that gives each vector the leaves that it reaches in its own leaf's tree."""
+
+    @F.pandas_udf("array<int>")
+    def parts(vector: pd.Series, leaf: pd.Series, direction: pd.Series, cut: pd.Series, child: pd.Series) -> pd.Series:
+        found = [[] for _ in range(len(leaf))]
+        for rows in leaf.groupby(leaf).indices.values():
+            x = _unit(vector.iloc[rows])
+            one = rows[0]
+            tree = Tree(np.asarray(direction.iloc[one]).reshape(-1, x.shape[1]), np.asarray(cut.iloc[one]), np.asarray(child.iloc[one]).reshape(-1, 2))
+            for number, inside in tree.leaves(x, margin_of(spec, x.shape[1])):
+                for row in rows[inside].tolist():
+                    found[row].append(number)
+        return pd.Series([np.array(f, np.int32) for f in found])
+
+    return parts
+
+
 def _tile_links(distinct: DataFrame, spec: ForestFit) -> DataFrame:
     """``(node, links, least)`` by tile: the links of a vector counted there, by weight, and the smallest node reached."""
     session = distinct.sparkSession
@@ -177,7 +266,7 @@ def _tile_links(distinct: DataFrame, spec: ForestFit) -> DataFrame:
         leaves += sum(int((tree.child[:, 0] < 0).sum()) for tree in trees)
     handle = session.sparkContext.broadcast(forests)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def leaves_of(vectors: pd.Series) -> pd.Series:
         found = [[] for _ in range(len(vectors))]
         sizes = vectors.map(len).to_numpy()
@@ -191,18 +280,16 @@ def _tile_links(distinct: DataFrame, spec: ForestFit) -> DataFrame:
                     for row in rows[inside].tolist():
                         found[row].append(first + leaf)
                 first += int((tree.child[:, 0] < 0).sum())
-        return pd.Series([np.unique(np.array(f, np.int32)) for f in found])
+        return pd.Series([np.unique(np.array(f, np.int64)) for f in found])
 
-    marked = durable(distinct.select("node", "weight", "vector", leaves_of("vector").alias("marks")))
+    marked = refined(durable(distinct.select("node", "weight", "vector", leaves_of("vector").alias("marks"))), spec)
     inside = marked.select("node", "weight", "vector", "marks", F.explode("marks").alias("leaf"))
-    # Leaves are bounded by the sample, so their sizes are a small table.
-    counts = {r.leaf: r.n for r in marked.select(F.explode("marks").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    tiles = durable(leaf_sizes(marked).select("leaf", F.ceil(F.col("n") / spec.tile).cast("int").alias("tiles")))
+    work = tiles.agg(F.sum(F.col("tiles") * (F.col("tiles") + 1) / 2)).first()[0]
+    if not work:
         return session.createDataFrame([], "node long, links long, least long")
-    tiles = session.createDataFrame([(leaf, ceil(n / spec.tile)) for leaf, n in counts.items()], "leaf int, tiles int")
-    work = sum(t * (t + 1) // 2 for t in (ceil(n / spec.tile) for n in counts.values()))
     dealt = (
-        inside.join(F.broadcast(tiles), "leaf")
+        inside.join(hinted(tiles, is_small(tiles, SearchOptions(), F.lit(16))), "leaf")
         .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .withColumn("pair", F.struct("leaf", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b")))
@@ -222,6 +309,6 @@ def _tile_links(distinct: DataFrame, spec: ForestFit) -> DataFrame:
         return pd.DataFrame({"node": nodes, "links": links, "least": least})
 
     return (
-        dealt.repartition(max(1, min(4096, ceil(work / 2))), "pair").groupBy("pair")
+        dealt.repartition(max(1, min(MOST_TASKS, ceil(work / 2))), "pair").groupBy("pair")
         .applyInPandas(compare, "node long, links long, least long")
     )

@@ -78,6 +78,36 @@ def test_recall_with_many_leaves(spark):
     assert true > 1000 and found <= true and found >= 0.97 * true
 
 
+def test_leaves_stay_small_however_small_the_sample(spark):
+    """A table fifty times the sample: large leaves split on by their own vectors, and recall holds."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((7000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = base[:3000] + rng.standard_normal((3000, 64)) * 0.33 / 8 * rng.uniform(0.2, 1, (3000, 1))
+    x = np.concatenate([base, near]).astype(np.float32)
+    x = np.concatenate([x, np.float32(base[0] + 1e-3 * rng.standard_normal((600, 64)))])   # a group that no direction splits, with those beside it
+    spec = pf.ForestFit(leaf=100, tile=100, sample=200, leaf_sample=128)
+    seen = []
+    leaf_sizes = pf.leaf_sizes
+
+    def kept(marked):
+        seen.append(sorted(r.n for r in leaf_sizes(marked).collect()))
+        return leaf_sizes(marked)
+
+    pf.leaf_sizes = kept
+    try:
+        got = pf.near_vectors(table(spark, list(enumerate(x.tolist()))), spec).collect()
+    finally:
+        pf.leaf_sizes = leaf_sizes
+    first, last = seen[0], seen[-1]
+    assert max(first) > 5 * spec.leaf and sum(n > 2 * spec.leaf for n in last) <= spec.trees * 4 and max(last) < 1400
+    assert [n for n in last if n <= 2 * spec.leaf][-1] <= 2 * spec.leaf and len(last) > 3 * len(first)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.95).sum() - len(x)
+    found = sum(r.n_links for r in got)
+    assert true > 300_000 and found <= true and found - 600 * 599 >= 0.97 * (true - 600 * 599)
+
+
 def test_dense_group_is_counted_once(spark):
     rng = np.random.default_rng(7)
     centre = rng.standard_normal(32)
