@@ -21,7 +21,7 @@ from codelantern.plans.registry import QUERIES  # noqa: E402
 
 HEADLINE = (
     "file_filter", "corpus_size", "chunk_summary", "ingest_summary", "inventory_cap", "tokenize", "markdown_sections", "chunk_router",
-    "ast_python", "ast_js", "hash_embed", "cosine", "bm25_postings", "bm25_df", "bm25_topk",
+    "ast_python", "ast_js", "chunk_coverage", "hash_embed", "cosine", "bm25_postings", "bm25_df", "bm25_topk", "stored_topk",
     "semantic_topk", "rrf_fusion", "hybrid_search", "confidence", "citation_audit", "unretrieved_refs",
     "reference_lookup", "context_budget", "prompt_assemble", "upsert", "grounded_answers",
 )
