@@ -17,6 +17,7 @@ from codelantern import fixed_values as fv
 from codelantern.config import EmbeddingSettings
 from codelantern.functions.text import embedding_text
 from codelantern.functions.vectors import token_slots
+from codelantern.operators.blocks import in_parts
 from codelantern.operators.models import ServiceError
 
 
@@ -27,6 +28,24 @@ class Embedder(Protocol):
         """``array<float>`` vector of each text."""
 
 
+def unit_sums(slots: pa.Array, dim: int) -> pa.Array:
+    """The unit vector of each row's packed slots.  Batches are counted in rows, whose texts may be long, so they are added up in parts."""
+
+    def units(part: pa.Array) -> np.ndarray:
+        counts = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        packed = part.flatten().to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(part)), counts)
+        signs = 1.0 - 2.0 * (packed % 2)
+        cells = np.bincount(rows * dim + packed // 2, weights=signs, minlength=len(part) * dim)
+        matrix = cells.astype("float64").reshape(len(part), dim)
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        return np.divide(matrix, norms, out=matrix, where=norms > 0).astype("float32").ravel()
+
+    parts = in_parts(pa.RecordBatch.from_arrays([slots], ["slots"]), "slots")
+    flat = np.concatenate([np.zeros(0, "float32"), *(units(part.column(0)) for part in parts)])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(slots) + 1, dtype="int32") * dim), pa.array(flat))
+
+
 class HashingEmbedder:
     """Deterministic token vector: tokens are hashed in the JVM, the counts added up per Arrow batch."""
 
@@ -38,16 +57,7 @@ class HashingEmbedder:
 
         @F.arrow_udf("array<float>")
         def add_up(slots: pa.Array) -> pa.Array:
-            counts = slots.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            packed = slots.flatten().to_numpy(zero_copy_only=False)
-            rows = np.repeat(np.arange(len(slots)), counts)
-            signs = 1.0 - 2.0 * (packed % 2)
-            cells = np.bincount(rows * dim + packed // 2, weights=signs, minlength=len(slots) * dim)
-            matrix = cells.astype("float64").reshape(len(slots), dim)
-            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-            unit = np.divide(matrix, norms, out=matrix, where=norms > 0).astype("float32")
-            offsets = pa.array(np.arange(len(slots) + 1, dtype="int32") * dim)
-            return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))
+            return unit_sums(slots, dim)
 
         return add_up(token_slots(text, dim))
 
