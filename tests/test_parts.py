@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from codelantern.operators.blocks import in_parts
 from codelantern.operators.embedding import unit_sums
-from codelantern.operators.lexical import summarized, wanted_tokens
+from codelantern.operators.lexical import LexicalIndex, query_tokens, summarized, wanted_tokens
 
 
 def _peak_mb(run):
@@ -59,3 +59,14 @@ def test_only_wanted_tokens_reach_the_workers(spark):
     kept = {r.id: (r.tokens, r.tf, r.dl) for r in wanted_tokens(rows, terms).collect()}
     assert kept == {"1": (["x", "z"], [1, 3], 3), "3": (["w"], [5], 2)}
     assert wanted_tokens(rows, terms.slice(0, 0)).collect() == []
+
+
+def test_each_search_counts_its_own_tokens_only(spark):
+    chunks = spark.createDataFrame(
+        [("a", "1", "f.py", "s", "alpha beta gamma", "1"), ("a", "2", "g.py", "t", "beta", "2"), ("b", "3", "h.py", "u", "beta", "3")],
+        "repo_id string, id string, file_path string, symbol_name string, content string, ord string")
+    asked = spark.createDataFrame([(1, "a", "beta missing")], "query_id long, repo_id string, text string")
+    found = LexicalIndex.of(chunks).for_terms(query_tokens(asked), small=True)
+    assert sorted(found.rows.select("id", "tokens").collect()) == [("1", ["beta"]), ("2", ["beta"])]
+    assert [tuple(r) for r in found.doc_freq.collect()] == [("a", "beta", 2)]
+    assert [(r.repo_id, r.n_docs) for r in found.stats.collect()] == [("a", 2)]
