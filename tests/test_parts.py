@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from codelantern.operators.blocks import in_parts
 from codelantern.operators.embedding import unit_sums
-from codelantern.operators.lexical import LexicalIndex, query_tokens, summarized, wanted_tokens
+from codelantern.operators.lexical import LexicalIndex, bm25_search, query_tokens, summarized, wanted_tokens
 
 
 def _peak_mb(run):
@@ -61,6 +61,21 @@ def test_only_wanted_tokens_reach_the_workers(spark):
     assert wanted_tokens(rows, terms.slice(0, 0)).collect() == []
 
 
+def test_one_tokenized_index_serves_several_batches(spark):
+    chunks = spark.createDataFrame(
+        [("a", str(i), f"f{i}.py", f"s{i}", f"alpha{i % 3} beta gamma{i % 5}", f"{i:04d}") for i in range(40)] + [("b", "9", "e.py", None, "", "0")],
+        "repo_id string, id string, file_path string, symbol_name string, content string, ord string")
+    first = spark.createDataFrame([(1, "a", "alpha1 gamma2"), (2, "b", "beta")], "query_id long, repo_id string, text string")
+    second = spark.createDataFrame([(1, "a", "beta s7"), (2, "none", "beta")], "query_id long, repo_id string, text string")
+    shared = LexicalIndex.over(chunks).for_batches(first, second)
+    assert shared.chunks is None
+    assert {t for r in shared.rows.collect() for t in r.tokens} == {"alpha1", "gamma2", "beta", "s7"}
+    for batch in (first, second):
+        want = bm25_search(LexicalIndex.over(chunks), batch).orderBy("query_id", "bm25_rank").collect()
+        assert bm25_search(shared, batch).orderBy("query_id", "bm25_rank").collect() == want
+        assert bm25_search(LexicalIndex.of(chunks), batch).orderBy("query_id", "bm25_rank").collect() == want
+
+
 def test_each_search_counts_its_own_tokens_only(spark):
     chunks = spark.createDataFrame(
         [("a", "1", "f.py", "s", "alpha beta gamma", "1"), ("a", "2", "g.py", "t", "beta", "2"), ("b", "3", "h.py", "u", "beta", "3")],
