@@ -92,10 +92,11 @@ def markdown_sections(files: DataFrame) -> DataFrame:
 
 def file_symbols(files: DataFrame) -> DataFrame:
     """``(repo_id, path, content, symbols)`` for the code files of ``files(repo_id, path, content)``."""
-    language = language_of(F.col("path"))
-    kept = files.where(F.col("content").isNotNull()).select("repo_id", "path", "content")
+    language, slim = language_of(F.col("path")), files.select("repo_id", "path", "content")
     scripts = [name for name in fv.PARSED_LANGUAGES if name != "python"]
-    return python_symbols(kept.where(language == "python")).unionByName(script_symbols(kept.where(language.isin(*scripts))))
+    coded = python_symbols(slim.where(language == "python")).unionByName(script_symbols(slim.where(language.isin(*scripts))))
+    # Asked of the result: a filter below would compute a derived text for itself, in both branches and for every file.
+    return coded.where(F.col("content").isNotNull())
 
 
 def symbol_chunks(files: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
+from codelantern.operators import chunking
 from codelantern.operators.blocks import in_parts
 from codelantern.operators.embedding import unit_sums
 from codelantern.operators.lexical import LexicalIndex, bm25_search, query_tokens, summarized, wanted_tokens
@@ -85,3 +88,15 @@ def test_each_search_counts_its_own_tokens_only(spark):
     assert sorted(found.rows.select("id", "tokens").collect()) == [("1", ["beta"]), ("2", ["beta"])]
     assert [tuple(r) for r in found.doc_freq.collect()] == [("a", "beta", 2)]
     assert [(r.repo_id, r.n_docs) for r in found.stats.collect()] == [("a", 2)]
+
+
+def test_a_derived_text_is_computed_once_for_its_own_language(spark):
+    files = spark.createDataFrame(
+        [("r", "a.py", "def f():\n    return 1"), ("r", "b.ts", "function g() { return 1; }"), ("r", "c.py", None)], "repo_id string, path string, content string")
+    derived = files.withColumn("content", F.regexp_replace("content", "1", "2"))
+    found = chunking.file_symbols(derived)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2    # one for each branch, in its projection
+    assert not any("regexp_replace" in line for line in plan.splitlines() if "Filter" in line)
+    assert sorted((r.path, r.symbols[0].content) for r in found.collect()) == [("a.py", "def f():\n    return 2"), ("b.ts", "function g() { return 2; }")]
+    assert sorted(r.symbol_name for r in chunking.symbol_chunks(derived).collect()) == ["f", "g"]
